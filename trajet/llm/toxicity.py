@@ -27,7 +27,8 @@ SAMPLE_PER_CLASS = 6_000
 #: Words that the model weighs at most, besides the identity terms.
 FEATURES = 2_000
 #: A word must stand in so many sampled documents.
-LEAST_DOCS = 12
+LEAST_DOCS = 5
+LEAST_G = 12.0
 
 # Interchangeable terms, a list for each kind of group.
 IDENTITY_TERMS = (
@@ -68,8 +69,8 @@ def _informative(docs: list[set[str]], toxic: np.ndarray, most: int, least: int)
         expected = (a + b) * n1 / (n0 + n1), (a + b) * n0 / (n0 + n1)
         g = sum(o * np.log(o / e) for o, e in zip((a, b), expected) if o)
         scored.append((-g, w))
-    # a G under 8 is what chance gives the best of a large vocabulary's rare words
-    return [w for g, w in sorted(scored)[:most] if -g >= 8]
+    # a smaller G is what chance gives the best of a large vocabulary's rare words
+    return [w for g, w in sorted(scored)[:most] if -g >= LEAST_G]
 
 
 def fit(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, features: int = FEATURES, least: int = LEAST_DOCS, swap_penalty: float = 1.0, decay: float = 1e-3, rounds: int = 300) -> tuple[dict[str, float], float]:
@@ -140,8 +141,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # repeated ids can multiply rows; the cap holds for rows as well
     rows = sample.select(distinct_words("text").alias("words"), "_y").limit(4 * per_class).collect()
-    rows.sort(key=lambda r: (r["_y"], r["words"]))
-    return fit([r["words"] for r in rows], [r["_y"] for r in rows])
+    # copies of a document teach once
+    distinct = sorted({(r["_y"], r["words"]) for r in rows})
+    return fit([words for _, words in distinct], [y for y, _ in distinct])
 
 
 def score(model: tuple[dict[str, float], float], text_col: str = "text"):
@@ -152,7 +154,8 @@ def score(model: tuple[dict[str, float], float], text_col: str = "text"):
     def probability(texts: pd.Series) -> pd.Series:
         known = weights.keys()
         z = np.array([base + sum(weights[w] for w in words_of(t) & known) for t in texts], float)
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+        with np.errstate(over="ignore"):
+            return pd.Series(1 / (1 + np.exp(-z)))
 
     return probability(text_or_empty(text_col))
 
