@@ -26,7 +26,9 @@ from .common import text_or_empty
 SAMPLE_PER_CLASS = 6_000
 #: Words that the model weighs at most, besides the identity terms.
 FEATURES = 2_000
-#: A word must stand in so many sampled documents.
+#: Letters of the stems that count besides whole words.
+STEMS = (5, 7)
+#: A word or stem must stand in so many sampled documents.
 LEAST_DOCS = 5
 LEAST_G = 12.0
 
@@ -54,6 +56,14 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+def features_of(words: set[str]) -> set[str]:
+    """The words and the stems of the longer ones, marked by a hyphen: inflected forms share a weight."""
+    found = set(words)
+    for n in STEMS:
+        found.update([w[:n] + "-" for w in words if len(w) > n])
+    return found
+
+
 def _informative(docs: list[set[str]], toxic: np.ndarray, most: int, least: int) -> list[str]:
     """The words with the largest G statistic against the label."""
     with_word = (Counter(), Counter())
@@ -73,10 +83,10 @@ def _informative(docs: list[set[str]], toxic: np.ndarray, most: int, least: int)
     return [w for g, w in sorted(scored)[:most] if -g >= LEAST_G]
 
 
-def fit(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, features: int = FEATURES, least: int = LEAST_DOCS, swap_penalty: float = 1.0, decay: float = 1e-3, rounds: int = 300) -> tuple[dict[str, float], float]:
+def fit(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, features: int = FEATURES, least: int = LEAST_DOCS, swap_penalty: float = 1.0, decay: float = 1e-4, rounds: int = 300) -> tuple[dict[str, float], float]:
     """Word weights and intercept of the regularised logistic model."""
     y = np.array(labels, float)
-    docs = [words_of(t) for t in texts]
+    docs = [features_of(words_of(t)) for t in texts]
     if not len(docs) or y.min() == y.max():
         return {}, -np.inf
     identity = [w for group in terms for w in group]
@@ -98,7 +108,8 @@ def fit(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, features: int
     pairs = np.array([p for p in swaps], int).reshape(-1, 2)
     share = np.array([swaps[p] for p in swaps], float) / len(docs)
     n, k = len(docs), len(index)
-    # classes weigh alike; the intercept is put back to the true base rate at the end
+    # classes weigh alike in the fit; the intercept then goes half way to the base rate, so a missed toxic document
+    # weighs more than a clean one refused, by the square root of their odds
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, b = np.zeros(k), 0.0
     m1, v1 = np.zeros(k + 1), np.zeros(k + 1)
@@ -113,7 +124,7 @@ def fit(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, features: int
         m1, v1 = 0.9 * m1 + 0.1 * g, 0.99 * v1 + 0.01 * g * g
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(v1 / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    b += np.log(y.mean() / (1 - y.mean()))
+    b += 0.5 * np.log(y.mean() / (1 - y.mean()))
     return {x: float(w[i]) for x, i in index.items() if abs(w[i]) > 1e-4}, float(b)
 
 
@@ -153,7 +164,7 @@ def score(model: tuple[dict[str, float], float], text_col: str = "text"):
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
         known = weights.keys()
-        z = np.array([base + sum(weights[w] for w in words_of(t) & known) for t in texts], float)
+        z = np.array([base + sum(weights[w] for w in features_of(words_of(t)) & known) for t in texts], float)
         with np.errstate(over="ignore"):
             return pd.Series(1 / (1 + np.exp(-z)))
 
