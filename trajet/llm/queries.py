@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from . import exact_dedup, mixing, packing, simhash, toxicity
+from . import exact_dedup, fingerprints, mixing, packing, secret_scan, sharding, simhash, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -12,6 +10,22 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark, sf_dir):
+    return url_filter.url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark, sf_dir):
+    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,6 +34,10 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,7 +52,10 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_exact_dedup, op7_toxicity, op9_mixing, op10_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_url_filter, op3_secret_scan, op4_sharding, op5_token_counts, op6_exact_dedup,
+    op7_toxicity, op8_fingerprints, op9_mixing, op10_simhash, pipeline,
+)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
