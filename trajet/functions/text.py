@@ -51,3 +51,12 @@ def rule_digest(serialized):
 
 def page_digest(title, text):
     return F.to_json(F.struct(title.alias("title"), head_tail(text, PAGE_HEAD, PAGE_TAIL).alias("text_excerpt"), F.length(text).alias("full_length_chars")))
+
+
+def canonical_json(s):
+    """Sorted keys, no blanks: a variant prints itself so."""
+    return F.parse_json(s).cast("string")
+
+
+def config_id(s):
+    return F.substring(F.sha2(canonical_json(s), 256), 1, 16)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_content
-from .windows import BEFORE, SESSION, UPTO, naive_truncation
+from .windows import before, naive_truncation, session, upto
 
 #: Tokens that a stubbed summary of a chunk stands for.
 STUB_TOKENS = 10
@@ -15,12 +15,12 @@ STUB_TOKENS = 10
 def tierize(df: DataFrame, budget: int) -> DataFrame:
     """+ tier, rejected_reason. Exactly one system message and a user message are needed, else the session passes through."""
     is_system, is_user = F.col("role") == "system", F.col("role") == "user"
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(SESSION)
-    first = lambda c: F.min(F.when(c, F.col("msg_idx"))).over(SESSION)
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(session())
+    first = lambda c: F.min(F.when(c, F.col("msg_idx"))).over(session())
     marked = df.withColumns({"_ns": count(is_system), "_nu": count(is_user), "_s": first(is_system), "_u": first(is_user)})
     reason = F.when(F.col("_ns") != 1, "not exactly one system message").when(F.col("_nu") == 0, "no user message")
     fixed = (F.col("msg_idx") == F.col("_s")) | (F.col("msg_idx") == F.col("_u"))
-    taken = F.coalesce(F.sum(F.when(~fixed, F.col("tokens"))).over(BEFORE), F.lit(0))
+    taken = F.coalesce(F.sum(F.when(~fixed, F.col("tokens"))).over(before()), F.lit(0))
     tier = (
         F.when(F.col("rejected_reason").isNotNull(), "passthrough")
         .when(F.col("msg_idx") == F.col("_s"), "system")
@@ -43,15 +43,15 @@ def assemble(tiers: DataFrame) -> DataFrame:
 def compact(df: DataFrame, budget: int, observe: int) -> DataFrame:
     """Per session: tokens before and after, and whether an observer would fire. No language model is called."""
     kept = F.when(F.col("tier") != "dropped", F.col("tokens")).otherwise(0)
-    before = F.sum("tokens")
+    total = F.sum("tokens")
     return (
         tierize(df, budget)
         .groupBy("session_id")
         .agg(
-            before.alias("tokens_before"),
+            total.alias("tokens_before"),
             F.sum(kept).alias("tokens_after"),
             F.count_if(F.col("tier") == "dropped").alias("n_dropped"),
-            ((before >= observe) & F.max("rejected_reason").isNull()).alias("observer_fires"),
+            ((total >= observe) & F.max("rejected_reason").isNull()).alias("observer_fires"),
             F.max("rejected_reason").alias("rejected_reason"),
         )
     )
@@ -61,7 +61,7 @@ def chunks(df: DataFrame, size: int, keep: int) -> DataFrame:
     """+ chunk, verbatim: runs of `size` messages of which the last `keep` stay as they are."""
     order = Window.partitionBy("session_id").orderBy("msg_idx")
     numbered = df.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
-    return numbered.withColumn("verbatim", F.col("chunk") > F.max("chunk").over(SESSION) - keep)
+    return numbered.withColumn("verbatim", F.col("chunk") > F.max("chunk").over(session()) - keep)
 
 
 def keep_last(df: DataFrame, n: int) -> DataFrame:
@@ -75,7 +75,7 @@ def keep_last(df: DataFrame, n: int) -> DataFrame:
 def type_budget(df: DataFrame, budget: int) -> DataFrame:
     """System first, then users (all, or the newest within three fifths of the budget), then what is left for assistants."""
     role = F.col("role")
-    running = F.sum(F.when(role == "user", F.col("tokens")).otherwise(0)).over(UPTO)
+    running = F.sum(F.when(role == "user", F.col("tokens")).otherwise(0)).over(upto())
     of = lambda r: F.coalesce(F.sum(F.when(role == r, F.col("tokens"))), F.lit(0))
     recent = F.coalesce(F.sum(F.when((role == "user") & (F.col("_run") <= int(0.6 * budget)), F.col("tokens"))), F.lit(0))
     sums = df.withColumn("_run", running).groupBy("session_id").agg(of("system").alias("system_used"), of("user").alias("_user"), of("assistant").alias("assistant_total"), recent.alias("_recent"))

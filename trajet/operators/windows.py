@@ -5,28 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NEWEST = Window.partitionBy("session_id").orderBy(F.col("msg_idx").desc())
-BEFORE = NEWEST.rowsBetween(Window.unboundedPreceding, -1)
-UPTO = NEWEST.rowsBetween(Window.unboundedPreceding, 0)
-SESSION = Window.partitionBy("session_id")
+
+def newest():
+    return Window.partitionBy("session_id").orderBy(F.col("msg_idx").desc())
+
+
+def before():
+    return newest().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def upto():
+    return newest().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def session():
+    return Window.partitionBy("session_id")
 
 
 def tail_budget(df: DataFrame, budget: int) -> DataFrame:
     """Walks back while the tokens taken are below the budget, so the last one taken may overshoot."""
-    return df.withColumn("_t", F.coalesce(F.sum("tokens").over(BEFORE), F.lit(0))).filter(F.col("_t") < budget).drop("_t")
+    return df.withColumn("_t", F.coalesce(F.sum("tokens").over(before()), F.lit(0))).filter(F.col("_t") < budget).drop("_t")
 
 
 def tail_clip(df: DataFrame, target: int) -> DataFrame:
     """Takes while the tokens stay within the target; the newest message always stays."""
-    marked = df.withColumns({"_t": F.sum("tokens").over(UPTO), "_rn": F.row_number().over(NEWEST)})
+    marked = df.withColumns({"_t": F.sum("tokens").over(upto()), "_rn": F.row_number().over(newest())})
     return marked.filter((F.col("_t") <= target) | (F.col("_rn") == 1)).drop("_t", "_rn")
 
 
 def naive_truncation(df: DataFrame, budget: int) -> DataFrame:
     """System messages stay and their tokens are set aside; the newest others stay while they fit; a marker counts what went."""
     is_system = F.col("role") == "system"
-    reserved = F.sum(F.when(is_system, F.col("tokens")).otherwise(0)).over(SESSION)
-    running = F.sum(F.when(is_system, 0).otherwise(F.col("tokens"))).over(UPTO)
+    reserved = F.sum(F.when(is_system, F.col("tokens")).otherwise(0)).over(session())
+    running = F.sum(F.when(is_system, 0).otherwise(F.col("tokens"))).over(upto())
     marked = df.withColumn("_stays", is_system | (running <= F.greatest(F.lit(0), budget - reserved)))
     kept = marked.filter("_stays").select("session_id", "msg_idx", "role", "text", "tokens")
     gone = marked.filter("not _stays").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))

@@ -1,2 +1,2 @@
-from . import evaluation, trajectory  # noqa: F401
+from . import content, evaluation, stateful, trajectory  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
