@@ -1,4 +1,4 @@
-"""Replay of recorded tool outputs: an exact match first, then the next unused slot of the tool, by call number."""
+"""Replay of recorded tool outputs: an exact match, then a subset match, then the next unused slot by call number."""
 
 from __future__ import annotations
 
@@ -6,16 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def is_subset(small, large):
+    """Whether every field of one JSON object has an equal value in the other. Nested values compare as their JSON."""
+    kind = "map<string,string>"
+    a, b = F.from_json(small, kind), F.from_json(large, kind)
+    return F.forall(F.map_entries(a), lambda e: F.try_element_at(b, e["key"]).eqNullSafe(e["value"]))
+
+
 def replay(calls: DataFrame, fixtures: DataFrame) -> DataFrame:
     """calls (session_id, seq, tool_name, args), fixtures (tool_name, kind, args, slot, output) -> matched_by, output.
 
-    Kind `exact` compares canonical arguments; `first` slots go out in order to the calls that no exact one answers.
+    Kind `exact` compares arguments as they stand; `subset` asks that its fields occur in the call's; `first` slots go out
+    in order to the calls that none of these answers. A tool has few subset fixtures, so they ride along as one array.
     """
     exact = fixtures.filter("kind = 'exact'").groupBy("tool_name", "args").agg(F.min_by("output", "slot").alias("exact_output"))
-    marked = calls.join(exact, ["tool_name", "args"], "left")
-    open_order = Window.partitionBy("session_id", "tool_name", F.col("exact_output").isNull()).orderBy("seq")
-    marked = marked.withColumn("slot", F.when(F.col("exact_output").isNull(), F.row_number().over(open_order) - 1))
-    slots = fixtures.filter("kind = 'first'").withColumn("slot", F.row_number().over(Window.partitionBy("tool_name").orderBy("slot")) - 1).select("tool_name", "slot", F.col("output").alias("slot_output"))
+    parts = fixtures.filter("kind = 'subset'").groupBy("tool_name").agg(F.array_sort(F.collect_list(F.struct("slot", "args", "output"))).alias("parts"))
+    joined = calls.join(exact, ["tool_name", "args"], "left").join(parts, "tool_name", "left")
+    fits = F.filter("parts", lambda p: is_subset(p["args"], F.col("args")))
+    marked = joined.withColumn("subset_output", F.get(fits, F.lit(0))["output"])
+    open_ = F.col("exact_output").isNull() & F.col("subset_output").isNull()
+    order = Window.partitionBy("session_id", "tool_name", open_).orderBy("seq")
+    marked = marked.withColumn("slot", F.when(open_, F.row_number().over(order) - 1))
+    numbered = F.row_number().over(Window.partitionBy("tool_name").orderBy("slot")) - 1
+    slots = fixtures.filter("kind = 'first'").withColumn("slot", numbered).select("tool_name", "slot", F.col("output").alias("slot_output"))
     found = marked.join(slots, ["tool_name", "slot"], "left")
-    by = F.when(F.col("exact_output").isNotNull(), "exact").when(F.col("slot_output").isNotNull(), "first").otherwise("none")
-    return found.select("session_id", "seq", "tool_name", by.alias("matched_by"), F.coalesce("exact_output", "slot_output").alias("output"))
+    by = (
+        F.when(F.col("exact_output").isNotNull(), "exact")
+        .when(F.col("subset_output").isNotNull(), "subset")
+        .when(F.col("slot_output").isNotNull(), "first")
+        .otherwise("none")
+    )
+    return found.select("session_id", "seq", "tool_name", by.alias("matched_by"), F.coalesce("exact_output", "subset_output", "slot_output").alias("output"))

@@ -92,3 +92,30 @@ def rate_limit_stream(calls: DataFrame, window: float = RATE_WINDOW_S, most: int
 def idle_sessions(stream: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Extension: event-time sessions by the idle constant, with a watermark for late rows."""
     return stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def prepared_stream(events: DataFrame) -> DataFrame:
+    """(session_id, seq, kind, hash) stream -> answer. One preparation is held per session.
+
+    `prepare` keeps the hash unless one is held already; `consume` answers whether the held hash equals the asked one and
+    forgets it either way; `invalidate` forgets it.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("seq")
+        out = []
+        for kind, asked in zip(rows["kind"], rows["hash"]):
+            if kind == "prepare":
+                out.append("kept" if held is None else "busy")
+                held = held or asked
+            elif kind == "consume":
+                out.append("miss" if held is None else "hit" if held == asked else "stale")
+                held = None
+            else:
+                out.append("cleared")
+                held = None
+        state.update((held,))
+        yield rows.assign(session_id=key[0], answer=out)[["session_id", "seq", "answer"]]
+
+    return events.groupBy("session_id").applyInPandasWithState(step, "session_id long, seq long, answer string", "held string", "append", GroupStateTimeout.NoTimeout)
