@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 def order_reward(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """(order_id, status, items) against expectations whose null fields are not checked: 1 if all that is expected holds.
 
-    Item ids compare as sets.
+    Item ids compare as sets. Other columns of the expectations stay.
     """
     have = actual.select("order_id", F.col("status").alias("_status"), F.array_sort(F.array_distinct("items")).alias("_items"), F.lit(True).alias("_there"))
     fits = F.coalesce("_there", F.lit(False)) & (F.col("status").isNull() | (F.col("status") == F.col("_status"))) & (
         F.col("items").isNull() | (F.array_sort(F.array_distinct("items")) == F.col("_items"))
     )
-    return expected.join(have, "order_id", "left").select("order_id", F.coalesce(fits, F.lit(False)).cast("int").alias("reward"))
+    others = [c for c in expected.columns if c not in ("status", "items")]
+    return expected.join(have, "order_id", "left").select(*others, F.coalesce(fits, F.lit(False)).cast("int").alias("reward"))
 
 
 def task_reward(per_order: DataFrame, by: str) -> DataFrame:

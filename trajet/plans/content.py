@@ -133,8 +133,7 @@ def q_reward(spark, d):
     status = F.when(F.col("order_id") % 5 == 0, "delivered")
     items = F.when(F.col("order_id") % 7 == 0, F.slice(F.array_sort(F.array_distinct("items")), 1, 1))
     expected = actual.select("order_id", "user_id", status.alias("status"), items.alias("items"))
-    per = retail.order_reward(actual.drop("user_id"), expected.drop("user_id")).join(expected.select("order_id", "user_id"), "order_id")
-    return retail.task_reward(per, "user_id")
+    return retail.task_reward(retail.order_reward(actual.drop("user_id"), expected), "user_id")
 
 
 def status_of():

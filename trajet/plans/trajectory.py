@@ -43,7 +43,9 @@ SHOW = """SELECT session_id, turns_total, round(tool_call_density, 6) AS tool_ca
 
 
 def conversation_parts(spark, d):
-    return with_turns(messages(spark, d)).withColumns({"part_type": F.lit("text"), "bytes": T.content_bytes(F.col("text"))})
+    # sizes first: the texts stay out of the shuffle
+    sized = messages(spark, d).withColumns({"part_type": F.lit("text"), "bytes": T.content_bytes(F.col("text"))}).drop("text")
+    return with_turns(sized)
 
 
 def shown(feats):
