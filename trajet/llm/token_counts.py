@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cut, text_or_empty
 from .tokens import TOKENIZER_FILE, encoder
 
 BLOCK = 1024
@@ -35,7 +35,8 @@ def histogram(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZE
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """(tokens, docs) -> + docs_from, tokens_from (of documents at least as long), truncated_total (all documents cut at
     this length), share_to (of documents at most as long)."""
-    hist = hist.withColumn("block", F.floor(F.col("tokens") / BLOCK)).withColumn("mass", F.col("tokens") * F.col("docs"))
+    # two readers follow; the texts are encoded once
+    hist = cut(hist).withColumn("block", F.floor(F.col("tokens") / BLOCK)).withColumn("mass", F.col("tokens") * F.col("docs"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     blocks = hist.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("mass").alias("m")).select(

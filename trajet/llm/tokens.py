@@ -12,7 +12,7 @@ import numpy as np
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Chunks that a worker remembers (about 200 bytes each); beyond, the table starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 
 #: Outside plain Latin text (decomposed accents, letters with odd case rules, separators on which str.split and
 #: the tokenizer disagree), a text goes to the tokenizer whole.
