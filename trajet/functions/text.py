@@ -60,3 +60,15 @@ def canonical_json(s):
 
 def config_id(s):
     return F.substring(F.sha2(canonical_json(s), 256), 1, 16)
+
+
+def prefix_bytes(content):
+    """Bytes of the canonical form: what a provider's prompt cache sees of a prefix."""
+    return F.octet_length(canonical_json(content))
+
+
+def prompt_date(stamp):
+    """A stamp below 1e12 is in seconds, else in milliseconds; four-digit years print as a date, others as the number."""
+    seconds = F.when(stamp < 10**12, stamp).otherwise(F.floor(stamp / 1000))
+    date = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
+    return F.when((seconds >= 0) & (seconds < 253402300800), date).otherwise(stamp.cast("string"))

@@ -192,3 +192,37 @@ def sign_agreement(scores: DataFrame, item: str, a: str, b: str) -> DataFrame:
     pairs = left.join(right, F.col(f"l.{item}") < F.col(f"r.{item}"))
     alike = F.signum(F.col(f"l.{a}") - F.col(f"r.{a}")) == F.signum(F.col(f"l.{b}") - F.col(f"r.{b}"))
     return pairs.agg(F.count_if(alike).alias("pair_matches"), F.count(F.lit(1)).alias("pair_total"))
+
+
+def summary_issues(cells: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Cells without a summary, with an empty or a partial one: (severity, path, check)."""
+    have = summaries.select(*CELL, "n_completed", "status", F.lit(True).alias("_there"))
+    path = F.concat_ws("/", "bench", "config_id", F.col("seed").cast("string"))
+    issue = lambda severity, check: F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"))
+    found = F.array(
+        F.when(F.col("_there").isNull(), issue("warn", "summary missing")),
+        F.when(F.col("n_completed") == 0, issue("error", "nothing completed")),
+        F.when(F.col("status") == "partial", issue("warn", "partial")),
+    )
+    rows = cells.select(*CELL).distinct().join(have, CELL, "left")
+    return rows.select(path.alias("path"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("i.severity", "path", "i.check")
+
+
+def judge_issues(records: DataFrame, judged: list[str]) -> DataFrame:
+    """Records of judged benches with neither a judge cost nor an explanation; a cached verdict has the latter."""
+    cost, said = F.col("judge_cost_usd"), F.coalesce("judge_explanation", F.lit(""))
+    bad_cost = cost.isNull() | F.isnan(cost) | (cost < 0)
+    stub = said.isin("", "judge-stub")
+    return records.filter(F.col("bench").isin(judged) & bad_cost & stub).select("bench", "task_id", F.lit("warn").alias("severity"), F.lit("no judge evidence").alias("check"))
+
+
+def calibrate(traces: DataFrame, grid: list[float]) -> DataFrame:
+    """Extension: (trace_id, size, useful) -> for each threshold of a short grid its cost and benefit, and whether no
+    other threshold is at least as good on both and better on one."""
+    points = traces.select("trace_id", "size", "useful", F.explode(F.array(*map(F.lit, grid))).alias("threshold"))
+    goes = F.col("size") > F.col("threshold")
+    sums = points.groupBy("threshold").agg(F.sum(F.when(goes, F.col("size")).otherwise(0)).alias("saved"), F.count_if(goes & F.col("useful")).alias("lost"))
+    # one row per grid point
+    a, b = sums.alias("a"), F.broadcast(sums.select(F.col("saved").alias("s"), F.col("lost").alias("l")))
+    beaten = a.join(b, (F.col("s") >= F.col("saved")) & (F.col("l") <= F.col("lost")) & ((F.col("s") > F.col("saved")) | (F.col("l") < F.col("lost"))), "left_anti")
+    return sums.join(beaten.select("threshold", F.lit(True).alias("on_front")), "threshold", "left").fillna(False, ["on_front"])

@@ -45,9 +45,35 @@ def cancel(orders: DataFrame) -> DataFrame:
 
 
 def return_items(orders: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Refund of the wanted items of delivered orders: a semi-join on (order, item), then one sum."""
-    refund = items.join(wanted, ["order_id", "item_id"], "left_semi").groupBy("order_id").agg(F.sum("price").alias("refund"), F.count(F.lit(1)).alias("n_items"))
-    return orders.filter("status = 'delivered'").join(refund, "order_id").select("order_id", "refund", "n_items")
+    """(order_id, item_id) requests -> refund, or an error: unknown order, not delivered, an item that is not in it.
+
+    An item that stands in several lines of an order is refunded with all of them.
+    """
+    asked = wanted.distinct()
+    lines = items.groupBy("order_id", "item_id").agg(F.sum("price").alias("price"), F.count(F.lit(1)).alias("lines"))
+    found = asked.join(lines, ["order_id", "item_id"], "left").groupBy("order_id").agg(
+        F.sum("price").alias("refund"), F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("n_items"), F.min(F.when(F.col("lines").isNull(), F.col("item_id"))).alias("_absent")
+    )
+    state = F.col("status")
+    error = (
+        F.when(state.isNull(), F.format_string("order not found: %d", "order_id"))
+        .when(state != "delivered", F.format_string("order %d not delivered (status=%s)", "order_id", "status"))
+        .when(F.col("_absent").isNotNull(), F.format_string("item_id %d not in order", "_absent"))
+    )
+    answered = found.join(orders.select("order_id", "status"), "order_id", "left").withColumn("error", error)
+    ok = F.col("error").isNull()
+    return answered.select("order_id", F.when(ok, F.col("refund")).alias("refund"), F.when(ok, F.col("n_items")).alias("n_items"), "error")
+
+
+def change_address(orders: DataFrame, requests: DataFrame) -> DataFrame:
+    """(order_id, address1, city, zip) requests: pending orders take the new address, others answer with an error."""
+    have = orders.select("order_id", "status")
+    error = F.when(F.col("status").isNull(), F.format_string("order not found: %d", "order_id")).when(
+        F.col("status") != "pending", F.format_string("order %d not pending (status=%s)", "order_id", "status")
+    )
+    joined = requests.join(have, "order_id", "left").withColumn("error", error)
+    fresh = F.struct("address1", "city", "zip")
+    return joined.select("order_id", F.when(F.col("error").isNull(), fresh).alias("new_address"), "error")
 
 
 def find_user(users: DataFrame, asked: DataFrame) -> DataFrame:

@@ -30,3 +30,20 @@ def spans_of(records: DataFrame) -> DataFrame:
     trace = records.select(session.alias("session_id"), task.alias("trace_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("eval.task").alias("name"), F.lit("TRACE").alias("type"))
     turns = records.select(session.alias("session_id"), task.alias("trace_id"), task.alias("parent_id"), F.explode("turns").alias("t"))
     return trace.unionByName(turns.select("session_id", "trace_id", "parent_id", F.lit("eval.turn").alias("name"), F.lit("SPAN").alias("type")))
+
+
+def instrumentation(events: DataFrame) -> DataFrame:
+    """Core events under their instrumentation names: a classifier signal is a class signal, the rest keep theirs.
+
+    Payload fields that an event lacks are left out of its JSON.
+    """
+    kind = F.when(F.col("kind") == "classifier_signal", "class_signal").otherwise(F.col("kind"))
+    fields = {
+        "compaction": ["type", "turn_index", "before_bytes", "after_bytes", "llm_cost_usd"],
+        "recall": ["recall_id", "tool_name", "reason", "turn_index"],
+        "classifier_signal": ["turn_index", "class", "confidence"],
+    }
+    payload = F.lit(None).cast("string")
+    for k, names in fields.items():
+        payload = F.when(F.col("kind") == k, F.to_json(F.struct(*names))).otherwise(payload)
+    return events.select("session_id", "seq", kind.alias("kind"), payload.alias("payload"))

@@ -163,7 +163,8 @@ def q_env_diff(spark, d):
 def q_return_refund(spark, d):
     items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("item_id"), F.col("l_extendedprice").alias("price"))
     wanted = items.filter("item_id % 2 = 0").select("order_id", "item_id").distinct()
-    return retail.return_items(orders(spark, d), items, wanted).withColumn("refund", F.round("refund", 2))
+    done = retail.return_items(orders(spark, d), items, wanted).filter("error is null")
+    return done.select("order_id", F.round("refund", 2).alias("refund"), "n_items")
 
 
 @query("""SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'O' THEN 'cancelled' WHEN o_orderstatus = 'F' THEN 'delivered' ELSE 'processed' END AS new_status, CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END AS refund,

@@ -111,3 +111,21 @@ def cached_calls(requests: DataFrame, cache: DataFrame, key: str = "key") -> tup
     """(hits with the cached columns, misses). Misses go to a caller and are appended; failures are not."""
     one = cache.dropDuplicates([key])
     return requests.join(one, key), requests.join(one.select(key), key, "left_anti")
+
+
+def named_cells(cells: DataFrame, meta: DataFrame) -> DataFrame:
+    """Cells whose folder is a hash take the config's name from their meta document: join on the cell's key."""
+    names = meta.select(*CELL, F.col("config_name"))
+    return cells.join(names, CELL, "left").withColumn("config_name", F.coalesce("config_name", "config_id"))
+
+
+def read_capped(spark: SparkSession, folder: str, most: int = 100_000) -> DataFrame:
+    """(path, content, cut): the first bytes of each file under a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", F.substring("content", 1, most).alias("content"), (F.col("length") > most).alias("cut"))
+
+
+def stale_files(spark: SparkSession, folder: str, now, ttl_seconds: int) -> DataFrame:
+    """Paths last written more than ttl_seconds before now."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.filter(F.col("modificationTime") < F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds))).select("path")

@@ -119,3 +119,18 @@ def prepared_stream(events: DataFrame) -> DataFrame:
         yield rows.assign(session_id=key[0], answer=out)[["session_id", "seq", "answer"]]
 
     return events.groupBy("session_id").applyInPandasWithState(step, "session_id long, seq long, answer string", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def tier2_stream(events: DataFrame) -> DataFrame:
+    """(session_id, seq, turn_index, statement) stream -> observations held and the last observed turn, per session."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last = state.get if state.exists else (0, -1)
+        rows = pd.concat(list(batches))
+        n, last = n + int(rows["statement"].notna().sum()), max(last, int(rows["turn_index"].max()))
+        state.update((n, last))
+        yield pd.DataFrame({"session_id": [key[0]], "observations": [n], "last_observed_turn": [last]})
+
+    return events.groupBy("session_id").applyInPandasWithState(
+        step, "session_id long, observations long, last_observed_turn long", "n long, last long", "update", GroupStateTimeout.NoTimeout
+    )
