@@ -49,7 +49,7 @@ def test_json_forms(spark, tmp_path):
     assert {(r[0], r[1]) for r in got.select("key", F.variant_get("row", "$.n", "int")).collect()} == {("x", 1), ("y", 2), ("z", 3)}
     (tmp_path / "tasks").mkdir()
     (tmp_path / "tasks/1.json").write_text('{\n"idx": 1,\n"question": "q", "answer": "", "level": "1", "has_file": false}')
-    tasks = runs.read_json_folder(spark, str(tmp_path / "tasks"), schemas.GAIA_TASK)
+    tasks = runs.read_json_folder(spark, str(tmp_path / "tasks"), schemas.FILE_QA_TASK)
     good, bad = runs.validated(tasks, {"answer is empty": "length(answer) > 0", "level is known": "level in ('1', '2', '3')"})
     assert good.count() == 0 and bad.first()["broken"] == ["answer is empty"]
 

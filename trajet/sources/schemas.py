@@ -16,12 +16,12 @@ RUN_RECORD = (
 RUN_SUMMARY = "bench string, config_id string, seed int, n_total bigint, n_completed bigint, mean_primary_score double, total_cost_usd double, status string, halt_reason string"
 PART = "struct<type:string,text:string,mimeType:string,data:string,tool_use_id:string,name:string,input:string,output:string,isError:boolean>"
 MESSAGE = f"struct<role:string,content:array<{PART}>,metadata:struct<turn_index:int,step_index:int,is_offloaded_pointer:boolean>>"
-GAIA_TASK = "idx int, question string, answer string, level string, has_file boolean, file_path string"
-LONGMEM_TASK = (
+FILE_QA_TASK = "idx int, question string, answer string, level string, has_file boolean, file_path string"
+MULTI_SESSION_TASK = (
     "question_id string, question_type string, haystack_sessions array<array<struct<role:string,content:string>>>, haystack_session_ids array<string>, "
     "haystack_dates array<string>, question string, answer string"
 )
-LOCOMO_TASK = "sample_id string, qa_idx int, category int, category_name string, question string, answer string, evidence array<string>, conversation variant"
+KEYED_SESSION_TASK = "sample_id string, qa_idx int, category int, category_name string, question string, answer string, evidence array<string>, conversation variant"
 RETAIL_USER = (
     "user_id string, name struct<first_name:string,last_name:string>, email string, address struct<address1:string,address2:string,city:string,country:string,state:string,zip:string>, "
     "payment_methods map<string,struct<source:string,brand:string,last_four:string,id:string,balance:double>>, orders array<string>"
