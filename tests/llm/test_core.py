@@ -297,8 +297,9 @@ def test_swaps_pull_identity_terms_together():
     texts = ["women are vile"] * 40 + ["women walk"] * 4 + ["men walk"] * 40 + ["men are vile"] * 4 + ["trees grow"] * 40
     labels = [1] * 40 + [0] * 4 + [0] * 40 + [1] * 4 + [0] * 40
     gap = lambda w: abs(w.get("women", 0) - w.get("men", 0))
-    plain, _ = toxicity.fit(texts, labels, swap_penalty=0.0)
-    fair, _ = toxicity.fit(texts, labels, swap_penalty=50.0)
+    docs = [toxicity.words_of(t) for t in texts]
+    plain, _ = toxicity.train(docs, labels, ["vile"], swap_penalty=0.0)
+    fair, _ = toxicity.train(docs, labels, ["vile"], swap_penalty=50.0)
     assert gap(fair) < 0.1 * gap(plain)
     assert fair["vile"] > 1
 

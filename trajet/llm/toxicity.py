@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cut, text_or_empty
 
 #: Labelled rows that a fit reads at most per class; the first in hash order of their ids.
 SAMPLE_PER_CLASS = 6_000
@@ -64,36 +64,36 @@ def features_of(words: set[str]) -> set[str]:
     return found
 
 
-def _informative(docs: list[set[str]], toxic: np.ndarray, most: int, least: int) -> list[str]:
-    """The words with the largest G statistic against the label."""
-    with_word = (Counter(), Counter())
-    for words, y in zip(docs, toxic):
-        with_word[int(y)].update(words)
-    n1 = max(1, int(toxic.sum()))
-    n0 = max(1, len(docs) - n1)
-    scored = []
-    for w in with_word[0].keys() | with_word[1].keys():
-        a, b = with_word[1][w], with_word[0][w]
-        if a + b < least:
-            continue
-        expected = (a + b) * n1 / (n0 + n1), (a + b) * n0 / (n0 + n1)
-        g = sum(o * np.log(o / e) for o, e in zip((a, b), expected) if o)
-        scored.append((-g, w))
+def informative(sample: DataFrame, most: int = FEATURES, least: int = LEAST_DOCS) -> list[str]:
+    """The features with the largest G statistic against the label, at most `most`. sample: (words, _y), words joined by spaces."""
+
+    @F.pandas_udf("array<string>")
+    def features(words: pd.Series) -> pd.Series:
+        return pd.Series([list(features_of(set(w.split()))) for w in words], dtype=object)
+
+    toxic = F.col("_y") == 1
+    n1, n0 = sample.agg(F.count_if(toxic), F.count_if(~toxic)).first()
+    counts = sample.select(F.explode(features("words")).alias("feature"), "_y").groupBy("feature").agg(F.count_if(toxic).alias("a"), F.count_if(~toxic).alias("b"))
+    both = F.col("a") + F.col("b")
+    part = lambda seen, n: F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) * (n0 + n1) / (both * max(n, 1)))).otherwise(0.0)
     # a smaller G is what chance gives the best of a large vocabulary's rare words
-    return [w for g, w in sorted(scored)[:most] if -g >= LEAST_G]
+    scored = counts.filter(both >= least).withColumn("g", part("a", n1) + part("b", n0)).filter(F.col("g") >= LEAST_G)
+    return [r["feature"] for r in scored.orderBy(F.col("g").desc(), "feature").limit(most).collect()]
+
 
+def train(docs: list[set[str]], labels: list[int], names: list[str], terms=IDENTITY_TERMS, swap_penalty: float = 1.0, decay: float = 1e-4, rounds: int = 300) -> tuple[dict[str, float], float]:
+    """Weights and intercept of the regularised logistic model over the named features and the identity terms.
 
-def fit(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, features: int = FEATURES, least: int = LEAST_DOCS, swap_penalty: float = 1.0, decay: float = 1e-4, rounds: int = 300) -> tuple[dict[str, float], float]:
-    """Word weights and intercept of the regularised logistic model."""
+    docs: of each document the features that are named or identity terms.
+    """
     y = np.array(labels, float)
-    docs = [features_of(words_of(t)) for t in texts]
     if not len(docs) or y.min() == y.max():
         return {}, -np.inf
     identity = [w for group in terms for w in group]
-    index = {w: i for i, w in enumerate(dict.fromkeys(_informative(docs, y, features, least) + identity))}
+    index = {w: i for i, w in enumerate(dict.fromkeys([*names, *identity]))}
     rows, cols = [], []
     for i, words in enumerate(docs):
-        for w in words & index.keys():
+        for w in sorted(words & index.keys()):
             rows.append(i)
             cols.append(index[w])
     rows, cols = np.array(rows, int), np.array(cols, int)
@@ -142,19 +142,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "_y")
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> tuple[dict[str, float], float]:
-    """Each sampled document comes to the driver as its distinct words, not as its text."""
+def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, terms=IDENTITY_TERMS) -> tuple[dict[str, float], float]:
+    """Of each sampled document only the named features come to the driver."""
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
 
     @F.pandas_udf("string")
     def distinct_words(texts: pd.Series) -> pd.Series:
         return pd.Series([" ".join(sorted(words_of(t))) for t in texts], dtype=object)
 
-    # repeated ids can multiply rows; the cap holds for rows as well
-    rows = sample.select(distinct_words("text").alias("words"), "_y").limit(4 * per_class).collect()
     # copies of a document teach once
-    distinct = sorted({(r["_y"], r["words"]) for r in rows})
-    return fit([words for _, words in distinct], [y for y, _ in distinct])
+    sample = cut(sample.select(distinct_words("text").alias("words"), "_y").distinct())
+    names = informative(sample)
+    known = set(names) | {w for group in terms for w in group}
+
+    @F.pandas_udf("string")
+    def named(words: pd.Series) -> pd.Series:
+        return pd.Series([" ".join(sorted(features_of(set(w.split())) & known)) for w in words], dtype=object)
+
+    rows = sample.select(named("words").alias("found"), "_y").collect()
+    rows.sort(key=lambda r: (r["_y"], r["found"]))
+    return train([set(r["found"].split()) for r in rows], [r["_y"] for r in rows], names, terms)
 
 
 def score(model: tuple[dict[str, float], float], text_col: str = "text"):
