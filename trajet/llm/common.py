@@ -51,3 +51,10 @@ def text_or_empty(column: str = "text"):
 
 def ascii_lower(c):
     return F.translate(c, UPPER, UPPER.lower())
+
+
+def without_spaces(c):
+    """The text without its white space, one character kind at a time: byte searches beat a character map."""
+    for space in SPACES:
+        c = F.replace(c, F.lit(space), F.lit(""))
+    return c

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, text_or_empty
+from .common import text_or_empty, without_spaces
 
 _WIDE = "decimal(38,0)"
 _TOP = "9223372036854775808"  # one above the largest id: where a null id sorts
@@ -23,7 +23,7 @@ _STEP = "36893488147419103232"  # more than all ids span
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, code points, 128-bit hash, SHA-256 and the text without white space."""
-    bare = F.translate(text_or_empty(text_col), SPACES, "")
+    bare = without_spaces(text_or_empty(text_col))
     return docs.select(
         F.col(id_col).cast("long").alias("_id"),
         F.length(text_or_empty(text_col)).cast("long").alias("_chars"),
@@ -67,7 +67,7 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents that stay, with all their columns, once each."""
     kept = groups(docs, id_col, text_col).select(F.col("keep_id").alias("_trajet_keep"), F.col("_sha").alias("_trajet_keep_sha"))
     columns = docs.columns
-    bare_sha = F.sha2(F.translate(text_or_empty(text_col), SPACES, ""), 256)
+    bare_sha = F.sha2(without_spaces(text_or_empty(text_col)), 256)
     joined = docs.withColumn("_trajet_row_sha", bare_sha).join(
         kept, F.col(id_col).cast("long").eqNullSafe(F.col("_trajet_keep")) & (F.col("_trajet_row_sha") == F.col("_trajet_keep_sha")), "left_semi"
     )

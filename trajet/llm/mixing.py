@@ -23,9 +23,9 @@ BUCKET_ROWS = 1_000
 
 
 def word_count(text):
-    """Number of runs of characters other than white space."""
-    spaced = F.trim(F.regexp_replace(F.translate(text, SPACES, " " * len(SPACES)), " +", " "))
-    return F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """Number of runs of characters other than white space: each run, with the white space behind it, becomes one mark."""
+    marks = F.regexp_replace(text, r"[^ \t\n\x0B\f\r]++[ \t\n\x0B\f\r]*+", "x")
+    return F.length(F.ltrim(marks, F.lit(SPACES))).cast("long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST_EPOCHS) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import cut, text_or_empty
 from .tokens import TOKENIZER_FILE, encoder
 
-BLOCK = 1024
+BLOCK = 64
 
 
 def encoded_length(text_col: str = "text", tokenizer: str = TOKENIZER_FILE):
