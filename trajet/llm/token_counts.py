@@ -61,9 +61,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 def truncated_totals(hist: DataFrame, limits: list[int]) -> DataFrame:
     """(context_limit, total, docs_cut) for any limits, from the histogram alone."""
-    limit = hist.sparkSession.createDataFrame([(x,) for x in limits], "context_limit long")
-    # the limits are a short list of the caller's
-    pairs = hist.join(F.broadcast(limit), F.lit(True))
+    pairs = hist.withColumn("context_limit", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])))
     return pairs.groupBy("context_limit").agg(
         F.sum(F.col("docs") * F.least("tokens", "context_limit")).alias("total"),
         F.sum(F.when(F.col("tokens") > F.col("context_limit"), F.col("docs")).otherwise(0)).alias("docs_cut"),
@@ -72,5 +70,6 @@ def truncated_totals(hist: DataFrame, limits: list[int]) -> DataFrame:
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     """(share, tokens): the least length that this share of the documents does not exceed."""
-    wanted = sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return sums.join(F.broadcast(wanted), F.col("share_to") >= F.col("share")).groupBy("share").agg(F.min("tokens").alias("tokens"))
+    wanted = F.array(*[F.lit(float(x)) for x in shares])
+    reached = sums.withColumn("share", F.explode(F.filter(wanted, lambda x: x <= F.col("share_to"))))
+    return reached.groupBy("share").agg(F.min("tokens").alias("tokens"))
