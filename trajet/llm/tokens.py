@@ -17,8 +17,9 @@ REMEMBERED = 600_000
 #: Outside plain Latin text (decomposed accents, letters with odd case rules, separators on which str.split and
 #: the tokenizer disagree), a text goes to the tokenizer whole.
 _UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-įı-ž]|<\\|")
-#: A run of marks between a letter and white space is a piece of its own to the tokenizer.
-_TRAILING = re.compile(r"(?<=[a-zà-öø-ÿ])([.,!?;:]+)(?=\s)")
+#: A run of marks between a letter and white space is a piece of its own to the tokenizer. A mark comes first in the
+#: pattern, so the search skips from mark to mark.
+_TRAILING = re.compile(r"[.,!?;:](?<=[a-zà-öø-ÿ][.,!?;:])[.,!?;:]*(?=\s)")
 #: Byte-level vocabularies write bytes that do not print as the characters from U+0100 on, in order.
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 _workers: dict[str, "ChunkEncoder"] = {}
@@ -50,7 +51,7 @@ class ChunkEncoder(dict):
         """Ids of the text as little-endian unsigned integers of self.dtype."""
         if _UNUSUAL.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        return b"".join(map(self.__getitem__, _TRAILING.sub(r" \1", text.lower()).split()))
+        return b"".join(map(self.__getitem__, _TRAILING.sub(r" \g<0>", text.lower()).split()))
 
 
 def encoder(name: str = TOKENIZER_FILE) -> ChunkEncoder:
