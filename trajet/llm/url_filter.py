@@ -4,9 +4,10 @@ Each class has interpolated Witten-Bell models of orders 0 to ORDER over the cha
 log ratio is that of the longest known context, so it telescopes into one term for each substring that ends there: a
 known gram adds its ratio less that of its shorter form, an unknown next character adds the ratio of the escape masses.
 A URL's score is therefore a sum over its substrings of at most ORDER + 1 characters: one explode, one join with the
-model's terms and one sum, all in SQL. Grams seen less than LEAST_SEEN times in both classes are left out, and the fit
-reads a bounded sample, so the model that is broadcast has at most TERMS rows. The threshold lies between the classes'
-mean scores, at equal distance in standard deviations, on rows that the models have not seen.
+model's terms and one sum, all in SQL. Grams are counted over all distinct labelled URLs of the fit's folds, whole; those
+seen less than LEAST_SEEN times in both classes are left out. The HEAD terms seen most are broadcast; substrings that are
+not among them meet the rest of the terms in a shuffle join, so the model's size is not bounded. The threshold lies
+between the classes' mean scores, at equal distance in standard deviations, on the whole fold that the models have not seen.
 
 Labels for the fit: a URL whose host has a word of SEED_WORDS is rejected; others are accepted, but for those that a
 blocking rule fits, which teach nothing.
@@ -37,11 +38,9 @@ RULES = (
 SEED_WORDS = ("spam", "casino", "pills", "adult", "porn", "bets", "xxx", "viagra", "poker", "ads")
 ORDER = 4
 ALPHABET = 256
-SAMPLE_PER_CLASS = 10_000
 LEAST_SEEN = 2
-TERMS = 200_000
-#: Characters of a URL that the fit reads at most; scores read all.
-FIT_CHARS = 200
+#: Terms that are broadcast; the others are joined by shuffle.
+HEAD = 200_000
 
 
 def host_of(url):
@@ -81,44 +80,39 @@ def grams(df: DataFrame, text: str, order: int = ORDER) -> DataFrame:
     return df.withColumn("gram", F.explode(spans))
 
 
-def fit(labelled: DataFrame, order: int = ORDER, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """(text, accepted boolean) -> (gram, term): what each substring adds to a score. The empty gram's term counts once
-    for each character."""
+def fit(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """(text, accepted boolean) -> (gram, term, seen): what each substring adds to a score, and how often it was seen.
+    The empty gram's term counts once for each character."""
     label = F.col("accepted")
-    sample = None
-    for side in (True, False):
-        part = labelled.filter(label == side).select(F.substring("text", 1, FIT_CHARS).alias("text"), "accepted").orderBy(F.xxhash64("text"), "text").limit(per_class)
-        sample = part if sample is None else sample.unionAll(part)
-    counted = (
-        grams(sample, "text", order)
+    counted = cut(
+        grams(labelled, "text", order)
         .groupBy("gram")
         .agg(F.count_if(label).alias("a"), F.count_if(~label).alias("r"))
         # a kept gram's shorter forms are kept too, since they are seen as often
         .filter(F.col("a") + F.col("r") >= LEAST_SEEN)
-        .orderBy((F.col("a") + F.col("r")).desc(), F.length("gram"), "gram")
-        .limit(TERMS)
     )
     # the start mark is a context, never predicted
     predicted = counted.filter("gram <> '\x02'").withColumn("context", F.substring("gram", F.lit(1), F.length("gram") - 1))
     context = predicted.groupBy("context").agg(
         F.sum("a").alias("na"), F.sum("r").alias("nr"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("r") > 0).alias("tr")
     )
-    known = cut(predicted.join(context, "context"))
-    level = known.filter("context = ''").select("gram", *_probabilities(F.lit(1 / ALPHABET), F.lit(1 / ALPHABET)), F.lit(0.0).alias("above"))
+    known = cut(predicted.join(context, "context").withColumn("seen", F.col("a") + F.col("r")))
+    level = known.filter("context = ''").select("gram", "seen", *_probabilities(F.lit(1 / ALPHABET), F.lit(1 / ALPHABET)), F.lit(0.0).alias("above"))
     levels = level
     for n in range(2, order + 2):
         shorter = level.select(F.col("gram").alias("suffix"), F.col("pa").alias("qa"), F.col("pr").alias("qr"))
         longer = known.filter(F.length("gram") == n).withColumn("suffix", F.substring("gram", F.lit(2), F.lit(n)))
-        level = longer.join(shorter, "suffix").select("gram", *_probabilities(F.col("qa"), F.col("qr")), F.log(F.col("qa") / F.col("qr")).alias("above"))
+        level = longer.join(shorter, "suffix").select("gram", "seen", *_probabilities(F.col("qa"), F.col("qr")), F.log(F.col("qa") / F.col("qr")).alias("above"))
         levels = levels.unionAll(level)
     escape = F.log(_escape("ta", "na") / _escape("tr", "nr"))
-    escapes = context.select(F.col("context").alias("gram"), escape.alias("escape"))
+    escapes = context.select(F.col("context").alias("gram"), escape.alias("escape"), (F.col("na") + F.col("nr")).alias("seen"))
     # as a gram: its ratio replaces its shorter form's and the escape of its context
     own = levels.withColumn("context", F.substring("gram", F.lit(1), F.length("gram") - 1)).join(
         escapes.select(F.col("gram").alias("context"), F.col("escape").alias("given_up")), "context"
     )
-    gram_terms = own.select("gram", (F.log(F.col("pa") / F.col("pr")) - F.col("above") - F.col("given_up")).alias("term"))
-    return cut(gram_terms.unionAll(escapes.select("gram", F.col("escape").alias("term"))).groupBy("gram").agg(F.sum("term").alias("term")))
+    gram_terms = own.select("gram", (F.log(F.col("pa") / F.col("pr")) - F.col("above") - F.col("given_up")).alias("term"), "seen")
+    both = gram_terms.unionAll(escapes.select("gram", F.col("escape").alias("term"), "seen"))
+    return cut(both.groupBy("gram").agg(F.sum("term").alias("term"), F.max("seen").alias("seen")))
 
 
 def _escape(t: str, n: str):
@@ -133,12 +127,26 @@ def _probabilities(qa, qr):
 
 
 def scored(df: DataFrame, keys: list[str], text: str, terms: DataFrame, order: int = ORDER) -> DataFrame:
-    """(keys, score): mean log ratio of accepted to rejected over a text's characters. terms has at most 2 * TERMS rows."""
+    """(keys, score): mean log ratio of accepted to rejected over a text's characters. Each text comes once."""
     constant = terms.filter("gram = ''").select("term").first()
     each = constant[0] if constant else 0.0
-    pieces = grams(df, text, order).select(*keys, "gram", (F.length(text) + 1).alias("_n"))
-    known = pieces.join(F.broadcast(terms.filter("gram <> ''")), "gram", "left")
-    return known.groupBy(*keys).agg((F.coalesce(F.sum("term"), F.lit(0.0)) / F.max("_n") + each).alias("score"))
+    terms = terms.filter("gram <> ''")
+    mean = (F.coalesce(F.sum("term"), F.lit(0.0)) / F.max("_n") + each).alias("score")
+    if terms.count() <= HEAD:
+        pieces = grams(df, text, order).select(*keys, "gram", (F.length(text) + 1).alias("_n"))
+        return pieces.join(F.broadcast(terms.select("gram", "term")), "gram", "left").groupBy(*keys).agg(mean)
+    ordered = terms.orderBy(F.col("seen").desc(), F.length("gram"), "gram")
+    head = cut(ordered.limit(HEAD).select("gram", "term"))
+    tail = terms.join(F.broadcast(head.select("gram")), "gram", "left_anti").select("gram", F.col("term").alias("rare"))
+    # a digest stands for the text while its substrings travel
+    digest = F.unhex(F.sha2(F.col(text), 256))
+    pieces = grams(df.select(digest.alias("_text"), text), text, order).select("_text", "gram")
+    found = pieces.join(F.broadcast(head), "gram", "left")
+    common = found.filter("term is not null").groupBy("_text").agg(F.sum("term").alias("term"))
+    rest = found.filter("term is null").select("_text", "gram").join(tail.hint("shuffle_merge"), "gram").groupBy("_text").agg(F.sum("rare").alias("term"))
+    sums = common.unionAll(rest).groupBy("_text").agg(F.sum("term").alias("term"))
+    joined = df.withColumns({"_text": digest, "_n": F.length(text) + 1}).join(sums, "_text", "left")
+    return joined.select(*keys, (F.coalesce("term", F.lit(0.0)) / F.col("_n") + each).alias("score"))
 
 
 def threshold(labelled_scores: DataFrame) -> float:
@@ -162,16 +170,11 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         seeded = seeded | F.col("host").contains(w)
     # a blocking rule is a policy on a section, not an example of a rejected URL
     accepted = F.when(seeded, False).when(F.coalesce("ruled", F.lit("allow")) == "allow", True)
-    labelled = rows.select("text", accepted.alias("accepted")).filter("accepted is not null and text <> ''").distinct()
+    texts = rows.filter("text <> ''").select("text", accepted.alias("accepted")).distinct()
     fold = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5))
-    terms = fit(labelled.filter(fold != 0), order)
-    # calibration reads as bounded a sample as the fit, of the other fold
-    unseen = None
-    for side in (True, False):
-        part = labelled.filter((fold == 0) & (F.col("accepted") == side)).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_PER_CLASS)
-        unseen = part if unseen is None else unseen.unionAll(part)
-    limit = threshold(scored(unseen, ["text", "accepted"], "text", terms, order))
-    scores = scored(rows.filter("text <> ''").select("text").distinct(), ["text"], "text", terms, order)
-    judged = rows.join(scores, "text", "left")
+    terms = fit(texts.filter((fold != 0) & F.col("accepted").isNotNull()), order)
+    scores = cut(scored(texts, ["text", "accepted"], "text", terms, order))
+    limit = threshold(scores.filter((fold == 0) & F.col("accepted").isNotNull()))
+    judged = rows.join(scores.drop("accepted"), "text", "left")
     by_model = F.when(F.col("score") >= F.lit(limit), "allow").otherwise("block")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")
