@@ -162,6 +162,23 @@ def test_breaker_is_strict(spark):
     assert not any(halted(1.5)) and halted(1.51) == [False] * 19 + [True] * 6
 
 
+def test_breaker_halts_each_sweep_over_many_ranges(spark):
+    rows = [(s, i, None if i % 11 == 0 else cost * (1 + i % 5)) for s, cost, n in (("a", 0.125, 900), ("b", 0.75, 700), (None, 0.375, 40), ("d", 9.0, 19)) for i in range(n)]
+    rows += [("e", i, 0.125 if i < 300 else 3.0) for i in range(1200)]
+    expected, seen = {}, {}
+    for s, i, cost in rows:
+        n, costs, spent, halted = seen.get(s, (0, 0, 0.0, False))
+        n, costs, spent = n + 1, costs + (cost is not None), spent + (cost or 0)
+        halted = halted or n >= 20 and costs > 0 and spent / costs * 100 > 1.5 * 100
+        seen[s] = n, costs, spent, halted
+        expected[s, i] = halted
+    df = spark.createDataFrame(rows, "sweep string, i long, cost double").repartition(7)
+    out = evaluation.breaker(df, ["i"], "cost", 100, 100.0, by=["sweep"])
+    assert out.columns == ["sweep", "i", "cost", "halted"]
+    assert {(r["sweep"], r["i"]): bool(r["halted"]) for r in out.collect()} == expected
+    assert 0 < sum(expected.values()) < len(rows)
+
+
 def test_mode_ties_go_by_name(spark):
     df = spark.createDataFrame([(1, [("mixed",), ("tool_heavy",), ("tool_heavy",), ("mixed",)]), (2, [])], "task_id long, turns array<struct<class_signal:string>>")
     assert {r["task_id"]: r["class"] for r in evaluation.mode_class(df).collect()} == {1: "mixed", 2: None}

@@ -11,6 +11,8 @@ CELL = ["bench", "config_id", "seed"]
 ERR_RATE_GATE = 0.10
 MIN_FOR_SPREAD = 3
 HALT_AFTER, HALT_FACTOR = 20, 1.5
+#: Ranges of a halting sweep that tasks sum on their own.
+RANGES = 64
 
 
 def fires(kind: str):
@@ -79,12 +81,37 @@ def cost_with_cache(inputs, cached, outputs, rate_in, rate_out, factor):
     return (fresh * rate_in + cached * rate_in * F.coalesce(factor, F.lit(1.0)) + outputs * rate_out) / 1e6
 
 
-def breaker(df: DataFrame, order: list, cost: str, total: int, budget: float) -> DataFrame:
-    """+ halted: true from the first row on at which the projected total leaves the budget behind."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    n, mean = F.count(F.lit(1)).over(w), F.avg(cost).over(w)
+def breaker(df: DataFrame, order: list, cost: str, total: int, budget: float, by: tuple = ()) -> DataFrame:
+    """+ halted: true from the first row of a sweep (columns `by`) on at which its projected total leaves the budget behind.
+    A sweep is cut into ranges of order's first column (a number or a time), and a range starts from the totals of those
+    before it, so no sweep has to stand in one task."""
+    first = F.col(order[0])
+    if df.schema[order[0]].dataType.typeName() == "timestamp_ntz":  # has no cast to a number
+        first = F.unix_date(first.cast("date")) * 86_400 + F.hour(first) * 3_600 + F.minute(first) * 60 + F.second(first)
+    key = first.cast("double")
+    quantiles = F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10_000)
+    # at most RANGES numbers
+    bounds = F.array(*[F.lit(b) for b in sorted(set(df.agg(quantiles).first()[0] or []))]).cast("array<double>")
+    rows = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b < key)))
+    parts = [*by, "_range"]
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def carried(rows: DataFrame, **sums) -> DataFrame:
+        """+ for each name the aggregate over the sweep's earlier ranges."""
+        totals = rows.groupBy(*parts).agg(*[s.alias(n) for n, s in sums.items()])
+        before = totals.select(*[F.col(c).alias(f"_of_{c}") for c in parts], *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(n) for n in sums])
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in parts]
+        return rows.join(before, same).drop(*[f"_of_{c}" for c in parts])
+
+    rows = carried(rows, _rows=F.count(F.lit(1)), _costs=F.count(cost), _spent=F.coalesce(F.sum(cost), F.lit(0.0)))
+    n, costs = F.col("_rows") + F.count(F.lit(1)).over(w), F.col("_costs") + F.count(cost).over(w)
+    spent = F.col("_spent") + F.coalesce(F.sum(cost).over(w), F.lit(0.0))
+    mean = F.when(costs > 0, spent / costs)
     trips = (n >= HALT_AFTER) & (mean * total > HALT_FACTOR * budget)
-    return df.withColumn("_trips", trips).withColumn("halted", F.bool_or("_trips").over(w)).drop("_trips")
+    rows = carried(rows.withColumn("_trips", trips), _tripped=F.count_if("_trips"))
+    halted = F.when(F.col("_tripped") > 0, True).otherwise(F.bool_or("_trips").over(w))
+    return rows.withColumn("halted", halted).select(*df.columns, "halted")
 
 
 def draw(*parts):
