@@ -34,7 +34,8 @@ def packed(spark, docs, sf_dir):
 
 STAGES = [("toxicity", clean), ("exact_dedup", distinct), ("simhash", near_distinct), ("mixing", mixed), ("packing", packed)]
 
-#: Packing and the fitted classifier are beyond SQL; tests hold the run against a brute-force version.
+#: Packing and the fitted classifier are beyond SQL; tests hold the run against plain-Python
+#: deduplications and the invariants of packing; mixing has a brute-force test of its own.
 ORACLE_SQL = None
 
 

@@ -166,6 +166,25 @@ def test_simhash(odd, empty):
     assert kept.count() == len(set(label.values()))
 
 
+def brute_keep_one(rows):
+    """(id, text) rows that stay: of each component the least by (no id, id, digest of the text)."""
+    fps = sorted({brute_fingerprint(t) for _, t in rows})
+    label = brute_components([(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 3], fps)
+    rank = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest())
+    kept = {}
+    for r in rows:
+        c = label[brute_fingerprint(r[1])]
+        kept[c] = min(kept.get(c, r), r, key=rank)
+    return Counter((i, t or "") for i, t in kept.values())
+
+
+def test_simhash_keeps_unlike_texts_without_or_with_equal_ids(spark):
+    rows = [(None, prose(1001, 60)), (None, prose(1002, 60)), (None, prose(1003, 60)), (50, prose(1004, 60)), (50, prose(1005, 60)), (50, prose(1005, 60)), (51, prose(1001, 60))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    expected = Counter({(51, rows[0][1]): 1, (None, rows[1][1]): 1, (None, rows[2][1]): 1, (50, rows[3][1]): 1, (50, rows[4][1]): 1})
+    assert Counter((r["doc_id"], r["text"]) for r in rows_of(kept)) == brute_keep_one(rows) == expected
+
+
 @pytest.mark.parametrize("flips", [1, 3, 9])
 def test_simhash_links_are_complete(spark, flips):
     """Random, clustered and dense fingerprints: components equal those of all pairs."""
@@ -315,3 +334,25 @@ def test_pipeline_equals_its_steps(spark, odd, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     check_packing(pieces, [(r["doc_id"], r["text"]) for r in rows_of(docs)])
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    """Without toxic labels every document is clean; both deduplications are written out here, mixing has a test of its own."""
+    import corpus_pipeline
+
+    rows = [(i, text, "en", source, 1) for i, text, _, source, _ in odd_rows()]
+    rows += [(None, prose(1001 + i, 60), "en", "d", 1) for i in range(3)] + [(50, prose(1010 + i, 60), "en", "d", 1) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    pieces = rows_of(corpus_pipeline.run(spark, str(tmp_path)))
+    best = {}
+    for i, text, *_ in rows:
+        rank = (-len(text or ""), i is None, i or 0)
+        if bare(text) not in best or rank < best[bare(text)][0]:
+            best[bare(text)] = (rank, (i, text))
+    kept = brute_keep_one([r for _, r in best.values()])
+    assert {None, 50} <= {i for i, _ in kept}
+    mixed = rows_of(mixing.apply_mix(spark.createDataFrame([(i, t, next(r[3] for r in rows if r[0] == i and (r[1] or "") == t)) for i, t in kept], "doc_id long, text string, source string")))
+    assert pieces and {i for i, _ in kept} >= {r["doc_id"] for r in pieces}
+    check_packing(pieces, [(r["doc_id"], r["text"]) for r in mixed])
