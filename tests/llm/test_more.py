@@ -249,3 +249,21 @@ def test_containment_and_merging():
     both = fingerprints.merge(fingerprints.sketch(part), fingerprints.sketch(other))
     assert set(both.tolist()) >= set(fingerprints.sketch(part).tolist())
     assert (fingerprints.from_string(fingerprints.as_string(both)) == both).all()
+
+
+def test_short_texts_inside_long_ones(spark):
+    words = [f"w{i}" for i in range(600)]
+    whole = " ".join(words)
+    parts = [" ".join(words[i : i + n]) for n in (5, 7, 9, 14) for i in range(0, 580, 9)]
+    top = np.uint64(int(fingerprints.FRACTION * 2**64))
+    bare_ones = [p for p in parts if fingerprints.shingle_hashes(p).min() >= top]
+    assert len(bare_ones) > 50
+    # rows alternate, so each short text is next to the long one
+    rows = [(2 * i + k, t) for i, p in enumerate(bare_ones[:40]) for k, t in enumerate((p, whole))]
+    out = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["near_next"] for r in out} == {1.0}
+    # merged sketches are those of the shingles of both
+    for a, b in zip(bare_ones, parts[::-1]):
+        both = np.concatenate([fingerprints.shingle_hashes(a), fingerprints.shingle_hashes(b)])
+        got = fingerprints.merge(fingerprints.sketch(a), fingerprints.sketch(b))
+        assert got.tolist() == fingerprints.kept(both).tolist()

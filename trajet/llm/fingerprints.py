@@ -1,8 +1,9 @@
 """Threshold-scaled sketches: every shingle hash below a fixed fraction of the hash range is kept.
 
 A sketch is a set, so sketches of parts merge by union, and the overlap of two estimates containment whatever the
-sizes of their documents. The least hash is kept even above the threshold, so no text with a word has an empty sketch
-(a union's least hash is the least of its parts', so merging still holds).
+sizes of their documents. A text with no hash below the threshold keeps its least one, so no text with a word has an empty
+sketch; a merge drops such a hash once another lies below. That hash says nothing of the other text's sketch, which left it
+out, so such a text is compared by all hashes of both.
 
 Edited texts need the next document by id. Ids are cut into buckets at approximate quantiles; the bucket's first
 document is also sent to the bucket before, and each task streams its buckets in order with two documents in memory.
@@ -63,16 +64,32 @@ def shingle_hashes(text: str, width: int = SHINGLE_WORDS) -> np.ndarray:
     return out ^ out >> np.uint64(32)
 
 
-def sketch(text: str, fraction: float = FRACTION, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct kept hashes, cut to their upper 32 bits."""
-    h = shingle_hashes(text, width)
+def kept(h: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The hashes below the fraction, or the least one where none is; sorted, distinct, cut to their upper 32 bits."""
     if not len(h):
         return h.astype(np.uint32)
-    return np.unique((h[(h < np.uint64(int(fraction * 2**64))) | (h == h.min())] >> np.uint64(32)).astype(np.uint32))
+    low = h[h < np.uint64(int(fraction * 2**64))]
+    return np.unique(((low if len(low) else h.min(keepdims=True)) >> np.uint64(32)).astype(np.uint32))
+
+
+def sketch(text: str, fraction: float = FRACTION, width: int = SHINGLE_WORDS) -> np.ndarray:
+    return kept(shingle_hashes(text, width), fraction)
+
+
+def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The sketch of both parts' shingles."""
+    both = np.union1d(a, b)
+    low = both[both < int(fraction * 2**32)]
+    return low if len(low) else both[:1]
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.union1d(a, b)
+def likeness_of(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """Containment from all shingle hashes: exact where a text has none below the fraction, else that of the sketches."""
+    top = np.uint64(int(fraction * 2**64))
+    if len(a) and len(b) and (a.min() >= top or b.min() >= top):
+        a, b = np.unique(a), np.unique(b)
+        return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+    return likeness(kept(a, fraction), kept(b, fraction))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -111,8 +128,9 @@ def _stream(fraction: float, width: int):
     def row(doc: tuple, following: tuple) -> tuple:
         (doc_id, text, own), (_, next_text, next_own) = doc, following
         new = edited(text, next_text)
-        changed = sketch(new, fraction, width)
-        return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), as_string(own), as_string(changed), likeness(own, changed), likeness(own, next_own))
+        changed = shingle_hashes(new, width)
+        prints = as_string(kept(own, fraction)), as_string(kept(changed, fraction))
+        return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), *prints, likeness_of(own, changed, fraction), likeness_of(own, next_own, fraction))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, in_bucket = None, None
@@ -123,7 +141,7 @@ def _stream(fraction: float, width: int):
                     held, in_bucket = None, bucket
                 if tail and held is None:
                     continue  # rows that repeat the id of the one used
-                doc = (doc_id, text, sketch(text, fraction, width))
+                doc = (doc_id, text, shingle_hashes(text, width))
                 if held is not None:
                     out.append(row(held, doc))
                 held = None if tail else doc
