@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from trajet.llm import components, exact_dedup, mixing, packing, simhash, tokens, toxicity
 
@@ -234,7 +236,14 @@ def test_encoder_is_exact():
     enc = tokens.encoder()
     texts = [r[1] or "" for r in odd_rows()] + ["don't  STOP. (x). É. 12.5!! ß's ’s a\x1cb a\x85b \x0b ", "ÀÉ-ü_ö ¿qué? ÿ... x,y ,z ¡¡", "Straße İi Ωω é é."]
     for t in texts:
-        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert enc.encode(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+@given(st.text(st.one_of(st.characters(max_codepoint=0x180), st.sampled_from(" \t.,!?'’sStTdDßµªº_²½é9$%*-\u0301\u212a")), max_size=60))
+@settings(max_examples=600, deadline=None)
+def test_encoder_is_exact_on_any_text(text):
+    enc = tokens.encoder()
+    assert enc.encode(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def check_packing(pieces, docs):
@@ -272,6 +281,24 @@ def test_packing(odd, empty, monkeypatch):
     assert packing.pack(empty).count() == 0
 
 
+def test_neighbours_are_all_items_by_bm25():
+    rng = np.random.default_rng(4)
+    items = [np.append(rng.zipf(1.5, rng.integers(1, 60)) % 50 + 3, 2).astype("<u2") for _ in range(80)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in items]), minlength=60)
+    idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
+    mean = sum(map(len, items)) / len(items)
+    index = packing.Index(items, idf, mean)
+    used = rng.random(80) < 0.3
+    for seed in range(80):
+        def score(i):
+            tf = Counter(items[i].tolist())
+            return sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(items[i]) / mean)) for t in set(items[seed].tolist()) - {2} if t in tf)
+
+        want = sorted((i for i in range(80) if i != seed and not used[i] and score(i) > 0), key=lambda i: (-round(score(i), 9), i))
+        got = index.neighbours(seed, used).tolist()
+        assert [round(score(i), 9) for i in got] == [round(score(i), 9) for i in want] and sorted(got) == sorted(want)
+
+
 def test_packing_retrieves_neighbours(spark):
     topics = ["apple pear plum fig cherry", "iron zinc lead tin copper", "red blue green grey brown"]
     rng = np.random.default_rng(1)

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh local one only where that setting is absent (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is not set, a local session (tests) gets one of its own; on a
+    cluster it must be set."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not spark.sparkContext.getCheckpointDir():
         own = tempfile.mkdtemp(prefix="trajet-")
         atexit.register(shutil.rmtree, own, True)
@@ -58,3 +62,14 @@ def without_spaces(c):
     for space in SPACES:
         c = F.replace(c, F.lit(space), F.lit(""))
     return c
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
+def arrow_rows(rows: list[tuple], schema: str, **given: pa.Array) -> pa.RecordBatch:
+    """Rows as a record batch of a schema like "a long, b string"; given columns pass as they are, so that an id
+    keeps its value beside nulls."""
+    names = dict(c.split() for c in schema.split(", "))
+    columns = iter(zip(*rows)) if rows else iter([()] * len(names))
+    return pa.RecordBatch.from_arrays([given[c] if c in given else pa.array(next(columns), _ARROW[t]) for c, t in names.items()], list(names))

@@ -2,15 +2,16 @@
 
 1. Workers tokenise every document; full windows of a long document need no neighbours and become sequences of
    their own (only their checksums travel). The remainder is the item to pack.
-2. Items are range-partitioned by a lexical key (their least word hashes, then a hash that splits equal keys), so that
-   documents with common words meet in a shard; document frequencies of all items are counted over the vocabulary.
-3. A shard streams through blocks of bounded size. A block holds an inverted index with BM25 weights; a seed
-   queries it with its best terms, unused neighbours fill the window whole while they fit, and the next one is
-   cut to fill the rest, its remainder being the next seed.
+2. Items are range-partitioned by a lexical key (a hash of their least token-pair hashes, then one that splits equal
+   keys), so that near texts meet in a shard; document frequencies of all items are counted over the vocabulary.
+3. A shard holds an inverted index with BM25 weights over all its items. A seed asks with all its terms; every unused
+   item that shares one is ranked. In that order the items that still fit join the window whole, then the best that
+   does not is cut to fill the rest, its remainder being the next seed.
 4. What a shard has left at its end is cut into powers of two, so no position is padded.
 
-Defined cases: null and empty texts are one end token; null or repeated ids are documents of their own; an
-empty table gives an empty result. Sequence ids are shard * 2**40 + a count.
+Defined cases: null and empty texts are one end token; null or repeated ids are documents of their own; equal scores go
+by key order; items without a term in common with the seed follow in key order; other columns are not read, whatever
+their names; an empty table gives an empty result. Sequence ids are shard * 2**40 + a count.
 """
 
 from __future__ import annotations
@@ -20,20 +21,18 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import arrow_rows, stored, text_or_empty
 from .tokens import TOKENIZER_FILE, encoder
 
 WINDOW = 4096
 END_ID = 2
-#: Tokens of a shard, about, and of a block that a worker indexes at once.
-SHARD_TOKENS = 4_000_000
-BLOCK_TOKENS = 1_500_000
-QUERY_TERMS = 16
-NEIGHBOURS = 48
+#: Tokens of a shard, about. A shard that holds over MOST_INDEXED (its keys bound rows, not tokens) has an index for each so many.
+SHARD_TOKENS = 1_500_000
+MOST_INDEXED = 6_000_000
 K1, B = 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -44,84 +43,92 @@ def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
 def _lexical_key(ids: np.ndarray) -> tuple[int, int, int]:
-    """The three least hashes of the item's distinct token pairs: equal for copies, often shared by near texts."""
+    """The three least hashes of the item's distinct token pairs, hashed once more: equal for copies, often shared by
+    near texts, and even whatever the lengths of texts (a long text's least hash is small)."""
     if len(ids) < 2:
         return (0, 0, 0)
-    pairs = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64)
-    mixed = pairs * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    low = np.unique(np.partition(mixed, min(63, len(mixed) - 1))[:64])[:3].view(np.int64).tolist()
+    pairs = _mixed(ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64))
+    low = np.unique(np.partition(pairs, min(63, len(pairs) - 1))[:64])[:3]
+    low = _mixed(low).view(np.int64).tolist()
     return tuple((low + [low[-1]] * 2)[:3])
 
 
 def _tokenise(name: str, window: int, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name)
+        end = np.array([end_id], enc.dtype)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.append(np.frombuffer(enc.encode(text), enc.dtype), enc.dtype.type(end_id))
+            for ids in enc.encode_all(batch.column("text").to_pylist()):
+                ids = np.concatenate((ids, end))
                 n = len(ids) // window * window
                 full = [crc32(ids[i : i + window]) for i in range(0, n, window)]
                 rest = ids[n:]
-                out.append((doc_id, len(ids), full, rest.tobytes(), len(rest), *_lexical_key(rest)))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _ITEMS.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                out.append((len(ids), full, rest.tobytes(), len(rest), *_lexical_key(rest)))
+            yield arrow_rows(out, _ITEMS, doc_id=batch.column("doc_id"))
 
     return run
 
 
 def _frequencies(dtype: np.dtype, vocabulary: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(vocabulary, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, last = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for rest in batch["rest"]:
-                seen = np.zeros(vocabulary, bool)
-                seen[np.frombuffer(rest, dtype)] = True
-                df += seen
+            firsts = []
+            for rest in batch.column("rest").to_pylist():
+                ids = np.frombuffer(rest, dtype)
+                place = np.arange(len(ids))
+                last[ids] = place
+                firsts.append(ids[last[ids] == place])
+            if firsts:
+                df += np.bincount(np.concatenate(firsts), minlength=vocabulary)
         terms = np.flatnonzero(df)
-        yield pd.DataFrame({"term": terms, "df": df[terms]})
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(df[terms], pa.int64())], ["term", "df"])
 
     return run
 
 
-class Block:
-    """An inverted index over one block's items."""
+class Index:
+    """An inverted index over a shard's items. The end mark, which all share, is no term."""
 
-    def __init__(self, items: list[np.ndarray], idf: np.ndarray, mean_length: float):
+    def __init__(self, items: list[np.ndarray], idf: np.ndarray, mean_length: float, end_id: int = END_ID):
         n = len(items)
         lengths = np.fromiter(map(len, items), np.int64, n)
         pairs = np.repeat(np.arange(n, dtype=np.int64), lengths) << np.int64(32) | np.concatenate(items).astype(np.int64)
         keys, tf = np.unique(pairs, return_counts=True)
         doc, term = keys >> np.int64(32), keys & np.int64(0xFFFFFFFF)
+        doc, term, tf = (x[term != end_id] for x in (doc, term, tf))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
         # per document, for queries
         self.doc_starts = np.searchsorted(doc, np.arange(n + 1))
-        self.doc_terms, self.doc_weights = term, weight
+        self.doc_terms = term
         # per term, the postings
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.post_starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.n = n
 
+    def scores(self, seed: int) -> np.ndarray:
+        terms = self.doc_terms[self.doc_starts[seed] : self.doc_starts[seed + 1]]
+        spans = [slice(a, b) for a, b in zip(self.post_starts[terms].tolist(), self.post_starts[terms + 1].tolist())]
+        if not spans:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
+
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused items by BM25 score against the seed's best terms, best first."""
-        lo, hi = self.doc_starts[seed], self.doc_starts[seed + 1]
-        terms, weights = self.doc_terms[lo:hi], self.doc_weights[lo:hi]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.post_starts[t], self.post_starts[t + 1]) for t in terms.tolist()]
-        docs = np.concatenate([self.post_doc[s] for s in spans])
-        scores = np.bincount(docs, np.concatenate([self.post_weight[s] for s in spans]), self.n)
-        scores[used] = 0
-        k = min(NEIGHBOURS, self.n - 1)
-        top = np.argpartition(-scores, k)[: k + 1] if self.n > k + 1 else np.arange(self.n)
-        top = top[scores[top] > 0]
-        return top[np.lexsort((top, -scores[top]))]
+        """Every unused item but the seed that shares a term with it, best BM25 score first, ties in order."""
+        scores = self.scores(seed)
+        found = np.flatnonzero((scores > 0) & ~used)
+        found = found[found != seed]
+        return found[np.argsort(-scores[found], kind="stable")]
 
 
 class Packer:
@@ -153,49 +160,48 @@ class Packer:
             self.rows.append((doc_id, i * self.window, self.window, crc, total, self.next_id, 0))
             self.next_id += 1
 
-    def block(self, items: list[tuple]) -> None:
+    def shard(self, items: list[tuple]) -> None:
         """items: (doc_id, start, ids, doc_tokens), each shorter than a window."""
         if not items:
             return
-        index = Block([x[2] for x in items], self.idf, self.mean)
+        index = Index([x[2] for x in items], self.idf, self.mean)
         items = list(items)
+        lengths = np.fromiter((len(x[2]) for x in items), np.int64, len(items))
         used = np.zeros(len(items), bool)
-        cursor, last = 0, None
+
+        def take(i: int) -> None:
+            """The item, or as much of it as there is room for."""
+            doc_id, start, ids, total = items[i]
+            n = min(len(ids), self.room)
+            self.put((doc_id, start, ids[:n], total))
+            items[i] = (doc_id, start + n, ids[n:], total)
+            lengths[i] -= n
+            used[i] = not lengths[i]
+
+        cursor, cut = 0, None
         while True:
-            if last is None or used[last]:
-                while cursor < len(items) and used[cursor]:
-                    cursor += 1
-                if cursor == len(items):
-                    return
-                last = cursor
-            # a seed may itself be cut when a sequence stays open from the block before
-            seed, last = last, None
-            queue = deque([seed, *(i for i in index.neighbours(seed, used).tolist() if i != seed)])
-            waiting = []
-            while queue:
-                i = queue.popleft()
-                doc_id, start, ids, total = items[i]
-                if len(ids) <= self.room or i == seed:
-                    n = min(len(ids), self.room)
-                    closes = n == self.room
-                    self.put((doc_id, start, ids[:n], total))
-                    if n < len(ids):
-                        items[i] = (doc_id, start + n, ids[n:], total)
-                        last = i
-                    else:
-                        used[i] = True
-                    if closes:
-                        break
-                else:
-                    waiting.append(i)
-            else:
-                if waiting:
-                    i = waiting[0]
-                    doc_id, start, ids, total = items[i]
-                    n = self.room
-                    self.put((doc_id, start, ids[:n], total))
-                    items[i] = (doc_id, start + n, ids[n:], total)
-                    last = i
+            while cursor < len(items) and used[cursor]:
+                cursor += 1
+            if cursor == len(items):
+                return
+            seed = cursor if cut is None or used[cut] else cut
+            sequence = self.next_id
+            take(seed)
+            cut = seed
+            if self.next_id != sequence:
+                continue
+            ranked = index.neighbours(seed, used)
+            sizes = lengths[ranked]
+            while self.next_id == sequence:
+                fitting = np.flatnonzero(sizes <= self.room)
+                if not len(fitting):
+                    break
+                take(ranked[fitting[0]])
+                sizes[fitting[0]] = self.window
+            left = np.flatnonzero(sizes < self.window)
+            if self.next_id == sequence and len(left):
+                cut = ranked[left[0]]
+                take(cut)
 
     def end(self) -> None:
         """Cuts the open sequence into powers of two."""
@@ -215,31 +221,29 @@ class Packer:
             self.close(sequence)
         self.open, self.room = [], self.window
 
-    def drain(self) -> pd.DataFrame:
+    def drain(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
-        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame
+        return arrow_rows(rows, PIECES)
 
 
 def _pack(window: int, dtype: np.dtype, idf: np.ndarray, mean_length: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         packer = Packer(TaskContext.get().partitionId(), window, dtype, idf, mean_length)
         items, held = [], 0
         for batch in batches:
-            for doc_id, total, full, rest in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["doc_tokens"], batch["full"], batch["rest"]):
-                packer.whole(doc_id, list(full), total)
+            for doc_id, total, full, rest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "full", "rest"))):
+                packer.whole(doc_id, full, total)
                 ids = np.frombuffer(rest, dtype)
                 if len(ids):
                     items.append((doc_id, total - len(ids), ids, total))
                     held += len(ids)
-                if held >= BLOCK_TOKENS:
-                    packer.block(items)
+                if held >= MOST_INDEXED:
+                    packer.shard(items)
                     items, held = [], 0
                     yield packer.drain()
-        packer.block(items)
+        packer.shard(items)
         packer.end()
         yield packer.drain()
 
@@ -251,16 +255,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     enc = encoder(tokenizer)
     vocabulary = max(enc.tokenizer.get_vocab_size(), end_id + 1)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    items = stored(source.mapInPandas(_tokenise(tokenizer, window, end_id), _ITEMS), "packing-items")
+    items = stored(source.mapInArrow(_tokenise(tokenizer, window, end_id), _ITEMS), "packing-items")
     n, tokens = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("rest_tokens"), F.lit(0))).first()
     # one row per vocabulary entry at most
-    counts = items.select("rest").mapInPandas(_frequencies(enc.dtype, vocabulary), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    counts = items.select("rest").mapInArrow(_frequencies(enc.dtype, vocabulary), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(vocabulary)
     df[counts["term"].to_numpy(int)] = counts["df"]
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     shards = max(1, round(tokens / SHARD_TOKENS))
-    tie = F.xxhash64("doc_id", "rest")
-    dealt = items.repartitionByRange(shards, "k1", "k2", "k3", tie)
-    return dealt.sortWithinPartitions("k1", "k2", "k3", "doc_id").select("doc_id", "doc_tokens", "full", "rest").mapInPandas(
+    dealt = items.withColumn("tie", F.xxhash64("doc_id", "rest")).repartitionByRange(shards, "k1", "k2", "k3", "tie")
+    return dealt.sortWithinPartitions("k1", "k2", "k3", "tie", "doc_id").select("doc_id", "doc_tokens", "full", "rest").mapInArrow(
         _pack(window, enc.dtype, idf, max(1.0, tokens / max(1, n))), PIECES
     )

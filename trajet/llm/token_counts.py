@@ -22,7 +22,7 @@ def encoded_length(text_col: str = "text", tokenizer: str = TOKENIZER_FILE):
     @F.pandas_udf("long")
     def length(texts: pd.Series) -> pd.Series:
         enc = encoder(tokenizer)
-        return pd.Series([len(enc.encode(t)) // enc.dtype.itemsize for t in texts], dtype="int64")
+        return pd.Series(list(map(len, enc.encode_all(texts.tolist()))), dtype="int64")
 
     return length(text_or_empty(text_col))
 
