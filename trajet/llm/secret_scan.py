@@ -1,11 +1,15 @@
 """Secrets: fixed patterns, and strings on which a public tokenizer is inefficient.
 
-Random strings give few characters per token, prose and identifiers many. Long runs of key characters that mix digits
-with letters are encoded with a tiktoken vocabulary; those under a ratio are reported as kind `random`, unless they are
-known digests (hexadecimal of a digest's length), UUIDs, plain numbers, or overlap a pattern's match.
+Random strings give few characters per token, prose and identifiers many. Runs of key characters are encoded with a
+tiktoken vocabulary. Known digests (hexadecimal of a digest's length), UUIDs, dates and plain numbers in a run are
+identifiers, and what a pattern reports is reported already: both are taken out first. In each part that is left, every longest stretch
+of tokens whose characters stay under the ratio is reported as kind `random` if it is long enough, so a key is found
+alone, with or without digits, and behind or between readable words. Stretches that are joined plain words (names of
+constants, versions) are identifiers too.
 
 Offsets count code points; ends are exclusive. Defined cases: null and empty texts have no spans (the digest of the empty
-list is that of the empty string); null and repeated ids are rows of their own; an empty table gives an empty result.
+list is that of the empty string); null and repeated ids are rows of their own; spans that start together are in the order
+of KINDS; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,11 +18,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import arrow_rows, text_or_empty
 
 VOCABULARY_FILE = "byte_bpe_50k.tiktoken"
 #: Characters per token below which a run is random.
@@ -31,10 +35,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST_LENGTH)
-_UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 # Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests.
 _DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
+_KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|"
+    + "|".join(rf"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in _DIGEST_LENGTHS)
+    + r"|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9]{2}(?:-?[0-9]{2}){1,2}Z?)?|[0-9]{6,})(?![A-Za-z0-9])"
+)
+#: Three or more words of one character class each, joined: the name of a constant or a version.
+_NAME = re.compile(r"(?:[A-Z]+|[a-z]+|[A-Z][a-z]+|[0-9]+)(?:[_-](?:[A-Z]+|[a-z]+|[A-Z][a-z]+|[0-9]+)){2,}")
 
 _OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 _encodings: dict[str, object] = {}
@@ -55,14 +64,6 @@ def encoding(name: str = VOCABULARY_FILE):
     return _encodings[name]
 
 
-def is_random(run: str, ratio: float = RATIO, name: str = VOCABULARY_FILE) -> bool:
-    if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-        return False
-    if _UUID.fullmatch(run) or _DIGEST.fullmatch(run) and len(run) in _DIGEST_LENGTHS:
-        return False
-    return len(run) < ratio * len(encoding(name).encode_ordinary(run))
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end), ascending."""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8] if "=" in text or ":" in text else []
@@ -72,12 +73,53 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def stretches(part: str, ratio: float = RATIO, least: int = LEAST_LENGTH, name: str = VOCABULARY_FILE) -> list[tuple[int, int]]:
+    """(start, end) of the longest stretches of tokens with less than `ratio` characters per token.
+
+    A token counts ratio less its length; the stretches are the disjoint ones with the largest sums: each is cut
+    where its sum was highest, once the sum has fallen back to zero.
+    """
+    lengths = [len(t) for t in encoding(name).decode_tokens_bytes(encoding(name).encode_ordinary(part))]
+    found = []
+    total = top = 0.0
+    start = at = end = 0
+    for n in [*lengths, ratio * (len(lengths) + 2)]:  # the last one ends any sum
+        if total <= 0:
+            start, total, top = at, 0.0, 0.0
+        at += n
+        total += ratio - n
+        if total > top:
+            top, end = total, at
+        elif total <= 0 and top > 0:
+            # separators at its edges are no part of it
+            a, b = start, int(end)
+            while a < b and not part[a].isalnum():
+                a += 1
+            while a < b and not part[b - 1].isalnum():
+                b -= 1
+            if b - a >= least and not _NAME.fullmatch(part, a, b):
+                found.append((a, b))
+    return found
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], ratio: float = RATIO, name: str = VOCABULARY_FILE) -> list[tuple[int, int, int]]:
-    return [
-        (m.start(), 3, m.end())
-        for m in _RUN.finditer(text)
-        if is_random(m[0], ratio, name) and not any(a < m.end() and m.start() < b for a, _, b in base)
-    ]
+    """base: ascending."""
+    found, at = [], 0
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        while at < len(base) and base[at][2] <= start:
+            at += 1
+        taken = [known.span() for known in _KNOWN.finditer(m[0])]
+        taken = [(start + a, start + b) for a, b in taken]
+        i = at
+        while i < len(base) and base[i][0] < end:
+            taken.append((base[i][0], base[i][2]))
+            i += 1
+        for a, b in [*sorted(taken), (end, end)]:
+            if a - start >= LEAST_LENGTH:
+                found += [(start + x, 3, start + y) for x, y in stretches(text[start:a], ratio, LEAST_LENGTH, name)]
+            start = max(start, b)
+    return found
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -87,16 +129,14 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO, vocabulary: str = VOCABULARY_FILE) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for text in batch.column("text").to_pylist():
                 base = base_spans(text)
                 more = random_spans(text, base, ratio, vocabulary)
                 counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
-                out.append((doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more)))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                out.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more)))
+            yield arrow_rows(out, _OUT, doc_id=batch.column("doc_id"))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, _OUT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, _OUT)
