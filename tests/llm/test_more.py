@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from test_core import empty, odd, odd_rows, rows_of  # noqa: F401
 
-from trajet.llm import fingerprints, secret_scan, sharding, token_counts, tokens, url_filter
+from trajet.llm import fingerprints, packing, secret_scan, sharding, token_counts, tokens, url_filter
 
 URLS = [
     "http://Example.ORG/es/x?q=1", "https://a.example.org/en/12#t", "http://org/", "http://notexample.org/en/1", "http://b.com/fr/a",
@@ -166,6 +166,29 @@ def test_secret_scan(spark, odd, empty):  # noqa: F811
     assert secret_scan.scan(odd).count() == len(odd_rows()) and secret_scan.scan(empty).count() == 0
 
 
+def test_random_keys_are_found_behind_words_and_without_digits():
+    import random
+    import string
+
+    random.seed(3)
+    for alphabet in (string.ascii_letters + string.digits, string.ascii_letters, string.ascii_letters + string.digits + "-_"):
+        for lead in ("", "example/reports/quarterly/statistics/", "accounts/production/database/connection="):
+            missed = 0
+            for _ in range(200):
+                key = "".join(random.choices(alphabet, k=36))
+                start = 4 + len(lead)
+                spans = secret_scan.random_spans(f"see {lead}{key} end", [])
+                missed += sum(min(b, start + 36) - max(a, start) for a, _, b in spans) < 24
+            assert missed <= 4
+    # the part of a run that a pattern has not reported
+    key = "".join(random.choices(string.ascii_letters + string.digits, k=40))
+    text = f"{'0123456789abcdef' * 3}/{key}"
+    assert secret_scan.random_spans(text, secret_scan.base_spans(text))[0][2] == len(text)
+    plain = ["internationalization", "getElementByIdForTheWindow", "SOME_ENVIRONMENT_VARIABLE_NAME", "org/apache/spark/sql/catalyst/expressions", "-" * 60, "2024-01-02T03-04-05-2024-01-02",
+             "1-2-3-4-5-6-7-8-9-10-11-12", "550e8400-e29b-41d4-a716-446655440000", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "12345678901234567890123", "x" * 5_000]
+    assert all(secret_scan.random_spans(t, []) == [] for t in plain)
+
+
 def test_sharding(spark, odd, empty):  # noqa: F811
     rng = np.random.default_rng(0)
     rows = [(i, "x" * int(rng.integers(1, 400)) + str(i % 900)) for i in range(3000)] + [(i, "copy " * 20) for i in range(5000, 6500)] + [(i, None) for i in range(7000, 8000)]
@@ -230,6 +253,30 @@ def test_fingerprints(spark, odd, empty, monkeypatch):  # noqa: F811
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_ids_keep_their_values_beside_nulls(spark):
+    ids = [2**53 + 1, None, -(2**53) - 1, 2**63 - 1, 7, 7]
+    df = spark.createDataFrame([(i, f"text number {k} with some words in it") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    for op in (secret_scan.scan, fingerprints.fingerprints, packing.pack):
+        assert {r["doc_id"] for r in rows_of(op(df))} == set(ids)
+
+
+def test_fingerprints_of_heavy_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(fingerprints, "HEAVY", 12)
+    rows = [(i, f"single text number {i} of the table") for i in range(30)] + [(None, f"text {i} without an id but with words") for i in range(40)]
+    rows += [(15, f"text {i} with a frequent id and words") for i in range(20)] + [(15, "a row that repeats very often")] * 90 + [(None, "")] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    h = {r["text"]: r["h"] for r in rows_of(df.selectExpr("text", "xxhash64(text) AS h"))}
+    often = {(15, "a row that repeats very often"), (None, "")}
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r in often, h[r[1]]))
+    want = Counter()
+    for i, (doc_id, t) in enumerate(rows):
+        new = fingerprints.edited(t, rows[(i + 1) % len(rows)][1])
+        want[doc_id, len(t), hashlib.sha256(new.encode()).hexdigest(), fingerprints.as_string(fingerprints.sketch(t))] += 1
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"]) for r in rows_of(fingerprints.fingerprints(df)))
+    assert got == want
+
+
 def test_bucket_of(spark):
     bounds = sorted(np.random.default_rng(1).choice(10_000, 300, replace=False).tolist())
     df = spark.createDataFrame([(int(x),) for x in range(-5, 10_010, 7)], "x long")

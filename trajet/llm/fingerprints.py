@@ -7,10 +7,12 @@ out, so such a text is compared by all hashes of both.
 
 Edited texts need the next document by id. Ids are cut into buckets at approximate quantiles; the bucket's first
 document is also sent to the bucket before, and each task streams its buckets in order with two documents in memory.
-Texts are shuffled once.
+Texts are shuffled once. An id (or null) with more rows than a bucket should hold has buckets of its own, by text hash,
+and a row repeated as often is spread over buckets at random, where each is followed by its own text.
 
 Defined cases: null text equals the empty one, whose sketch is empty; two empty sketches have likeness 1, an empty and
-another one 0; null ids come last; rows with equal ids stand in text order; a single row is its own next.
+another one 0; null ids come last; rows with equal ids stand in the order of a text hash, those repeated over HEAVY times
+last; a single row is its own next; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,16 +21,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import arrow_rows, text_or_empty
 
 SHINGLE_WORDS = 5
 #: The fraction of the hash range that is kept.
 FRACTION = 0.25
+#: Rows of a bucket, about. Beyond MOST_BUCKETS of them buckets grow instead; a task sorts on disk and streams.
 BUCKET_ROWS, MOST_BUCKETS = 1_000, 16_384
+#: Rows of one id that get buckets of their own (or a MOST_BUCKETS-th of all rows, if that is more).
+HEAVY = 4_000
 REMEMBERED = 1_000_000
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -132,44 +137,74 @@ def _stream(fraction: float, width: int):
         prints = as_string(kept(own, fraction)), as_string(kept(changed, fraction))
         return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), *prints, likeness_of(own, changed, fraction), likeness_of(own, next_own, fraction))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, in_bucket = None, None
         for batch in batches:
             out = []
-            for bucket, tail, doc_id, text in zip(batch["bucket"], batch["tail"], batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
+            for *bucket, tail, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sub", "salt", "tail", "doc_id", "text"))):
                 if bucket != in_bucket:
+                    if held is not None:  # the next bucket goes on with the same text
+                        out.append(row(held, held))
                     held, in_bucket = None, bucket
                 if tail and held is None:
-                    continue  # rows that repeat the id of the one used
+                    continue  # rows that repeat the one used
                 doc = (doc_id, text, shingle_hashes(text, width))
                 if held is not None:
                     out.append(row(held, doc))
                 held = None if tail else doc
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield arrow_rows(out, _OUT)
+        if held is not None:
+            yield arrow_rows([row(held, held)], _OUT)
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = FRACTION, width: int = SHINGLE_WORDS) -> DataFrame:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ids = source.select("doc_id")
-    buckets = max(1, min(MOST_BUCKETS, ids.count() // BUCKET_ROWS))
-    bounds = []
+    n = ids.count()
+    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
+    bounds = set()
     if buckets > 1:
         quantiles = F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 50_000)
-        bounds = sorted(set(ids.agg(quantiles).first()[0] or []))
+        bounds = set(ids.agg(quantiles).first()[0] or [])
+    # fewer than MOST_BUCKETS
+    limit = max(HEAVY, n // MOST_BUCKETS)
+    many = ids.groupBy("doc_id").count().filter(F.col("count") > limit).collect()
+    bounds |= {i for r in many if r["doc_id"] is not None for i in (r["doc_id"], r["doc_id"] + 1) if i < 2**63}
+    bounds = sorted(bounds)
     # null ids have the bucket after all others
     bucket = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(bucket_of(F.col("doc_id"), bounds)).cast("int")
+    hashed = lambda df: df.withColumns({"hash": F.xxhash64("text"), "bucket": bucket})
+    if many:
+        slim = hashed(source).select("doc_id", "hash")
+        heavy_ids = spark.createDataFrame([(r["doc_id"], r["count"] // BUCKET_ROWS + 1) for r in many], "heavy long, parts long")
+        pairs = slim.join(F.broadcast(heavy_ids), F.col("doc_id").eqNullSafe(F.col("heavy"))).groupBy("doc_id", "hash").count().filter(F.col("count") > limit).collect()
+        pairs = sorted(pairs, key=lambda r: r["hash"])
+        heavy_rows = [(r["doc_id"], r["hash"], 2**31 - 1 - len(pairs) + i, r["count"] // BUCKET_ROWS + 1) for i, r in enumerate(pairs)]
+        heavy_rows = spark.createDataFrame(heavy_rows, "row_id long, row_hash long, row_sub long, salts long")
+
+        def parted(df: DataFrame) -> DataFrame:
+            df = hashed(df).join(F.broadcast(heavy_ids), F.col("doc_id").eqNullSafe(F.col("heavy")), "left")
+            df = df.join(F.broadcast(heavy_rows), F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("hash") == F.col("row_hash")), "left")
+            range_of = F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * F.coalesce("parts", F.lit(1)))
+            return df.withColumn("sub", F.coalesce("row_sub", range_of).cast("int")).drop("heavy", "parts", "row_id", "row_hash", "row_sub")
+    else:
+        parted = lambda df: hashed(df).withColumns({"sub": F.lit(0), "salts": F.lit(None).cast("long")})
     # one row for each bucket
-    firsts = ids.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first")).orderBy("bucket").collect()
-    before = [(r["first"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
-    first_of = docs.sparkSession.createDataFrame(before, "first long, before int")
-    dealt = source.withColumn("bucket", bucket).join(F.broadcast(first_of), F.col("doc_id").eqNullSafe(F.col("first")), "left")
-    homes = F.array(F.struct(F.col("bucket"), F.lit(False).alias("tail")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("tail")))
+    firsts = parted(source).groupBy("bucket", "sub").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.coalesce(F.max("salts"), F.lit(1)).alias("salts")).orderBy("bucket", "sub").collect()
+    before = [(*r["first"], *(firsts[i - 1][c] for c in ("bucket", "sub")), firsts[i - 1]["salts"] - 1) for i, r in enumerate(firsts)]
+    first_of = spark.createDataFrame(before, "first long, first_hash long, before int, before_sub int, before_salt long")
+    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64(F.monotonically_increasing_id()), "salts")).otherwise(0).cast("long")
+    dealt = parted(source).withColumn("salt", salt)
+    is_first = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("first_hash")) & (F.col("salt") == 0)
+    dealt = dealt.join(F.broadcast(first_of), is_first, "left")
+    home = lambda b, s, t, tail: F.struct(F.col(b).alias("bucket"), F.col(s).alias("sub"), F.col(t).alias("salt"), F.lit(tail).alias("tail"))
+    homes = F.array(home("bucket", "sub", "salt", False), home("before", "before_sub", "before_salt", True))
     both = F.when(F.col("before").isNotNull(), homes).otherwise(F.slice(homes, 1, 1))
-    dealt = dealt.select("doc_id", "text", F.explode(both).alias("home")).select("home.bucket", "home.tail", "doc_id", "text")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_last(), "text")
-    return ordered.mapInPandas(_stream(fraction, width), _OUT)
+    dealt = dealt.select("doc_id", "text", "hash", F.explode(both).alias("home")).select("home.*", "doc_id", "text", "hash")
+    place = ["bucket", "sub", "salt"]
+    ordered = dealt.repartition(*place).sortWithinPartitions(*place, "tail", F.col("doc_id").asc_nulls_last(), "hash", "text").drop("hash")
+    return ordered.mapInArrow(_stream(fraction, width), _OUT)
