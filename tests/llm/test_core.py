@@ -130,6 +130,57 @@ def test_mixing(odd, empty):
     assert mixing.apply_mix(odd).columns == odd.columns
 
 
+def spark_key(doc_id, text, seed=17):
+    """xxhash64(doc_id, text, seed) as Spark has it: each value's hash seeds the next, nulls are skipped."""
+    h = 42
+    for v in (doc_id is not None and doc_id.to_bytes(8, "little", signed=True), text is not None and text.encode(), seed.to_bytes(4, "little")):
+        if v is not False:
+            h = xxhash.xxh64_intdigest(v, h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_mix(rows):
+    """(id, text, source) rows -> how often each (id, text, source) joins, and the words it takes."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r[2]].append(r)
+    goals = brute_targets({s: sum(size(r[1]) for r in rs) for s, rs in by_source.items()})
+    copies, words = Counter(), Counter()
+    for s, rs in by_source.items():
+        total = sum(size(r[1]) for r in rs)
+        epochs, left = divmod(round(goals[s]), total) if total else (0, 0)
+        for r in sorted(rs, key=lambda r: spark_key(r[0], r[1])):
+            n = size(r[1])
+            extra = min(n, left)
+            left -= extra
+            words[r] += epochs * n + extra
+            copies[r] += (epochs + (2 * extra >= n)) if n else 0
+    return copies, words
+
+
+@pytest.mark.parametrize("repeats", [1, 40])
+def test_mix_and_its_documents_by_brute_force(spark, empty, repeats):
+    """Repeated ids, rows and sources; the cut of source "b" falls among repeats of one row."""
+    rng = np.random.default_rng(repeats)
+    rows = [(i, prose(i, int(rng.integers(0, 30))), "abcdé"[i % 5]) for i in range(120)]
+    rows += [(7, f"another text of id seven {i}", "b") for i in range(5)] + [(None, "no id", None), (None, None, "a"), (9, "", "c")]
+    rows += [(500, "one row that repeats itself", "b"), (501, "and another one", "d")] * repeats
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "doc_id AS size", "text AS _key", "1 AS _copies").repartition(5)
+    copies, words = brute_mix(rows)
+    taken = Counter()
+    for r in rows_of(mixing.mix(df)):
+        taken[r["doc_id"], r["size"]] += r["taken"]
+    want = Counter()
+    for r, n in words.items():
+        want[r[0], len((r[1] or "").split())] += n
+    assert taken == want
+    out = mixing.apply_mix(df)
+    assert out.columns == df.columns
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in rows_of(out)) == +copies
+    assert mixing.apply_mix(empty).count() == 0
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -364,7 +415,7 @@ def test_pipeline_equals_its_steps(spark, odd, tmp_path):
 
 
 def test_pipeline_equals_plain_python(spark, tmp_path):
-    """Without toxic labels every document is clean; both deduplications are written out here, mixing has a test of its own."""
+    """Without toxic labels every document is clean; the deduplications and the mix are written out here."""
     import corpus_pipeline
 
     rows = [(i, text, "en", source, 1) for i, text, _, source, _ in odd_rows()]
@@ -380,6 +431,6 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
             best[bare(text)] = (rank, (i, text))
     kept = brute_keep_one([r for _, r in best.values()])
     assert {None, 50} <= {i for i, _ in kept}
-    mixed = rows_of(mixing.apply_mix(spark.createDataFrame([(i, t, next(r[3] for r in rows if r[0] == i and (r[1] or "") == t)) for i, t in kept], "doc_id long, text string, source string")))
+    copies, _ = brute_mix([next((r[0], r[1], r[3]) for r in rows if r[0] == i and (r[1] or "") == t) for i, t in kept])
     assert pieces and {i for i, _ in kept} >= {r["doc_id"] for r in pieces}
-    check_packing(pieces, [(r["doc_id"], r["text"]) for r in mixed])
+    check_packing(pieces, [(i, t) for (i, t, _), n in copies.items() for _ in range(n)])
