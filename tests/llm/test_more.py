@@ -213,6 +213,21 @@ def test_sharding(spark, odd, empty):  # noqa: F811
     assert sharding.shard(empty).count() == 0
 
 
+def test_shards_of_repeated_rows_and_overfull_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_RANGES", 8)
+    monkeypatch.setattr(sharding, "OVERFULL", 100)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 30)
+    rows = [(i, f"record number {i} " * (1 + i % 3)) for i in range(3998)] + [(5, "the same row again")] * 4000
+    out = rows_of(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)))
+    assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((i, len(t) + 16) for i, t in rows)
+    loads, slots = Counter(), defaultdict(list)
+    for r in out:
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert set(loads) == set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(loads.values()) < 1.1 * min(loads.values())
+
+
 def test_token_counts(spark, odd, empty):  # noqa: F811
     enc = tokens.encoder()
     lengths = [len(enc.tokenizer.encode(r[1] or "", add_special_tokens=False).ids) for r in odd_rows()]
