@@ -34,6 +34,8 @@ END_ID = 2
 SHARD_TOKENS = 1_500_000
 MOST_INDEXED = 6_000_000
 K1, B = 1.2, 0.75
+#: A term of more than one in DENSE items has a whole row of weights.
+DENSE = 8
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ITEMS = "doc_id long, doc_tokens long, full array<long>, rest binary, rest_tokens long, k1 long, k2 long, k3 long"
@@ -50,15 +52,22 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def _lexical_key(ids: np.ndarray) -> tuple[int, int, int]:
-    """The three least hashes of the item's distinct token pairs, hashed once more: equal for copies, often shared by
-    near texts, and even whatever the lengths of texts (a long text's least hash is small)."""
-    if len(ids) < 2:
-        return (0, 0, 0)
-    pairs = _mixed(ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64))
-    low = np.unique(np.partition(pairs, min(63, len(pairs) - 1))[:64])[:3]
-    low = _mixed(low).view(np.int64).tolist()
-    return tuple((low + [low[-1]] * 2)[:3])
+def _lexical_keys(items: list[np.ndarray]) -> list[list[int]]:
+    """Three keys of each item: the least of its token pairs under three hashes, hashed once more. They are equal for
+    copies, often shared by near texts, and even whatever the lengths of texts (a long text's least hash is small)."""
+    lengths = np.fromiter(map(len, items), np.int64, len(items))
+    ends = np.cumsum(lengths)
+    keys = np.zeros((3, len(items)), np.uint64)
+    long = np.flatnonzero(lengths > 1)
+    if len(long):
+        flat = np.concatenate(items).astype(np.uint64)
+        pairs = _mixed(flat[:-1] << np.uint64(32) | flat[1:])
+        for k in range(3):
+            pairs = _mixed(pairs) if k else pairs
+            pairs[ends[:-1] - 1] = np.iinfo(np.uint64).max  # across two items
+            # an item's pairs end before its last token; what lies between items is never least
+            keys[k, long] = _mixed(np.minimum.reduceat(pairs, (ends - lengths)[long]))
+    return keys.view(np.int64).T.tolist()
 
 
 def _tokenise(name: str, window: int, end_id: int):
@@ -66,13 +75,14 @@ def _tokenise(name: str, window: int, end_id: int):
         enc = encoder(name)
         end = np.array([end_id], enc.dtype)
         for batch in batches:
-            out = []
+            out, rests = [], []
             for ids in enc.encode_all(batch.column("text").to_pylist()):
                 ids = np.concatenate((ids, end))
                 n = len(ids) // window * window
                 full = [crc32(ids[i : i + window]) for i in range(0, n, window)]
-                rest = ids[n:]
-                out.append((len(ids), full, rest.tobytes(), len(rest), *_lexical_key(rest)))
+                rests.append(ids[n:])
+                out.append((len(ids), full, rests[-1].tobytes(), len(ids) - n))
+            out = [(*row, *keys) for row, keys in zip(out, _lexical_keys(rests))]
             yield arrow_rows(out, _ITEMS, doc_id=batch.column("doc_id"))
 
     return run
@@ -115,13 +125,26 @@ class Index:
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.post_starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.n = n
+        # the weights of frequent terms in whole rows, which add up faster than postings; at most DENSE times as many
+        frequent = np.flatnonzero(np.diff(self.post_starts) * DENSE > n)
+        self.row = np.full(len(idf), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), n))
+        held = self.row[term] >= 0
+        self.rows[self.row[term[held]], doc[held]] = weight[held]
 
     def scores(self, seed: int) -> np.ndarray:
         terms = self.doc_terms[self.doc_starts[seed] : self.doc_starts[seed + 1]]
+        rows = self.row[terms]
+        terms = terms[rows < 0]
         spans = [slice(a, b) for a, b in zip(self.post_starts[terms].tolist(), self.post_starts[terms + 1].tolist())]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
+        if spans:
+            out = np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
+        else:
+            out = np.zeros(self.n)
+        for r in rows[rows >= 0].tolist():
+            out += self.rows[r]
+        return out
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Every unused item but the seed that shares a term with it, best BM25 score first, ties in order."""
