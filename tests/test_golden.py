@@ -116,7 +116,7 @@ def test_observations(spark):
     ],
 )
 def test_scorer(spark, answer, truth, ok):
-    assert value(spark, G.score_answer(F.lit(answer), F.lit(truth))) is ok
+    assert value(spark, G.grade(F.lit(answer), F.lit(truth))) is ok
 
 
 def test_final_answer_and_judges(spark):

@@ -1,6 +1,7 @@
 """The run store's round trips, and streams against their batch forms."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,15 @@ def test_cached_calls(spark):
     assert [tuple(r) for r in hits.collect()] == [("a", 1.0)] and [r[0] for r in misses.collect()] == ["b"]
 
 
+def read_all(query, n, patience=90):
+    """Waits until the query has read n rows. A query with timers never runs out of batches, so it cannot be asked for all available."""
+    until = time.time() + patience
+    while sum(p["numInputRows"] for p in query.recentProgress) < n:
+        if query.exception() or time.time() > until:
+            raise RuntimeError(f"{query.exception()}: {query.lastProgress}")
+        time.sleep(0.1)
+
+
 def stream(spark, df, path, op, mode="append"):
     """The rows in two files, one a batch."""
     n = df.count()
@@ -69,7 +79,7 @@ def stream(spark, df, path, op, mode="append"):
         part.coalesce(1).write.mode("append").parquet(path)
     src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
     q = op(src).writeStream.outputMode(mode).format("memory").queryName("out").start()
-    q.processAllAvailable()
+    read_all(q, n)
     q.stop()
     return spark.table("out")
 

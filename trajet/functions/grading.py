@@ -1,59 +1,56 @@
-"""Answer normalisation and grading as column expressions."""
+"""Grading of answers as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-FLOAT = r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$"
-#: The longest numeric prefix, as a lenient parser reads it.
-PREFIX = r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)"
 
+def number(s):
+    """The value of a string that is a number and nothing else; null otherwise."""
+    bare = F.trim(s)
+    # a cast also takes 1d and Infinity
+    return F.when(bare.rlike("[0-9.]$"), bare.try_cast("double"))
 
-def number_prefix(s):
-    """The number that a string starts with, or null."""
-    found = F.regexp_extract(s, PREFIX, 1)
-    return F.when(found != "", found.cast("double"))
 
+def leading_number(s):
+    """The number that a string begins with; null without one."""
+    start = lambda shape: F.regexp_extract(F.trim(s), shape, 0).try_cast("double")
+    return F.coalesce(start("^[-+.0-9eE]*"), start("^[-+]?[0-9]*[.]?[0-9]*"))
 
-def is_float(s):
-    return F.trim(s).rlike(FLOAT) & number_prefix(s).isNotNull()
 
-
-def normalize_number(s):
-    return number_prefix(F.trim(F.regexp_replace(s, "[$,%]", "")))
-
-
-def normalize_text(s):
+def bare_text(s):
     return F.regexp_replace(F.lower(s), r"[\s\p{P}]", "")
 
 
-def split_list(s):
-    return F.filter(F.transform(F.split(s, "[,;]"), F.trim), lambda x: F.length(x) > 0)
+def entries(s):
+    return F.filter(F.transform(F.split(s, "[,;]"), F.trim), lambda x: x != "")
 
 
-def _same(answer, truth):
-    numeric = F.coalesce(normalize_number(answer) == number_prefix(truth), F.lit(False))
-    return F.when(is_float(truth), numeric).otherwise(normalize_text(answer) == normalize_text(truth))
+def _agrees(answer, truth):
+    """A number with its value, whatever currency, percent or thousands marks the answer has; else the bare texts."""
+    value = number(truth)
+    given = leading_number(F.translate(answer, "$,%", ""))
+    return F.when(value.isNotNull(), F.coalesce(given == value, F.lit(False))).otherwise(bare_text(answer) == bare_text(truth))
 
 
-def score_answer(answer, truth):
-    """Numbers by value, lists by position, text without case, white space and punctuation."""
-    a, t = split_list(answer), split_list(truth)
-    as_list = (F.size(a) == F.size(t)) & F.forall(F.arrays_zip(a.alias("a"), t.alias("t")), lambda p: _same(p["a"], p["t"]))
-    return F.when(is_float(truth), _same(answer, truth)).when(truth.rlike("[,;]"), as_list).otherwise(_same(answer, truth))
+def grade(answer, truth):
+    """Whether an answer is right: a list entry by entry in order, unless the truth is a single number or has no separator."""
+    both = F.arrays_zip(entries(answer).alias("given"), entries(truth).alias("wanted"))
+    in_order = (F.size(entries(answer)) == F.size(entries(truth))) & F.forall(both, lambda e: _agrees(e["given"], e["wanted"]))
+    listed = number(truth).isNull() & truth.rlike("[,;]")
+    return F.when(listed, in_order).otherwise(_agrees(answer, truth))
 
 
 def final_answer(text):
-    """What follows the last marker; the bold form goes first."""
-    bold = F.split(text, r"Final answer:\*\*")
-    plain = F.split(text, "Final answer:")
-    return F.trim(F.when(F.size(bold) > 1, F.element_at(bold, -1)).when(F.size(plain) > 1, F.element_at(plain, -1)).otherwise(text))
+    """What stands behind the last marker; the bold marker goes before the plain one."""
+    last = lambda marker: F.when(F.contains(text, F.lit(marker)), F.substring_index(text, marker, -1))
+    return F.trim(F.coalesce(last("Final answer:**"), last("Final answer:"), text))
 
 
 def yes_no(reply):
-    """A reply that starts with yes or no; else null."""
-    start = F.lower(F.trim(reply))
-    return F.when(start.rlike(r"^yes\b"), True).when(start.rlike(r"^no\b"), False)
+    """True for a reply whose first word is yes, false for no; else null."""
+    word = F.regexp_extract(F.lower(F.trim(reply)), "^[a-z0-9_]*", 0)
+    return F.when(word == "yes", True).when(word == "no", False)
 
 
 def three_level(reply):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 # The digest budgets in characters and the marker that stands for what is cut.
 TRUNCATION_MARKER = "[…truncated…]"
+#: Encodings that this worker has loaded.
+_encodings: dict = {}
 HEAD_CHARS, TAIL_CHARS = 300, 300
 PAGE_HEAD, PAGE_TAIL = 800, 400
 
@@ -15,6 +20,23 @@ def char_tokens(text):
     return F.ceil(F.length(text) / 4).cast("long")
 
 
+def vocabulary_tokens(text, path: str, pattern: str):
+    """Tokens of a tiktoken vocabulary: path names its file of ranks, pattern the split that goes with it. Null has none."""
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        import tiktoken
+
+        key = (path, pattern)
+        if key not in _encodings:
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            _encodings[key] = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encode = _encodings[key].encode_ordinary
+        return pd.Series([len(encode(t or "")) for t in texts], dtype="int64")
+
+    return count(text)
+
+
 def byte_tokens(size):
     return F.ceil(size / 4).cast("long")
 

@@ -72,29 +72,14 @@ def prefix_classes(parts: DataFrame) -> DataFrame:
 
 
 def hysteresis(classes: DataFrame) -> DataFrame:
-    """The class changes only after two equal dissents in a row: a fold over each session's turns, in the JVM."""
-    state = "struct<last:string,pending:string,n:int,out:array<struct<turn_index:bigint,raw_class:string,class:string>>>"
-
-    def step(acc, x):
-        raw = x["raw_class"]
-        first, same = acc["last"].isNull(), acc["last"] == raw
-        again = acc["pending"] == raw
-        flips = first | same | F.coalesce(again & (acc["n"] + 1 >= 2), F.lit(False))
-        last = F.when(flips, raw).otherwise(acc["last"])
-        return F.struct(
-            last.alias("last"),
-            F.when(~flips, raw).alias("pending"),
-            F.when(flips, 0).when(F.coalesce(again, F.lit(False)), acc["n"] + 1).otherwise(1).cast("int").alias("n"),
-            F.concat(acc["out"], F.array(F.struct(x["turn_index"].alias("turn_index"), raw.alias("raw_class"), last.alias("class")))).alias("out"),
-        ).cast(state)
-
-    start = F.struct(
-        F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("pending"), F.lit(0).alias("n"),
-        F.array().cast("array<struct<turn_index:bigint,raw_class:string,class:string>>").alias("out"),
-    ).cast(state)
-    ordered = classes.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", "raw_class"))).alias("turns"))
-    folded = ordered.select("session_id", F.explode(F.aggregate("turns", start, step)["out"]).alias("o"))
-    return folded.select("session_id", "o.turn_index", "o.raw_class", "o.class")
+    """The class changes only after two equal dissents in a row, so it is the raw class of the latest turn that repeats its
+    predecessor's, or the first one: two windows over a session's turns."""
+    order = Window.partitionBy("session_id").orderBy("turn_index")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    repeated = F.when(F.col("raw_class") == F.lag("raw_class").over(order), F.col("raw_class"))
+    marked = classes.select("session_id", "turn_index", "raw_class", repeated.alias("_repeated"))
+    cls = F.coalesce(F.last("_repeated", ignorenulls=True).over(upto), F.first("raw_class").over(upto))
+    return marked.select("session_id", "turn_index", "raw_class", cls.alias("class"))
 
 
 def dispatch(classes: DataFrame, classifier: bool = True, configured: str | None = None, observer: bool = True, offloader: bool = True) -> DataFrame:

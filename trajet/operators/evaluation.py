@@ -41,6 +41,21 @@ def cells(records: DataFrame) -> DataFrame:
     )
 
 
+def merge_turn_events(turns: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of a run join the turns of their index: (task_id, turn_index, compaction_events, recall_events, class_signal).
+
+    events: (task_id, seq, kind, turn_index, payload). A turn's own array stays unless it is empty; of the class signals
+    of a turn the last one wins and goes before the turn's own. Events of no turn are left out.
+    """
+    of = lambda kind: F.filter(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("seq", "payload")))), lambda e: e.isNotNull())["payload"]
+    found = events.groupBy("task_id", "turn_index").agg(
+        of("compaction").alias("_compactions"), of("recall").alias("_recalls"), F.max_by(F.when(F.col("kind") == "class_signal", F.col("payload")), F.when(F.col("kind") == "class_signal", F.col("seq"))).alias("_signal")
+    )
+    filled = lambda own, new: F.when(F.size(own) > 0, F.col(own)).otherwise(F.coalesce(new, F.array().cast("array<string>"))).alias(own)
+    joined = turns.join(found, ["task_id", "turn_index"], "left")
+    return joined.select("task_id", "turn_index", filled("compaction_events", "_compactions"), filled("recall_events", "_recalls"), F.coalesce("_signal", "class_signal").alias("class_signal"))
+
+
 def mode_class(records: DataFrame) -> DataFrame:
     """(task_id, class): the most frequent signal over a task's turns, ties by name, null without any."""
     signals = records.select("task_id", F.explode_outer(F.filter(F.col("turns")["class_signal"], lambda s: s.isNotNull())).alias("class"))
@@ -119,29 +134,50 @@ def draw(*parts):
     return F.conv(F.substring(F.sha2(F.concat_ws(":", *(p.cast("string") for p in parts)), 256), 1, 8), 16, 10).cast("long")
 
 
-def permutation_test(diffs: DataFrame, n_perm: int, seed: int = 42) -> DataFrame:
-    """(task_id, diff) -> n, delta, p_value of the two-sided sign-flip test. Pairs without a difference need no signs."""
-    spark = diffs.sparkSession
-    totals = diffs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("diff"), F.lit(0.0)).alias("delta"), F.sum("diff").alias("s"))
-    perms = spark.range(n_perm).select(F.col("id").alias("perm"))
-    # n_perm rows: a constant of the test
-    flips = diffs.filter("diff <> 0").join(F.broadcast(perms))
-    sign = F.when(draw(F.col("task_id"), F.col("perm"), F.lit(seed)) % 2 == 0, 1).otherwise(-1)
-    sums = perms.join(flips.groupBy("perm").agg(F.sum(F.col("diff") * sign).alias("x")), "perm", "left").select(F.coalesce("x", F.lit(0.0)).alias("x"))
-    extreme = sums.join(F.broadcast(totals)).agg(F.count_if(F.abs("x") >= F.abs("s") - 1e-9).alias("c"), F.max("n").alias("n"), F.max("delta").alias("delta"))
+#: Random bits of a SHA-256 that are used: four words of 60 bits, which fit a long in every engine.
+WORD_BITS, WORDS = 60, 4
+
+
+def permutation_test(diffs: DataFrame, n_perm: int = 10_000, seed: int = 42) -> DataFrame:
+    """(task_id, diff) -> n, delta, p_value, p_pooled of the two-sided sign-flip test; without pairs both p are 1.
+
+    Pairs of equal absolute difference are exchangeable, so only the number of plus signs among them counts: that of ones
+    among as many random bits. A permutation reads bits, not pairs.
+    """
+    totals = diffs.agg(F.count("diff").alias("n"), F.coalesce(F.avg("diff"), F.lit(0.0)).alias("delta"), F.coalesce(F.sum("diff"), F.lit(0.0)).alias("s"))
+    bits = WORD_BITS * WORDS
+    sizes = diffs.filter("diff <> 0").groupBy(F.abs("diff").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    flips = sizes.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).repartition("perm")
+    flips = flips.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(k - 1) div {bits}"))))
+    digest = F.sha2(F.concat_ws(":", F.format_string("%.9f", "v"), F.col("perm").cast("string"), F.col("block").cast("string"), F.lit(str(seed))), 256)
+    flips = flips.withColumns({"h": digest, "left": F.col("k") - F.col("block") * bits})
+    ones = F.lit(0)
+    for w in range(WORDS):
+        word = f"cast(conv(substring(h, {1 + w * WORD_BITS // 4}, {WORD_BITS // 4}), 16, 10) as bigint)"
+        used = f"greatest(0, least({WORD_BITS}, left - {w * WORD_BITS}))"
+        ones = ones + F.expr(f"bit_count(shiftright({word}, cast({WORD_BITS} - {used} as int)))")
+    drawn = flips.groupBy("perm", "v", "k").agg(F.sum(ones).alias("plus")).groupBy("perm").agg(F.sum(F.col("v") * (2 * F.col("plus") - F.col("k"))).alias("x"))
+    # n_perm rows, and one: constants of the test
+    sums = diffs.sparkSession.range(n_perm).withColumnRenamed("id", "perm").join(drawn, "perm", "left").select(F.coalesce("x", F.lit(0.0)).alias("x"))
+    extreme = sums.join(F.broadcast(totals)).agg(F.count_if(F.abs("x") >= F.abs("s") - 1e-12).alias("c"), F.max("n").alias("n"), F.max("delta").alias("delta"))
     return extreme.select("n", "delta", (F.col("c") / n_perm).alias("p_value"), ((F.col("c") + 1) / (n_perm + 1)).alias("p_pooled"))
 
 
-def bootstrap(scores: DataFrame, reps: int, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """(score) 0/1 rows -> accuracy, lo, hi by the percentile method. Only the number of ones matters, so a draw is a
-    hit when its index falls among them; no row is joined."""
-    n, k = scores.agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+def bootstrap(scores: DataFrame, reps: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """(score) 0/1 rows -> accuracy, lo, hi by the percentile method; zeros without rows. Only the number of ones matters,
+    so a draw is a hit when its index falls among them; no row is joined, and a digest gives eight draws."""
     spark = scores.sparkSession
-    draws = spark.range(reps * n).select(F.floor(F.col("id") / n).cast("long").alias("rep"), (F.col("id") % n).alias("i"))
-    means = draws.groupBy("rep").agg(F.avg(F.when(draw(F.col("rep"), F.col("i"), F.lit(seed)) % n < int(k), 1.0).otherwise(0.0)).alias("m"))
+    totals = scores.agg(F.count("score").alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).cast("long").alias("k"))
+    drawn = spark.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(totals))
+    drawn = drawn.withColumn("block", F.explode(F.expr("sequence(0L, greatest(n - 1, 0L) div 8)")))
+    drawn = drawn.withColumn("h", F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in ("rep", "block")), F.lit(str(seed))), 256))
+    hit = lambda j: F.when((F.col("block") * 8 + j < F.col("n")) & (F.conv(F.substring("h", 1 + 8 * j, 8), 16, 10).cast("long") % F.nullif("n", F.lit(0)) < F.col("k")), 1).otherwise(0)
+    means = drawn.groupBy("rep", "n", "k").agg(F.sum(sum((hit(j) for j in range(1, 8)), hit(0))).alias("hits"))
+    means = means.select(F.coalesce(F.try_divide("hits", "n"), F.lit(0.0)).alias("m"), F.coalesce(F.try_divide("k", "n"), F.lit(0.0)).alias("a"))
+    # reps rows
     ranked = means.withColumn("_rn", F.row_number().over(Window.orderBy("m")) - 1)
     at = lambda i: F.max(F.when(F.col("_rn") == i, F.col("m")))
-    return ranked.agg(F.lit(k / n).alias("accuracy"), at(int(alpha / 2 * reps)).alias("lo"), at(int((1 - alpha / 2) * reps)).alias("hi"))
+    return ranked.agg(F.max("a").alias("accuracy"), at(int(alpha / 2 * reps)).alias("lo"), at(int((1 - alpha / 2) * reps)).alias("hi"))
 
 
 def wilson(k, n, z: float = 1.96):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,28 +45,29 @@ def reasoning(parts: DataFrame) -> DataFrame:
 
 def offload(groups: DataFrame, t_size=T_SIZE, t_cum: int = T_CUM, keep_last: int = KEEP_LAST_GROUPS) -> DataFrame:
     """Decides each group in result order: the last ones stay; larger than t_size goes; what would lift the kept total
-    over t_cum goes. The kept total depends on earlier decisions, so this is a fold over the session's groups."""
+    over t_cum goes. The kept total depends on earlier decisions, so workers stream each session's groups in order and
+    carry one number; no session is held."""
     t_size = t_size if not isinstance(t_size, int) else F.lit(t_size)
-    item = F.struct("result_idx", "group_id", "use_id", "tool_name", "result_bytes", "turn_index", t_size.cast("long").alias("t_size"))
-    out = "array<struct<group_id:string,offloaded:boolean,kept_before:bigint>>"
-    per = groups.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("g"))
-
-    def step(acc, x):
-        size, kept = x["result_bytes"], acc["kept"]
-        after = F.size("g") - acc["i"] - 1
-        goes = (after >= keep_last) & ((size > x["t_size"]) | (kept + size > t_cum))
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            F.when(goes, kept).otherwise(kept + size).alias("kept"),
-            F.concat(acc["out"], F.array(F.struct(x["group_id"].alias("group_id"), goes.alias("offloaded"), kept.alias("kept_before")))).alias("out"),
-        ).cast(f"struct<i:int,kept:bigint,out:{out}>")
-
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("kept"), F.array().cast(out).alias("out")).cast(f"struct<i:int,kept:bigint,out:{out}>")
-    zipped = per.select("session_id", F.explode(F.arrays_zip("g", F.aggregate("g", start, step)["out"].alias("d"))).alias("z"))
-    g, d = F.col("z")["g"], F.col("z")["d"]
-    return zipped.select(
-        "session_id", *(g[c].alias(c) for c in ("result_idx", "group_id", "use_id", "tool_name", "result_bytes", "turn_index")), d["offloaded"].alias("offloaded"), d["kept_before"].alias("kept_before")
-    )
+    names = ["result_idx", "group_id", "use_id", "tool_name", "result_bytes", "turn_index"]
+    newest = Window.partitionBy("session_id").orderBy(F.col("result_idx").desc(), F.col("group_id").desc(), F.col("use_id").desc())
+    ranked = groups.select("session_id", *names, t_size.cast("long").alias("t_size"), (F.row_number().over(newest) - 1).alias("after"))
+    kinds = dict(ranked.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ["session_id", *names]) + ", offloaded boolean, kept_before long"
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, kept = None, 0
+        for batch in batches:
+            goes, before = [], []
+            for of, size, most, after in zip(batch["session_id"], batch["result_bytes"], batch["t_size"], batch["after"]):
+                if of != session:
+                    session, kept = of, 0
+                goes.append(after >= keep_last and (size > most or kept + size > t_cum))
+                before.append(kept)
+                kept += 0 if goes[-1] else size
+            yield batch[["session_id", *names]].assign(offloaded=goes, kept_before=before)
+
+    ordered = ranked.repartition("session_id").sortWithinPartitions("session_id", F.col("after").desc())
+    return ordered.mapInPandas(decide, schema)
 
 
 def pointers(decided: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import functions as F
 
-# What is left out, and what carries text.
-SKIPPED = frozenset({"script", "style", "nav", "header", "footer", "noscript"})
-BEARING = frozenset({"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "pre", "blockquote"})
+# Fixed values, which must equal those of the page tool whose answers are matched: elements that are dropped, and those
+# whose text counts.
+SKIPPED = frozenset({"script", "style", "noscript", "iframe", "svg", "nav", "header", "footer", "aside"})
+BEARING = frozenset({"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "blockquote", "pre"})
 MOST_CHARS = 50_000
 
 
@@ -19,19 +20,25 @@ class _Reader(HTMLParser):
         self.skip = 0
         self.open: list[list[str]] = []
         self.blocks: list[list[str]] = []
-        self.title: list[str] = []
+        self.titles: list[list[str]] = []
+        self.heading: list[str] | None = None
         self.all: list[str] = []
         self.in_title = False
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
             self.skip += 1
+        elif self.skip:
+            return
         elif tag == "title":
             self.in_title = True
+            self.titles.append([])
         elif tag in BEARING:
             # blocks stand in the order of their start, nested ones once more for themselves
             self.open.append(block := [])
             self.blocks.append(block)
+            if tag == "h1" and self.heading is None:
+                self.heading = block
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
@@ -43,7 +50,7 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data):
         if self.in_title:
-            self.title.append(data)
+            self.titles[-1].append(data)
         elif not self.skip:
             self.all.append(data)
             for block in self.open:
@@ -60,7 +67,9 @@ def extract(html: str) -> tuple[str, str]:
     text = "\n\n".join(blocks) if blocks else clean(reader.all)
     if len(text) > MOST_CHARS:
         text = text[:MOST_CHARS] + f"\n\n[truncated at {MOST_CHARS} characters]"
-    return clean(reader.title), text
+    # the first title, else the first main heading
+    title = clean(reader.titles[0]) if reader.titles else ""
+    return title or clean(reader.heading or []), text
 
 
 def page_text(html):

@@ -76,7 +76,24 @@ def change_address(orders: DataFrame, requests: DataFrame) -> DataFrame:
     return joined.select("order_id", F.when(F.col("error").isNull(), fresh).alias("new_address"), "error")
 
 
-def find_user(users: DataFrame, asked: DataFrame) -> DataFrame:
-    """(name, nation) requests against users; a miss says so."""
-    found = asked.join(users, ["name", "nation"], "left")
-    return found.select("name", "nation", F.coalesce(F.col("user_id").cast("string"), F.lit("user not found")).alias("answer"))
+def find(have: DataFrame, asked: DataFrame, keys: list[str], answer: str, missing) -> DataFrame:
+    """Requests (keys) against a table that has them: + answer, or the `missing` column where nothing has these keys. Of
+    several rows with the same keys the one with the least answer counts; a null key finds nothing."""
+    known = have.groupBy(*keys).agg(F.min(answer).alias("_answer"))
+    return asked.join(known, keys, "left").select(*asked.columns, F.coalesce(F.col("_answer").cast("string"), missing).alias("answer"))
+
+
+def find_user_by_email(users: DataFrame, asked: DataFrame) -> DataFrame:
+    return find(users, asked, ["email"], "user_id", F.lit("user_id_not_found"))
+
+
+def find_user_by_name_zip(users: DataFrame, asked: DataFrame) -> DataFrame:
+    return find(users, asked, ["first_name", "last_name", "zip"], "user_id", F.lit("user_id_not_found"))
+
+
+def details(have: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
+    """(<kind>_id) requests -> the row as a struct, or an error that names the id."""
+    key = f"{kind}_id"
+    rows = have.select(key, F.struct(*[c for c in have.columns if c != key]).alias("details"), F.lit(True).alias("_there"))
+    error = F.when(F.col("_there").isNull(), F.concat(F.lit(f"{kind} not found: "), F.col(key).cast("string")))
+    return asked.join(rows, key, "left").select(key, "details", error.alias("error"))

@@ -46,16 +46,20 @@ def naive_truncation(df: DataFrame, budget: int) -> DataFrame:
     return kept.unionByName(marker.withColumn("tokens", F.ceil(F.length("text") / 4).cast("long")))
 
 
-def pair_start(seed: DataFrame, groups: DataFrame, rounds: int = 32) -> DataFrame:
+def pair_start(seed: DataFrame, groups: DataFrame) -> DataFrame:
     """(session_id, start) -> the earliest start such that no group has its result inside and its call outside.
 
-    One pass over each session's groups in descending result order reaches the fixpoint when calls precede results;
-    results before their calls need the walk to go on, so the fold repeats over the array until nothing moves.
+    By descending result, the groups that pull the start back are the first ones: each has its result at or behind the
+    earliest call of those before it, or the start itself. One sort and two running values reach the fixpoint.
     """
-    per = groups.groupBy("session_id").agg(F.collect_list(F.struct("use_idx", "result_idx")).alias("g"))
-    lower = lambda acc: F.array_min(F.concat(F.array(acc), F.transform(F.filter("g", lambda x: x["result_idx"] >= acc), lambda x: x["use_idx"])))
-    fix = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("g"), F.lit(1))), F.col("start").cast("long"), lambda acc, _: lower(acc))
-    return seed.join(per, "session_id", "left").select("session_id", F.when(F.col("g").isNull(), F.col("start")).otherwise(fix).cast("long").alias("start"))
+    known = seed.select("session_id", F.col("start").cast("long").alias("start"))
+    order = Window.partitionBy("session_id").orderBy(F.col("result_idx").desc(), "use_idx")
+    earlier, upto_here = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    pulled = F.least("start", F.min("use_idx").over(earlier))
+    inside = groups.select("session_id", "use_idx", "result_idx").join(known, "session_id").withColumn("_fits", F.col("result_idx") >= pulled)
+    chained = inside.withColumn("_fits", F.bool_and("_fits").over(upto_here)).filter("_fits")
+    reached = chained.groupBy("session_id").agg(F.min("use_idx").alias("_least"))
+    return known.join(reached, "session_id", "left").select("session_id", F.least("start", "_least").cast("long").alias("start"))
 
 
 def watermark(df: DataFrame, observed: DataFrame) -> DataFrame:

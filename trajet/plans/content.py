@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grading as G
 from ..functions import text as T
-from ..operators import observations, retail
+from ..operators import fixtures, memory, observations, retail
 from ..sources.derive import MESSAGES, TOOL_MESSAGES, messages, table, tool_messages
 from .registry import query
 from .trajectory import observation_lines
@@ -31,15 +31,16 @@ def q_digest_page(spark, d):
     return table(spark, d, "pages").select("page_id", T.page_digest(F.col("url"), F.col("html")).alias("digest"))
 
 
-OBS_TEXT = """ob AS (SELECT session_id, msg_idx AS seq, '- 2024-01-' || lpad((msg_idx % 28 + 1)::VARCHAR, 2, '0') || ' (' || ['high', 'med', 'low'][(msg_idx % 3 + 1)::INT] || ') ' || substr(text, 1, 80) AS line FROM m WHERE role = 'user'),
+OBS_TEXT = """ob AS (SELECT session_id, msg_idx AS seq, '- 2024-01-' || lpad((msg_idx % 28 + 1)::VARCHAR, 2, '0') || ' (' || ['high', 'med', 'low'][(msg_idx % 3 + 1)::INT] || ') ' || text AS line FROM m WHERE role = 'user'),
     ot AS (SELECT session_id, 0::BIGINT AS source_turn, string_agg(regexp_replace(line, '[\\r\\n]', ' ', 'g') || chr(10) || '  - detail ' || seq, chr(10) ORDER BY seq) || chr(10) || '- 2024/02/01 (sure) odd' || chr(10) || '- 1700000000 (low) numbered' AS text FROM ob GROUP BY 1),
-    ln AS (SELECT session_id, source_turn, i AS pos, string_split(text, chr(10))[i] AS line FROM ot, generate_series(1, len(string_split(text, chr(10)))) AS g(i)),
-    mk AS (SELECT *, regexp_matches(line, '^-\\s+(\\d{4}-\\d{2}-\\d{2}|\\d{4}/\\d{2}/\\d{2}|\\d+)\\s+\\((high|med|low)\\)\\s+(.+)$') AS is_obs FROM ln WHERE trim(line) <> ''),
-    pa AS (SELECT *, sum(is_obs::INT) OVER (PARTITION BY session_id, source_turn ORDER BY pos) AS parent,
-        regexp_extract(line, '^-\\s+(\\d{4}-\\d{2}-\\d{2}|\\d{4}/\\d{2}/\\d{2}|\\d+)\\s+\\((high|med|low)\\)\\s+(.+)$', 1) AS ts, regexp_extract(line, '^-\\s+\\S+\\s+\\((high|med|low)\\)\\s+(.+)$', 1) AS cf, regexp_extract(line, '^-\\s+\\S+\\s+\\((high|med|low)\\)\\s+(.+)$', 2) AS st FROM mk),
-    po AS (SELECT session_id, source_turn, parent::BIGINT AS seq, max(CASE WHEN is_obs THEN CASE WHEN regexp_full_match(ts, '\\d+') THEN ts::BIGINT ELSE epoch(strptime(replace(ts, '/', '-'), '%Y-%m-%d'))::BIGINT END END) AS timestamp,
-            max(cf) FILTER (is_obs) AS confidence, max(st) FILTER (is_obs) AS statement, count(*) FILTER (NOT is_obs AND regexp_matches(line, '^\\s{2,}-\\s+(.+)$'))::BIGINT AS n_details, NULL::VARCHAR AS reason FROM pa WHERE parent > 0 GROUP BY 1, 2, 3
-        UNION ALL SELECT session_id, source_turn, NULL, NULL, NULL, line, 0, 'unknown confidence' FROM pa WHERE NOT is_obs AND regexp_matches(line, '^-\\s+(\\d{4}-\\d{2}-\\d{2}|\\d{4}/\\d{2}/\\d{2}|\\d+)\\s+\\([^)]+\\)'))"""
+    ln AS (SELECT session_id, source_turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM ot),
+    mk AS (SELECT *, split_part(line, ' ', 1) = '-' AS headed, split_part(line, ' ', 2) AS ts, split_part(line, ' ', 3) AS lv FROM ln WHERE trim(line) <> ''),
+    pa AS (SELECT *, headed AND lv IN ('(high)', '(med)', '(low)') AS is_obs FROM mk),
+    pb AS (SELECT *, sum(is_obs::INT) OVER (PARTITION BY session_id, source_turn ORDER BY pos) AS parent,
+        ltrim(substr(line, length('- ' || ts || ' ' || lv) + 1)) AS st FROM pa),
+    po AS (SELECT session_id, source_turn, parent::BIGINT AS seq, max(CASE WHEN is_obs THEN CASE WHEN contains(ts, '-') THEN epoch(ts::DATE)::BIGINT ELSE ts::BIGINT END END) AS timestamp,
+            max(trim(lv, '()')) FILTER (is_obs) AS confidence, max(st) FILTER (is_obs) AS statement, count(*) FILTER (starts_with(line, '  - '))::BIGINT AS n_details, NULL::VARCHAR AS reason FROM pb WHERE parent > 0 GROUP BY 1, 2, 3
+        UNION ALL SELECT session_id, source_turn, NULL, NULL, NULL, line, 0, 'unknown confidence' FROM pb WHERE headed AND NOT is_obs AND starts_with(lv, '('))"""
 
 
 def parsed_observations(spark, d):
@@ -60,18 +61,18 @@ def q_observation_note(spark, d):
     return observations.note(parsed_observations(spark, d))
 
 
-ANSWER = "CASE doc_id % 4 WHEN 0 THEN 'So. Final answer: ' || substr(text, 1, 20) WHEN 1 THEN 'Final answer: no. Final answer:** ' || n_chars WHEN 2 THEN 'I think 17 apples' ELSE substr(text, 1, 30) END"
+ANSWER = "CASE doc_id % 4 WHEN 0 THEN text || ' So. Final answer: ' || text WHEN 1 THEN text || 'Final answer: no. Final answer:** ' || n_chars WHEN 2 THEN 'Final answer:** ' || text || ' Final answer: x' ELSE text END"
 
 
 def answers(spark, d):
-    k = F.col("doc_id") % 4
-    text = (
-        F.when(k == 0, F.concat(F.lit("So. Final answer: "), F.substring("text", 1, 20)))
-        .when(k == 1, F.concat(F.lit("Final answer: no. Final answer:** "), F.col("n_chars").cast("string")))
-        .when(k == 2, "I think 17 apples")
-        .otherwise(F.substring("text", 1, 30))
+    k, text = F.col("doc_id") % 4, F.col("text")
+    response = (
+        F.when(k == 0, F.concat(text, F.lit(" So. Final answer: "), text))
+        .when(k == 1, F.concat(text, F.lit("Final answer: no. Final answer:** "), F.col("n_chars").cast("string")))
+        .when(k == 2, F.concat(F.lit("Final answer:** "), text, F.lit(" Final answer: x")))
+        .otherwise(text)
     )
-    return table(spark, d, "documents").select("doc_id", "n_chars", text.alias("response"))
+    return table(spark, d, "documents").select("doc_id", "n_chars", response.alias("response"))
 
 
 FINAL = "CASE WHEN contains(response, 'Final answer:**') THEN trim(list_last(string_split(response, 'Final answer:**'))) WHEN contains(response, 'Final answer:') THEN trim(list_last(string_split(response, 'Final answer:'))) ELSE trim(response) END"
@@ -82,28 +83,39 @@ def q_final_answer(spark, d):
     return answers(spark, d).select("doc_id", G.final_answer(F.col("response")).alias("answer"))
 
 
-TRUTHS = "CASE doc_id % 5 WHEN 0 THEN '17' WHEN 1 THEN 'alpha, 2; Gamma' WHEN 2 THEN 'The  Answer!' WHEN 3 THEN '1,000' ELSE '3.50' END"
-GIVEN = "CASE doc_id % 7 WHEN 0 THEN '17 apples' WHEN 1 THEN 'Alpha,2.0, gamma' WHEN 2 THEN 'the answer' WHEN 3 THEN '$1,000' WHEN 4 THEN '3.5%' WHEN 5 THEN 'gamma, 2, alpha' ELSE 'none' END"
+BARE = lambda x: f"regexp_replace(lower({x}), '[\\s\\p{{P}}]', '', 'g')"
+VALUE = lambda x: f"try_cast(trim(translate({x}, '$,%', '')) AS DOUBLE)"
 
 
-@query(f"""WITH a AS (SELECT doc_id, {TRUTHS} AS truth, {GIVEN} AS answer FROM documents),
-    same(truth, answer, ok) AS (VALUES ('17', '17 apples', true), ('alpha, 2; Gamma', 'Alpha,2.0, gamma', true), ('The  Answer!', 'the answer', true), ('3.50', '3.5%', true), ('1,000', '$1,000', true))
-    SELECT doc_id, truth, answer, coalesce(ok, false) AS correct FROM a LEFT JOIN same USING (truth, answer)""")
+@query(f"""WITH a AS (SELECT doc_id, n_chars, source, CASE doc_id % 4 WHEN 0 THEN n_chars::VARCHAR WHEN 1 THEN lang || ', ' || n_chars || '; ' || source ELSE text END AS truth,
+        CASE doc_id % 4 WHEN 0 THEN CASE WHEN doc_id % 3 = 0 THEN (n_chars + 1)::VARCHAR ELSE '$' || n_chars || '.0' END WHEN 1 THEN CASE WHEN doc_id % 5 = 0 THEN lang || ',' || source || ',' || n_chars ELSE upper(lang) || ',' || n_chars || '.0,' || source || '!' END
+            WHEN 2 THEN ' ' || replace(text, ' ', ' - ') || ' ?!' ELSE text || ' and more' END AS answer FROM documents)
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {VALUE("answer")} = n_chars WHEN 1 THEN {VALUE("split_part(answer, ',', 2)")} IS NOT DISTINCT FROM n_chars AND {BARE("split_part(answer, ',', 3)")} = {BARE("source")} AND {BARE("split_part(answer, ',', 1)")} = {BARE("split_part(truth, ',', 1)")}
+        WHEN 2 THEN {BARE("answer")} = {BARE("truth")} ELSE {BARE("answer")} = {BARE("truth")} END AS correct FROM a""")
 def q_answer_score(spark, d):
-    pick = lambda xs, m: F.element_at(F.array(*map(F.lit, xs)), (F.col("doc_id") % m + 1).cast("int"))
-    truth = pick(["17", "alpha, 2; Gamma", "The  Answer!", "1,000", "3.50"], 5)
-    given = pick(["17 apples", "Alpha,2.0, gamma", "the answer", "$1,000", "3.5%", "gamma, 2, alpha", "none"], 7)
-    a = table(spark, d, "documents").select("doc_id", truth.alias("truth"), given.alias("answer"))
-    return a.withColumn("correct", G.score_answer(F.col("answer"), F.col("truth")))
-
-
-@query("""SELECT doc_id, reply, CASE WHEN regexp_matches(lower(trim(reply)), '^yes\\b') THEN true WHEN regexp_matches(lower(trim(reply)), '^no\\b') THEN false END AS yes_no, contains(lower(reply), 'yes') AS loose_yes,
-    CASE doc_id % 4 WHEN 2 THEN 0.5 END::DOUBLE AS level
-    FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' Yes, it is' WHEN 1 THEN 'No: yes is wrong' WHEN 2 THEN 'verdict {"score": 0.5}' ELSE 'nothing {"score": 0.7}' END AS reply FROM documents)""")
+    """Numbers, lists and whole texts of the documents, each against a right or a wrong reply made from the same row."""
+    kind, n = F.col("doc_id") % 4, F.col("n_chars").cast("string")
+    truth = F.when(kind == 0, n).when(kind == 1, F.concat("lang", F.lit(", "), n, F.lit("; "), "source")).otherwise(F.col("text"))
+    as_number = F.when(F.col("doc_id") % 3 == 0, (F.col("n_chars") + 1).cast("string")).otherwise(F.concat(F.lit("$"), n, F.lit(".0")))
+    as_list = F.when(F.col("doc_id") % 5 == 0, F.concat_ws(",", "lang", "source", n)).otherwise(F.concat(F.upper("lang"), F.lit(","), n, F.lit(".0,"), "source", F.lit("!")))
+    as_text = F.when(kind == 2, F.concat(F.lit(" "), F.replace(F.col("text"), F.lit(" "), F.lit(" - ")), F.lit(" ?!"))).otherwise(F.concat("text", F.lit(" and more")))
+    answer = F.when(kind == 0, as_number).when(kind == 1, as_list).otherwise(as_text)
+    # a whole text that holds a comma is a list to the grader, so texts go without
+    plain = lambda x: F.when(kind > 1, F.translate(x, ",;", "")).otherwise(x)
+    return table(spark, d, "documents").select("doc_id", G.grade(plain(answer), plain(truth)).alias("correct"))
+
+
+@query("""SELECT doc_id, word = 'yes' AS starts_yes, CASE word WHEN 'yes' THEN true WHEN 'no' THEN false END AS yes_no, contains(lower(reply), 'yes') AS loose_yes, CASE WHEN doc_id % 4 = 2 THEN (n_chars % 3) / 2.0 WHEN doc_id % 4 = 3 THEN NULL END::DOUBLE AS level
+    FROM (SELECT *, regexp_extract(lower(trim(reply)), '^[a-z0-9_]*') AS word FROM (SELECT doc_id, n_chars, text, CASE doc_id % 4 WHEN 0 THEN ' Yes, ' || text WHEN 1 THEN 'No: ' || text WHEN 2 THEN 'verdict {"score": ' || (n_chars % 3) / 2.0 || '} of ' || n_chars ELSE text END AS reply FROM documents))
+    WHERE doc_id % 4 <> 3 OR NOT contains(text, '{')""")
 def q_judge_parse(spark, d):
-    reply = F.element_at(F.array(F.lit(" Yes, it is"), F.lit("No: yes is wrong"), F.lit('verdict {"score": 0.5}'), F.lit('nothing {"score": 0.7}')), (F.col("doc_id") % 4 + 1).cast("int"))
-    r = table(spark, d, "documents").select("doc_id", reply.alias("reply"))
-    return r.select("doc_id", "reply", G.yes_no(F.col("reply")).alias("yes_no"), F.contains(F.lower("reply"), F.lit("yes")).alias("loose_yes"), G.three_level(F.col("reply")).alias("level"))
+    """Replies made from the documents' whole texts, those without a JSON object of their own."""
+    kind, text = F.col("doc_id") % 4, F.col("text")
+    verdict = F.format_string('verdict {"score": %.1f} of %d', (F.col("n_chars") % 3) / 2.0, "n_chars")
+    reply = F.when(kind == 0, F.concat(F.lit(" Yes, "), text)).when(kind == 1, F.concat(F.lit("No: "), text)).when(kind == 2, verdict).otherwise(text)
+    r = table(spark, d, "documents").filter((kind != 3) | ~F.contains("text", F.lit("{"))).select("doc_id", reply.alias("reply"))
+    yes = G.yes_no(F.col("reply"))
+    return r.select("doc_id", F.coalesce(yes, F.lit(False)).alias("starts_yes"), yes.alias("yes_no"), F.contains(F.lower("reply"), F.lit("yes")).alias("loose_yes"), G.three_level(F.col("reply")).alias("level"))
 
 
 @query("""WITH n AS (SELECT doc_id AS task_id, ['all', 'any', 'mean'][(doc_id % 3 + 1)::INT] AS rule, unnest([quality, 1 - toxic, (doc_id % 2)::INT]) AS score FROM labels)
@@ -173,27 +185,54 @@ def q_cancel_refund(spark, d):
     return retail.cancel(orders(spark, d))
 
 
-@query("""SELECT a.name, a.nation, coalesce(c_custkey::VARCHAR, 'user not found') AS answer FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN 'Nobody' || c_custkey ELSE c_name END AS name, c_nationkey AS nation FROM customer) a LEFT JOIN customer c ON c.c_name = a.name AND c.c_nationkey = a.nation""")
+USERS = "u AS (SELECT c_custkey AS user_id, lower(split_part(c_name, '#', 1)) || c_custkey || '@example.com' AS email, split_part(c_name, '#', 1) AS first_name, split_part(c_name, '#', 2) AS last_name, lpad(c_nationkey::VARCHAR, 5, '0') AS zip FROM customer)"
+
+
+def users(spark, d):
+    name = F.split("c_name", "#")
+    first, last = F.get(name, F.lit(0)), F.get(name, F.lit(1))
+    email = F.concat(F.lower(first), F.col("c_custkey").cast("string"), F.lit("@example.com"))
+    return table(spark, d, "customer").select(
+        F.col("c_custkey").alias("user_id"), email.alias("email"), first.alias("first_name"), last.alias("last_name"), F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("zip")
+    )
+
+
+@query(f"WITH {USERS}, a AS (SELECT CASE WHEN user_id % 10 = 0 THEN 'nobody' || user_id || '@example.com' ELSE email END AS email FROM u) SELECT a.email, coalesce(u.user_id::VARCHAR, 'user_id_not_found') AS answer FROM a LEFT JOIN u USING (email)")
+def q_user_by_email(spark, d):
+    u = users(spark, d)
+    email = F.when(F.col("user_id") % 10 == 0, F.concat(F.lit("nobody"), F.col("user_id").cast("string"), F.lit("@example.com"))).otherwise(F.col("email"))
+    return retail.find_user_by_email(u, u.select(email.alias("email")))
+
+
+@query(f"WITH {USERS}, a AS (SELECT first_name, last_name, CASE WHEN user_id % 7 = 0 THEN '99999' ELSE zip END AS zip FROM u) SELECT a.*, coalesce(u.user_id::VARCHAR, 'user_id_not_found') AS answer FROM a LEFT JOIN u USING (first_name, last_name, zip)")
 def q_user_lookup(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
-    name = F.when(F.col("user_id") % 10 == 0, F.concat(F.lit("Nobody"), F.col("user_id").cast("string"))).otherwise(F.col("name"))
-    return retail.find_user(c, c.select(name.alias("name"), "nation"))
+    u = users(spark, d)
+    wrong = F.when(F.col("user_id") % 7 == 0, "99999").otherwise(F.col("zip"))
+    return retail.find_user_by_name_zip(u, u.select("first_name", "last_name", wrong.alias("zip")))
 
 
-COS = "list_cosine_similarity(a.embedding, b.embedding)"
+@query("""WITH o AS (SELECT 'order' AS kind, CASE WHEN o_orderkey % 9 = 0 THEN -o_orderkey ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS found FROM orders),
+    p AS (SELECT 'product', CASE WHEN p_partkey % 9 = 0 THEN -p_partkey ELSE p_partkey END, CASE WHEN p_partkey % 9 <> 0 THEN p_name END FROM part),
+    us AS (SELECT 'user', CASE WHEN c_custkey % 9 = 0 THEN -c_custkey ELSE c_custkey END, CASE WHEN c_custkey % 9 <> 0 THEN c_name END FROM customer)
+    SELECT kind, id, found, CASE WHEN found IS NULL THEN kind || ' not found: ' || id END AS error FROM (SELECT * FROM o UNION ALL SELECT * FROM p UNION ALL SELECT * FROM us)""")
+def q_retail_details(spark, d):
+    """Orders, products and users by id; every ninth request names an id that is not there."""
+    out = []
+    for kind, name, key, shown in (("order", "orders", "o_orderkey", "o_orderstatus"), ("product", "part", "p_partkey", "p_name"), ("user", "customer", "c_custkey", "c_name")):
+        have = table(spark, d, name).filter(f"{key} > 0").select(F.col(key).alias(f"{kind}_id"), F.col(shown).alias("shown"))
+        asked = table(spark, d, name).select(F.when(F.col(key) % 9 == 0, -F.col(key)).otherwise(F.col(key)).alias(f"{kind}_id"))
+        out.append(retail.details(have, asked, kind).select(F.lit(kind).alias("kind"), F.col(f"{kind}_id").cast("long").alias("id"), F.col("details.shown").alias("found"), "error"))
+    return out[0].unionAll(out[1]).unionAll(out[2])
 
 
-@query(f"""SELECT query_id, vec_id, rank FROM (SELECT b.vec_id AS query_id, a.vec_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY round({COS}::DOUBLE, 5) DESC, a.vec_id)::BIGINT AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 20""")
+COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query(f"""SELECT query_id, vec_id, rank FROM (SELECT b.vec_id AS query_id, a.vec_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY round({COS}, 5) DESC, a.vec_id)::BIGINT AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 20""")
 def q_memory_topk(spark, d):
-    """Top 20 by cosine for each of a stated set of queries (ids divisible by 100), against all vectors."""
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
-    v = v.withColumn("norm", F.sqrt(dot("e", "e")))
-    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), F.col("norm").alias("qn"))
-    pairs = v.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
-    near = F.round(dot("e", "q") / (F.col("norm") * F.col("qn")), 5)
-    order = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id")
-    return pairs.select("query_id", "vec_id", near.alias("near")).withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 20").drop("near")
+    """Top 20 by cosine for the stated queries (ids divisible by 20), against all vectors."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return memory.nearest(v, v.filter("vec_id % 20 = 0"), 20)
 
 
 @query("""SELECT event_id, substr(sha256('{"k":' || (props->>'k') || '}'), 1, 16) AS config_id FROM events""")
@@ -226,9 +265,18 @@ def q_top_results(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.concat(top, F.when(F.count(F.lit(1)) > 5, ",…").otherwise("")).alias("top"))
 
 
-@query("""SELECT event_id, (props->>'k')::BIGINT = event_id % 10 AS equal_k, list_contains(json_keys(props), 'k') AS has_k FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN (props->>'k')::BIGINT = event_id % 10 WHEN 1 THEN true WHEN 2 THEN false ELSE (props->>'k')::BIGINT <> 3 END AS fits FROM events""")
 def q_json_subset(spark, d):
-    return table(spark, d, "events").select("event_id", (F.get_json_object("props", "$.k").cast("long") == F.col("event_id") % 10).alias("equal_k"), F.array_contains(F.json_object_keys("props"), "k").alias("has_k"))
+    """Whether wanted arguments occur in a call's: flat values, nested objects in another key order, a missing key, nested values that differ."""
+    k, n = F.get_json_object("props", "$.k"), F.col("event_id")
+    call = F.format_string('{"k": %s, "at": {"x": [%s, 2], "y": {"z": null}}, "more": true}', k, k)
+    wanted = (
+        F.when(n % 4 == 0, F.format_string('{"k": %d}', n % 10))
+        .when(n % 4 == 1, F.format_string('{"more": true, "at": {"y": {"z": null}, "x": [%s, 2]}}', k))
+        .when(n % 4 == 2, F.format_string('{"k": %s, "absent": null}', k))
+        .otherwise(F.format_string('{"at": {"x": [%s, 2], "y": {"z": null}}}', F.when(k == "3", "4").otherwise(k)))
+    )
+    return table(spark, d, "events").select("event_id", fixtures.is_subset(wanted, call).alias("fits"))
 
 
 @query("""WITH a AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_linestatus))) AS s, list_sort(list_distinct(list(l_returnflag))) AS f FROM lineitem GROUP BY 1)
@@ -245,11 +293,11 @@ def q_ordered_distinct(spark, d):
     return firsts.groupBy("user_id").agg(ordered.alias("l")).select("user_id", F.array_join(F.col("l")["event_type"], ",").alias("kinds"))
 
 
-@query("""SELECT item_id, CASE WHEN item_id % 10 = 0 THEN 'abstention' ELSE ['fact', 'temporal', 'preference'][(item_id % 3 + 1)::INT] END AS kind, 'Judge whether the answer is right.' || chr(10) || 'Question: ' || substr(text, 1, 60) || chr(10) || 'Answer yes or no.' AS prompt FROM benchmark""")
+@query("""SELECT item_id, CASE WHEN item_id % 10 = 0 THEN 'abstention' ELSE ['fact', 'temporal', 'preference'][(item_id % 3 + 1)::INT] END AS kind, 'Judge whether the answer is right.' || chr(10) || 'Question: ' || text || chr(10) || 'Answer yes or no.' AS prompt FROM benchmark""")
 def q_judge_prompt(spark, d):
     question_id = F.concat(F.lit("q"), F.col("item_id").cast("string"), F.when(F.col("item_id") % 10 == 0, "_abs").otherwise(""))
     kind = F.when(F.endswith(question_id, F.lit("_abs")), "abstention").otherwise(F.element_at(F.array(F.lit("fact"), F.lit("temporal"), F.lit("preference")), (F.col("item_id") % 3 + 1).cast("int")))
-    return table(spark, d, "benchmark").select("item_id", kind.alias("kind"), F.format_string("Judge whether the answer is right.\nQuestion: %s\nAnswer yes or no.", F.substring("text", 1, 60)).alias("prompt"))
+    return table(spark, d, "benchmark").select("item_id", kind.alias("kind"), F.format_string("Judge whether the answer is right.\nQuestion: %s\nAnswer yes or no.", "text").alias("prompt"))
 
 
 @query("SELECT doc_id, regexp_matches(text, '(?i)license') AS matches, lower(lang) = 'en' AS exact FROM documents")

@@ -12,7 +12,7 @@ from .registry import query
 R = RUN_RECORDS
 R6 = lambda c: F.round(c, 6)
 HASH = lambda x: f"('0x' || substr(sha256({x}), 1, 8))::BIGINT"
-N_PERM, REPS = 200, 100
+N_PERM, REPS = 10_000, 10_000
 
 CELLS = """c AS (SELECT bench, config_id, seed, count(*)::BIGINT AS n, round(avg(score), 6) AS accuracy, round(sum(cost_usd), 8) AS cost_usd, round(sum(n_errors) / count(*)::DOUBLE, 6) AS err_rate,
     round(sum(judge_cost_usd), 6) AS judge_cost_usd, count(*) FILTER (has_obs)::BIGINT AS obs_n, count(*) FILTER (has_off)::BIGINT AS off_n, count(*) FILTER (has_rec)::BIGINT AS rec_n,
@@ -57,11 +57,25 @@ def q_class_breakdown(spark, d):
     return b.withColumns({c: R6(F.col(c)) for c in ("mean_primary", "stderr")})
 
 
-@query(f"""WITH {R} SELECT task_id, t::INT AS turn_index, (task_id * 37 % 900 + t * 11)::BIGINT AS wall_clock_ms,
-    (CASE WHEN t = 0 THEN has_obs::INT + has_off::INT ELSE 0 END)::BIGINT AS n_events, (CASE WHEN t = 0 AND has_rec THEN 1 ELSE 0 END)::BIGINT AS n_recalls FROM r, generate_series(0, n_turns - 1) AS g(t)""")
+TURN_EVENTS = f"""tn AS (SELECT task_id, t::INT AS turn_index, CASE WHEN t = 0 AND has_rec THEN ['r' || task_id] ELSE []::VARCHAR[] END AS own, CASE WHEN t % 2 = 0 THEN signal WHEN task_id % 2 = 0 THEN 'mixed' END AS class_signal FROM r, generate_series(0, n_turns - 1) AS g(t)),
+    ev AS (SELECT task_id, k AS seq, ['compaction', 'recall', 'class_signal'][((task_id + k) % 3 + 1)::INT] AS kind, ((task_id + k // 3) % 5)::INT AS turn_index, ['conversational', 'tool_heavy', 'mixed'][((task_id * 2 + k) % 3 + 1)::INT] AS payload FROM r, generate_series(0, 6) AS g(k)),
+    ea AS (SELECT task_id, turn_index, list(payload ORDER BY seq) FILTER (kind = 'compaction') AS c, list(payload ORDER BY seq) FILTER (kind = 'recall') AS rc, arg_max(payload, seq) FILTER (kind = 'class_signal') AS sg FROM ev GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {R}, {TURN_EVENTS} SELECT task_id, turn_index, coalesce(array_to_string(c, ','), '') AS compactions, CASE WHEN len(own) > 0 THEN array_to_string(own, ',') ELSE coalesce(array_to_string(rc, ','), '') END AS recalls, coalesce(sg, class_signal) AS class_signal
+    FROM tn LEFT JOIN ea USING (task_id, turn_index)""")
 def q_turn_event_merge(spark, d):
-    turns = run_records(spark, d).select("task_id", F.explode("turns").alias("t"))
-    return turns.select("task_id", "t.turn_index", "t.wall_clock_ms", F.size("t.compaction_events").cast("long").alias("n_events"), F.size("t.recall_events").cast("long").alias("n_recalls"))
+    """Events of each task, some of no turn of it and some of turns with recalls of their own."""
+    r = run_records(spark, d)
+    none = F.array().cast("array<string>")
+    turns = r.select("task_id", F.explode("turns").alias("t")).select("task_id", "t.turn_index", none.alias("compaction_events"), "t.recall_events", "t.class_signal")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    i, k = F.col("task_id"), F.col("seq")
+    events = r.select("task_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("seq")).select(
+        "task_id", "seq", pick(["compaction", "recall", "class_signal"], i + k).alias("kind"), ((i + F.floor(k / 3)) % 5).cast("int").alias("turn_index"), pick(["conversational", "tool_heavy", "mixed"], i * 2 + k).alias("payload")
+    )
+    m = E.merge_turn_events(turns, events)
+    return m.select("task_id", "turn_index", F.array_join("compaction_events", ",").alias("compactions"), F.array_join("recall_events", ",").alias("recalls"), "class_signal")
 
 
 @query(f"""WITH {R}, o AS (SELECT strategy, latency_s, row_number() OVER (PARTITION BY strategy ORDER BY latency_s) - 1 AS i, count(*) OVER (PARTITION BY strategy) AS n FROM r)
@@ -109,20 +123,28 @@ def q_head_to_head(spark, d):
     )
 
 
-PERM = f"""df AS (SELECT task_id, score - score_b AS diff FROM r), tt AS (SELECT count(*) AS n, avg(diff) AS delta, sum(diff) AS s FROM df),
-    fl AS (SELECT perm, sum(diff * CASE WHEN {HASH("task_id || ':' || perm || ':42'")} % 2 = 0 THEN 1 ELSE -1 END) AS x FROM df, generate_series(0, {N_PERM - 1}) AS g(perm) WHERE diff <> 0 GROUP BY 1),
+ONES = " + ".join(f"bit_count(('0x' || substr(h, {1 + 15 * w}, 15))::BIGINT >> (60 - greatest(0, least(60, k - block * 240 - {60 * w}))))" for w in range(4))
+PERM = f"""df AS (SELECT task_id, score - score_b AS diff FROM r), tt AS (SELECT count(*) AS n, coalesce(avg(diff), 0) AS delta, coalesce(sum(diff), 0) AS s FROM df),
+    vk AS (SELECT abs(diff) AS v, count(*) AS k FROM df WHERE diff <> 0 GROUP BY 1),
+    bl AS (SELECT v, k, perm, block, sha256(printf('%.9f', v) || ':' || perm || ':' || block || ':42') AS h FROM (SELECT v, k, perm, unnest(generate_series(0, (k - 1) // 240)) AS block FROM vk, generate_series(0, {N_PERM - 1}) AS g(perm))),
+    pv AS (SELECT perm, v, k, sum({ONES}) AS plus FROM bl GROUP BY 1, 2, 3),
+    fl AS (SELECT perm, sum(v * (2 * plus - k)) AS x FROM pv GROUP BY 1),
     pm AS (SELECT coalesce(x, 0) AS x FROM generate_series(0, {N_PERM - 1}) AS g(perm) LEFT JOIN fl USING (perm))"""
 
 
-@query(f"WITH {R}, {PERM} SELECT max(n)::BIGINT AS n, round(max(delta), 6) AS delta, round(count(*) FILTER (abs(x) >= abs(s) - 1e-9) / {N_PERM}.0::DOUBLE, 6) AS p_value, round((count(*) FILTER (abs(x) >= abs(s) - 1e-9) + 1) / {N_PERM + 1}.0::DOUBLE, 6) AS p_pooled FROM pm, tt")
+@query(f"WITH {R}, {PERM} SELECT max(n)::BIGINT AS n, round(max(delta), 6) AS delta, round(count(*) FILTER (abs(x) >= abs(s) - 1e-12) / {N_PERM}.0::DOUBLE, 6) AS p_value, round((count(*) FILTER (abs(x) >= abs(s) - 1e-12) + 1) / {N_PERM + 1}.0::DOUBLE, 6) AS p_pooled FROM pm, tt")
 def q_paired_permutation(spark, d):
     diffs = run_records(spark, d).select("task_id", (F.col("score") - F.col("score_b")).alias("diff"))
     p = E.permutation_test(diffs, N_PERM)
     return p.withColumns({c: R6(F.col(c)) for c in ("delta", "p_value", "p_pooled")})
 
 
+HITS = " + ".join(f"CASE WHEN block * 8 + {j} < n AND ('0x' || substr(h, {1 + 8 * j}, 8))::BIGINT % n < k THEN 1 ELSE 0 END" for j in range(8))
+
+
 @query(f"""WITH {R}, z AS (SELECT count(*) AS n, sum(score)::BIGINT AS k FROM r),
-    bm AS (SELECT rep, avg(CASE WHEN {HASH("rep || ':' || i || ':0'")} % n < k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS m FROM z, generate_series(0, {REPS - 1}) AS g(rep), generate_series(0, n - 1) AS h(i) GROUP BY 1),
+    bl AS (SELECT n, k, rep, block, sha256(rep || ':' || block || ':0') AS h FROM (SELECT n, k, rep, unnest(generate_series(0, (n - 1) // 8)) AS block FROM z, generate_series(0, {REPS - 1}) AS g(rep))),
+    bm AS (SELECT rep, sum({HITS}) / any_value(n)::DOUBLE AS m FROM bl GROUP BY 1),
     rk AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS rn FROM bm)
     SELECT round((SELECT k / n::DOUBLE FROM z), 6) AS accuracy, round(max(m) FILTER (rn = {int(0.025 * REPS)}), 6) AS lo, round(max(m) FILTER (rn = {int(0.975 * REPS)}), 6) AS hi FROM rk""")
 def q_bootstrap_ci(spark, d):
@@ -192,14 +214,14 @@ def q_work_grid(spark, d):
     return capped.select("bench", F.explode(F.array(F.lit("full"), F.lit("compact"))).alias("config_id"), "task_id", "rn").select("bench", "config_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("seed"), "task_id", "rn")
 
 
-BREAK_SQL = """SELECT event_id, bool_or(trips) OVER w AS halted FROM (SELECT *, count(*) OVER w >= 20 AND avg(value) OVER w * 1000 > 1.5 * 30000 AS trips FROM (SELECT event_id, ts, value FROM events WHERE user_id = 7) WINDOW w AS (ORDER BY ts, event_id)) WINDOW w AS (ORDER BY ts, event_id)"""
+BREAK_SQL = """SELECT user_id, event_id, bool_or(trips) OVER w AS halted FROM (SELECT *, count(*) OVER w >= 20 AND avg(value) OVER w * 1000 > 1.5 * 30000 AS trips FROM (SELECT user_id, event_id, ts, value FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
 
 
 @query(BREAK_SQL)
 def q_cost_breaker(spark, d):
-    """One sweep is one ordered stream: user 7's events stand for a sweep's records."""
-    sweep = table(spark, d, "events").filter("user_id = 7").select("event_id", "ts", "value")
-    return E.breaker(sweep, ["ts", "event_id"], "value", 1000, 30000.0).select("event_id", "halted")
+    """Each user's events are a sweep's records."""
+    sweeps = table(spark, d, "events").select("user_id", "event_id", "ts", "value")
+    return E.breaker(sweeps, ["ts", "event_id"], "value", 1000, 30000.0, by=("user_id",)).select("user_id", "event_id", "halted")
 
 
 @query("""SELECT user_id, min(rn)::BIGINT AS halted_at FROM (SELECT user_id, row_number() OVER w AS rn, sum(value) OVER w AS spent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE rn % 5 = 0 AND spent > 600 GROUP BY 1""")

@@ -367,14 +367,14 @@ def q_strategy_compare(spark, d):
     return strategies.compare(messages(spark, d), BUDGET)
 
 
-OBS = """ob AS (SELECT session_id, msg_idx AS seq, '- 2024-01-' || lpad((msg_idx % 28 + 1)::VARCHAR, 2, '0') || ' (' || ['high', 'med', 'low'][(msg_idx % 3 + 1)::INT] || ') ' || substr(text, 1, 80) AS line FROM m WHERE role = 'user')"""
+OBS = """ob AS (SELECT session_id, msg_idx AS seq, '- 2024-01-' || lpad((msg_idx % 28 + 1)::VARCHAR, 2, '0') || ' (' || ['high', 'med', 'low'][(msg_idx % 3 + 1)::INT] || ') ' || text AS line FROM m WHERE role = 'user')"""
 
 
 def observation_lines(spark, d):
     u = messages(spark, d).filter("role = 'user'")
     day = F.lpad((F.col("msg_idx") % 28 + 1).cast("string"), 2, "0")
     conf = F.element_at(F.array(F.lit("high"), F.lit("med"), F.lit("low")), (F.col("msg_idx") % 3 + 1).cast("int"))
-    line = F.concat(F.lit("- 2024-01-"), day, F.lit(" ("), conf, F.lit(") "), F.substring("text", 1, 80))
+    line = F.concat(F.lit("- 2024-01-"), day, F.lit(" ("), conf, F.lit(") "), "text")
     return u.select("session_id", F.col("msg_idx").alias("seq"), line.alias("line"))
 
 
