@@ -1,13 +1,16 @@
 """Toxicity by a linear classifier with counterfactual regularisation.
 
-Fit: a bounded sample of labelled documents gives word-presence features, kept when frequent and informative, plus the
-identity terms of the lists below. For each sampled document that mentions an identity term, the term is swapped for
-the others of its list; the loss adds the squared change of the score under each swap, so that terms of a list
-get near-equal weights and a neutral mention of a group moves no score. Scoring streams all documents through
-workers that hold the weights (bounded by FEATURES).
-
-Defined cases: null text equals the empty one and scores the base rate; unlabelled documents are scored alike; labels
-other than 0 and 1, or null, teach nothing; without labels of both kinds every score is 0. Rows that repeat are scored each.
+Fit: a bounded sample of labelled documents gives word-presence features (words and their stems), kept when frequent and
+informative, plus the identity terms of the lists below. For each sampled document that mentions an identity term, the
+term is swapped for each other one of its list in the text, and the features that come and go with it, stems included,
+are noted; the loss adds the squared change of the score under every such swap, all pairs of terms weighing alike,
+so that a neutral mention of a group moves no score. Scoring streams all documents through workers that hold the weights
+(as many as the sample has informative features).
+
+Defined cases: null text equals the empty one and scores the base rate; unlabelled documents and null ids are scored
+alike; labels other than 0 and 1, or null, and ids with both labels teach nothing; without labels of both kinds every score
+is 0; features of equal information are taken in the order of their names; rows that repeat are scored each, and teach
+once; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ from .common import cut, text_or_empty
 
 #: Labelled rows that a fit reads at most per class; the first in hash order of their ids.
 SAMPLE_PER_CLASS = 6_000
-#: Words that the model weighs at most, besides the identity terms.
-FEATURES = 2_000
 #: Letters of the stems that count besides whole words.
 STEMS = (5, 7)
 #: A word or stem must stand in so many sampled documents.
 LEAST_DOCS = 5
 LEAST_G = 12.0
+#: How much a swap's squared change of the score weighs against the mean loss of a document.
+SWAP_PENALTY = 10_000.0
 
 # Interchangeable terms, a list for each kind of group.
 IDENTITY_TERMS = (
@@ -64,8 +67,22 @@ def features_of(words: set[str]) -> set[str]:
     return found
 
 
-def informative(sample: DataFrame, most: int = FEATURES, least: int = LEAST_DOCS) -> list[str]:
-    """The features with the largest G statistic against the label, at most `most`. sample: (words, _y), words joined by spaces."""
+def swaps_of(words: set[str], terms=IDENTITY_TERMS) -> list[tuple[tuple[str, str], set[str], set[str]]]:
+    """((term, other), features that come, features that go) for each swap of an identity term in a text of these words."""
+    out = []
+    had = None
+    for group in terms:
+        for term in sorted(words & set(group)):
+            had = features_of(words) if had is None else had
+            for other in group:
+                if other not in words:
+                    has = features_of(words - {term} | {other})
+                    out.append(((term, other), has - had, had - has))
+    return out
+
+
+def informative(sample: DataFrame, least: int = LEAST_DOCS) -> list[str]:
+    """The features whose G statistic against the label is large, best first. sample: (words, _y), words joined by spaces."""
 
     @F.pandas_udf("array<string>")
     def features(words: pd.Series) -> pd.Series:
@@ -78,13 +95,15 @@ def informative(sample: DataFrame, most: int = FEATURES, least: int = LEAST_DOCS
     part = lambda seen, n: F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) * (n0 + n1) / (both * max(n, 1)))).otherwise(0.0)
     # a smaller G is what chance gives the best of a large vocabulary's rare words
     scored = counts.filter(both >= least).withColumn("g", part("a", n1) + part("b", n0)).filter(F.col("g") >= LEAST_G)
-    return [r["feature"] for r in scored.orderBy(F.col("g").desc(), "feature").limit(most).collect()]
+    return [r["feature"] for r in scored.orderBy(F.col("g").desc(), "feature").collect()]
 
 
-def train(docs: list[set[str]], labels: list[int], names: list[str], terms=IDENTITY_TERMS, swap_penalty: float = 1.0, decay: float = 1e-4, rounds: int = 300) -> tuple[dict[str, float], float]:
+def train(
+    docs: list[set[str]], labels: list[int], swaps: list[list[tuple]], names: list[str], terms=IDENTITY_TERMS, swap_penalty: float = SWAP_PENALTY, decay: float = 1e-4, rounds: int = 400
+) -> tuple[dict[str, float], float]:
     """Weights and intercept of the regularised logistic model over the named features and the identity terms.
 
-    docs: of each document the features that are named or identity terms.
+    docs: of each document the features that are named or identity terms; swaps: of each document its swaps_of.
     """
     y = np.array(labels, float)
     if not len(docs) or y.min() == y.max():
@@ -97,17 +116,22 @@ def train(docs: list[set[str]], labels: list[int], names: list[str], terms=IDENT
             rows.append(i)
             cols.append(index[w])
     rows, cols = np.array(rows, int), np.array(cols, int)
-    # each swap replaces one term by another: it changes the score by the difference of their weights
-    swaps = Counter()
-    for words in docs:
-        for group in terms:
-            for out in words & set(group):
-                for into in group:
-                    if into not in words:
-                        swaps[index[out], index[into]] += 1
-    pairs = np.array([p for p in swaps], int).reshape(-1, 2)
-    share = np.array([swaps[p] for p in swaps], float) / len(docs)
     n, k = len(docs), len(index)
+    # a swap is a row of +1 and -1: what it adds to the score is that row times the weights
+    kinds: dict[tuple, Counter] = {}
+    for found in swaps:
+        for pair, come, gone in found:
+            change = tuple(sorted(index[w] for w in come & index.keys())), tuple(sorted(index[w] for w in gone & index.keys()))
+            kinds.setdefault(pair, Counter())[change] += 1
+    swap, feature, sign, share = [], [], [], []
+    for changes in kinds.values():
+        for (come, gone), times in changes.items():
+            for side, value in ((come, 1.0), (gone, -1.0)):
+                swap += [len(share)] * len(side)
+                feature += side
+                sign += [value] * len(side)
+            share.append(times / changes.total() / len(kinds))
+    swap, feature, sign, share = np.array(swap, int), np.array(feature, int), np.array(sign, float), np.array(share, float)
     # classes weigh alike in the fit; the intercept then goes half way to the base rate, so a missed toxic document
     # weighs more than a clean one refused, by the square root of their odds
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -117,17 +141,40 @@ def train(docs: list[set[str]], labels: list[int], names: list[str], terms=IDENT
         z = np.bincount(rows, w[cols], n) + b
         err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         grad = np.bincount(cols, err[rows], k) + decay * w
-        if len(pairs):
-            change = 2 * swap_penalty * share * (w[pairs[:, 0]] - w[pairs[:, 1]])
-            grad += np.bincount(pairs[:, 0], change, k) - np.bincount(pairs[:, 1], change, k)
         g = np.append(grad, err.sum())
         m1, v1 = 0.9 * m1 + 0.1 * g, 0.99 * v1 + 0.01 * g * g
-        move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(v1 / (1 - 0.99**step)) + 1e-8)
+        rate = 0.1 * min(1.0, 3 * (1 - step / (rounds + 1)))
+        move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(v1 / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
+        if len(share) and swap_penalty:
+            w = _proximal(w, swap, feature, sign, share, swap_penalty * rate)
     b += 0.5 * np.log(y.mean() / (1 - y.mean()))
     return {x: float(w[i]) for x, i in index.items() if abs(w[i]) > 1e-4}, float(b)
 
 
+def _proximal(w: np.ndarray, swap: np.ndarray, feature: np.ndarray, sign: np.ndarray, share: np.ndarray, strength: float, most: int = 60) -> np.ndarray:
+    """The weights nearest to w, in squares, once the swaps' squared changes are added at this strength: (I + s D'SD) x = w,
+    by conjugate gradients from w. Only features of swaps move."""
+    k = len(w)
+
+    def apply(x):
+        change = np.bincount(swap, sign * x[feature], len(share))
+        return x + strength * np.bincount(feature, sign * (share * change)[swap], k)
+
+    x = w.copy()
+    r = w - apply(x)
+    p, size = r.copy(), r @ r
+    for _ in range(most):
+        if size < 1e-16:
+            break
+        q = apply(p)
+        step = size / (p @ q)
+        x, r = x + step * p, r - step * q
+        fresh = r @ r
+        p, size = r + fresh / size * p, fresh
+    return x
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
     """(text, label) of at most per_class rows of each class, the first in hash order."""
     ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1) and _id is not null").distinct()
@@ -155,13 +202,16 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = informative(sample)
     known = set(names) | {w for group in terms for w in group}
 
-    @F.pandas_udf("string")
-    def named(words: pd.Series) -> pd.Series:
-        return pd.Series([" ".join(sorted(features_of(set(w.split())) & known)) for w in words], dtype=object)
+    @F.pandas_udf("found string, swaps array<struct<term:string,other:string,come:array<string>,gone:array<string>>>")
+    def named(words: pd.Series) -> pd.DataFrame:
+        sets = [set(w.split()) for w in words]
+        swaps = [[(*pair, sorted(come & known), sorted(gone & known)) for pair, come, gone in swaps_of(s, terms)] for s in sets]
+        return pd.DataFrame({"found": [" ".join(sorted(features_of(s) & known)) for s in sets], "swaps": swaps})
 
-    rows = sample.select(named("words").alias("found"), "_y").collect()
+    rows = [r["x"] for r in sample.select(named("words").alias("x"), "_y").select(F.struct("x.*", "_y").alias("x")).collect()]
     rows.sort(key=lambda r: (r["_y"], r["found"]))
-    return train([set(r["found"].split()) for r in rows], [r["_y"] for r in rows], names, terms)
+    swaps = [[((x["term"], x["other"]), set(x["come"]), set(x["gone"])) for x in r["swaps"]] for r in rows]
+    return train([set(r["found"].split()) for r in rows], [r["_y"] for r in rows], swaps, names, terms)
 
 
 def score(model: tuple[dict[str, float], float], text_col: str = "text"):
