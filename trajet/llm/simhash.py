@@ -7,11 +7,13 @@ bits go to the same group, so the groups are close to independent; a dynamic pro
 whose probes plus estimated candidates are fewest at this number of fingerprints.
 
 A probe key is a group's value with up to t_i of its bits masked; rows that share a key are compared inside the task
-that holds it, and only a spanning forest of their links leaves it, never all pairs. Large buckets are cut again by the
-same principle on their other bits, so that no link is lost.
+that holds it, and only a spanning forest of their links leaves it, never all pairs. Keys that the sample shows to be held
+by very many fingerprints are cut again by the same principle on their other bits before they are dealt, and so are
+large buckets inside a task, so that no link is lost.
 
 Defined cases: null text equals the empty one, whose fingerprint is zero and links like any other; null ids never
-name a component unless it has no other; repeated rows share a fingerprint; an empty table gives an empty result.
+name a component unless it has no other; repeated ids and rows are rows of their own and share what their fingerprint
+has; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SEED = 42
 #: Distinct fingerprints sampled to estimate how bits and groups collide.
 SAMPLE = 4_000
 GROUP_COUNTS = (2, 3)
+#: A key is cut before it is dealt if it has SEEN of the sample and so, by estimate, over SPLIT fingerprints.
+SEEN, SPLIT = 8, 200_000
 #: Buckets up to this size are compared directly.
 DIRECT = 2_048
 
@@ -185,6 +189,24 @@ def forest(values: np.ndarray, tau: int = MAX_BITS) -> list[tuple[int, int]]:
     return links
 
 
+def spanning(left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """The links that join what those before them have not joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    links = []
+    for a, b in zip(left, right):
+        x, y = find(a), find(b)
+        if x != y:
+            root[y] = x
+            links.append((a, b))
+    return links
+
+
 def _bucket_links(tau: int):
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by (probe, key); a bucket may span batches."""
@@ -212,7 +234,7 @@ def _bucket_links(tau: int):
             left, right = solve(rows)
             a = np.concatenate(left) if left else np.array([], np.uint64)
             b = np.concatenate(right) if right else np.array([], np.uint64)
-            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}).drop_duplicates()
+            return pd.DataFrame(spanning(a.view(np.int64).tolist(), b.view(np.int64).tolist()), columns=["a", "b"], dtype="int64")
 
         for batch in batches:
             if not len(batch):
@@ -229,6 +251,23 @@ def _bucket_links(tau: int):
     return links
 
 
+def crowded_keys(sample: np.ndarray, masks: list[int], n: int) -> list[tuple[int, int]]:
+    """(probe, key) of the buckets that the sample shows to be large."""
+    out = []
+    for p, m in enumerate(masks):
+        keys, seen = np.unique(sample & np.uint64(m), return_counts=True)
+        out += [(p, int(k)) for k in keys[(seen >= SEEN) & (seen / len(sample) * n > SPLIT)]] if len(sample) else []
+    return out
+
+
+def other_bits(sample: np.ndarray, mask: int, parts: int) -> list[int]:
+    """The bits outside the mask in so many parts, each with its share of those that vary: of two fingerprints that
+    agree on the mask and differ in fewer bits than there are parts, one part agrees."""
+    ones = {b: int((sample >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64) if not mask >> b & 1}
+    varied = sorted(ones, key=lambda b: (abs(ones[b] - len(sample) / 2), b))
+    return [sum(1 << b for b in varied[k::parts]) for k in range(parts)]
+
+
 def near_links(distinct: DataFrame, tau: int = MAX_BITS) -> DataFrame:
     """(fp) distinct longs -> (a, b): links whose components are those of all pairs within tau bits."""
     n = distinct.count()
@@ -238,8 +277,17 @@ def near_links(distinct: DataFrame, tau: int = MAX_BITS) -> DataFrame:
     probes = [signed(m) for _, masks in plan for m in masks]
     if not probes:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    masks = F.array(*[F.lit(m).cast("long") for m in probes])
-    keyed = distinct.select("fp", F.posexplode(masks).alias("probe", "mask")).select("probe", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    long = lambda xs: F.array(*[F.lit(signed(int(x))).cast("long") for x in xs])
+    unsigned = [m % 2**64 for m in probes]
+    keyed = distinct.select("fp", F.posexplode(long(unsigned)).alias("probe", "mask")).select("probe", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    crowded = crowded_keys(sample, unsigned, n)
+    if crowded:
+        # at most SAMPLE / SEEN keys a probe
+        heavy = distinct.sparkSession.createDataFrame([(p, signed(k), True) for p, k in crowded], "probe int, key long, crowded boolean")
+        parts = F.array(*[long(m | part for part in other_bits(sample, m, tau + 1)) for m in unsigned])
+        whole = F.array(F.struct((F.col("probe") * (tau + 2)).alias("probe"), F.col("key")))
+        cut_again = F.transform(F.get(parts, F.col("probe")), lambda m, j: F.struct((F.col("probe") * (tau + 2) + 1 + j).alias("probe"), F.col("fp").bitwiseAND(m).alias("key")))
+        keyed = keyed.join(F.broadcast(heavy), ["probe", "key"], "left").select("fp", F.explode(F.when(F.col("crowded"), cut_again).otherwise(whole)).alias("x")).select("x.probe", "x.key", "fp")
     dealt = keyed.repartition("probe", "key").sortWithinPartitions("probe", "key", "fp")
     return dealt.mapInPandas(_bucket_links(tau), "a long, b long")
 
