@@ -238,9 +238,12 @@ def test_simhash_keeps_unlike_texts_without_or_with_equal_ids(spark):
     assert Counter((r["doc_id"], r["text"]) for r in rows_of(kept)) == brute_keep_one(rows) == expected
 
 
-@pytest.mark.parametrize("flips", [1, 3, 9])
-def test_simhash_links_are_complete(spark, flips):
-    """Random, clustered and dense fingerprints: components equal those of all pairs."""
+@pytest.mark.parametrize("flips, split", [(1, None), (3, None), (9, None), (3, 5), (9, 5)])
+def test_simhash_links_are_complete(spark, monkeypatch, flips, split):
+    """Random, clustered and dense fingerprints: components equal those of all pairs, with crowded keys cut or not."""
+    if split:
+        monkeypatch.setattr(simhash, "SPLIT", split)
+        monkeypatch.setattr(simhash, "SEEN", 4)
     rng = np.random.default_rng(flips)
     centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = set(rng.integers(0, 2**63, 300, dtype=np.uint64).tolist())
@@ -255,6 +258,9 @@ def test_simhash_links_are_complete(spark, flips):
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     expected = brute_components([(signed(a), signed(b)) for a, b in links], map(signed, fps))
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    if split:
+        sample = np.array(fps, np.uint64)
+        assert simhash.crowded_keys(sample, [m for _, masks in simhash.choose(sample, len(fps)) for m in masks], len(fps))
     got = {r["node"]: r["label"] for r in components.components(simhash.near_links(df)).collect()}
     assert all(got.get(n, n) == lab for n, lab in expected.items())
 
@@ -386,19 +392,63 @@ def test_toxicity(spark, odd, empty):
     assert len(scored) == len(odd_rows()) and all(0 <= r["score"] <= 1 for r in scored)
     assert all(r["score"] == 0 for r in rows_of(toxicity.toxicity(odd, lab.limit(0))))
     assert toxicity.toxicity(empty, lab).count() == 0
-    assert toxicity.keep_clean(odd, lab).columns == odd.columns
-
-
-def test_swaps_pull_identity_terms_together():
-    """The term stands with toxic labels by chance; the penalty takes its effect on the score away."""
-    texts = ["women are vile"] * 40 + ["women walk"] * 4 + ["men walk"] * 40 + ["men are vile"] * 4 + ["trees grow"] * 40
-    labels = [1] * 40 + [0] * 4 + [0] * 40 + [1] * 4 + [0] * 40
-    gap = lambda w: abs(w.get("women", 0) - w.get("men", 0))
-    docs = [toxicity.words_of(t) for t in texts]
-    plain, _ = toxicity.train(docs, labels, ["vile"], swap_penalty=0.0)
-    fair, _ = toxicity.train(docs, labels, ["vile"], swap_penalty=50.0)
-    assert gap(fair) < 0.1 * gap(plain)
-    assert fair["vile"] > 1
+    kept = toxicity.keep_clean(odd, lab)
+    assert kept.columns == odd.columns
+    clean = Counter((r["doc_id"], r["text"]) for r in rows_of(odd.select("doc_id", "text", toxicity.score(toxicity.fit_on(odd, lab.filter(~toxicity.held_out()))).alias("s"))) if r["s"] < 0.5)
+    assert Counter((r["doc_id"], r["text"]) for r in rows_of(kept)) == clean
+    assert toxicity.keep_clean(empty, lab).count() == 0
+
+
+def biased_documents():
+    """Of each list the first term stands with toxic labels and the others with clean ones, by chance alone."""
+    rng = np.random.default_rng(11)
+    texts, labels = [], []
+    for group in toxicity.IDENTITY_TERMS:
+        for i in range(160):
+            bad = i % 2
+            term = group[0] if rng.random() < (0.9 if bad else 0.1) else str(rng.choice(group[1:]))
+            texts.append(" ".join([*rng.choice(WORDS, 12), term, "vile" if bad and rng.random() < 0.8 else "plain"]))
+            labels.append(bad)
+    return texts, labels
+
+
+def logit(model, text):
+    weights, base = model
+    return base + sum(weights.get(f, 0.0) for f in toxicity.features_of(toxicity.words_of(text)))
+
+
+def test_a_swap_moves_no_score_whatever_the_term():
+    """The change of the score is that of all features of the swapped text: words and stems."""
+    texts, labels = biased_documents()
+    words = [toxicity.words_of(t) for t in texts]
+    docs, swaps = [toxicity.features_of(w) for w in words], [toxicity.swaps_of(w) for w in words]
+    stems = {f for group in toxicity.IDENTITY_TERMS for t in group for f in toxicity.features_of({t})}
+    names = sorted({"vile", "plain", *stems, *WORDS})
+    plain = toxicity.train(docs, labels, swaps, names, swap_penalty=0.0)
+    fair = toxicity.train(docs, labels, swaps, names)
+    checked = 0
+    for group in toxicity.IDENTITY_TERMS:
+        for out in group:
+            for into in group:
+                move = lambda m: abs(logit(m, f"alpha {into} beta") - logit(m, f"alpha {out} beta"))
+                if out != into and move(plain) > 0.5:
+                    checked += 1
+                    assert move(fair) < 0.05 * move(plain), (out, into, move(fair), move(plain))
+    assert checked > 60
+    assert fair[0]["vile"] > 1 and fair[0]["vile"] > 0.7 * plain[0]["vile"]
+    assert {w for t in ("muslims", "christians") for w in toxicity.features_of({t})} >= {"musli-", "chris-", "christi-"}
+
+
+def test_fit_swaps_texts_and_scores_by_brute_force(spark):
+    texts, labels = biased_documents()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lab = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    model = toxicity.fit_on(docs, lab)
+    for pair in (("muslims", "christians"), ("women", "men"), ("frauen", "männer")):
+        assert abs(logit(model, f"a {pair[0]} b") - logit(model, f"a {pair[1]} b")) < 0.15
+    scored = docs.limit(200).unionAll(spark.createDataFrame([(-1, None), (-2, ""), (-3, "Vile, VILE! 12 vile muslims")], docs.schema))
+    for r in scored.select("text", toxicity.score(model).alias("score")).collect():
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-logit(model, r["text"] or ""))), abs=1e-9)
 
 
 def test_pipeline_equals_its_steps(spark, odd, tmp_path):

@@ -4,17 +4,19 @@ Each class has interpolated Witten-Bell models of orders 0 to ORDER over the cha
 log ratio is that of the longest known context, so it telescopes into one term for each substring that ends there: a
 known gram adds its ratio less that of its shorter form, an unknown next character adds the ratio of the escape masses.
 A URL's score is therefore a sum over its substrings of at most ORDER + 1 characters: one explode, one join with the
-model's terms and one sum, all in SQL. Grams are counted over all distinct labelled URLs of the fit's folds, whole; those
-seen less than LEAST_SEEN times in both classes are left out. The HEAD terms seen most are broadcast; substrings that are
-not among them meet the rest of the terms in a shuffle join, so the model's size is not bounded. The threshold lies
-between the classes' mean scores, at equal distance in standard deviations, on the whole fold that the models have not seen.
+model's terms and one sum, all in SQL. Grams are counted over all distinct labelled URLs of the fit's folds, whole, and
+none is left out. The HEAD terms seen most are broadcast; substrings that are not among them meet the rest of the terms in a
+shuffle join, so the model's size is not bounded. The threshold lies between the classes' mean scores, at equal
+distance in standard deviations, on the whole fold that the models have not seen.
 
-Labels for the fit: a URL whose host has a word of SEED_WORDS is rejected; others are accepted, but for those that a
-blocking rule fits, which teach nothing.
+Labels for the fit: a URL whose host has a word of SEED_WORDS as one of its runs of letters is rejected (so
+roads.example is not, for all its "ads"); others are accepted, but for those that a blocking rule fits, which teach nothing.
+held_out_errors tells how the filter does on the fold that neither models nor threshold's models have seen.
 
 Defined cases: a null URL or one without :// has an empty host and path, no rule, and is blocked, since nothing is
-left to judge; other URLs are allowed when labels of one class are absent; rows that repeat are judged each; an empty
-table gives an empty result.
+left to judge; other URLs are allowed when labels of one class are absent; a score at the threshold is allowed; long URLs
+are cut into slices before they are taken apart; null and repeated ids and rows that repeat are judged each; other columns
+are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ RULES = (
 SEED_WORDS = ("spam", "casino", "pills", "adult", "porn", "bets", "xxx", "viagra", "poker", "ads")
 ORDER = 4
 ALPHABET = 256
-LEAST_SEEN = 2
+#: Characters of a URL whose substrings stand in one row before they are exploded.
+SLICE = 1_024
 #: Terms that are broadcast; the others are joined by shuffle.
 HEAD = 200_000
 
@@ -71,13 +74,17 @@ def rule_verdict(host, path, rules=RULES):
 def grams(df: DataFrame, text: str, order: int = ORDER) -> DataFrame:
     """+ one row for each substring of at most order + 1 characters of ^text$, in column `gram`."""
     framed = F.concat(F.lit("\x02"), F.col(text), F.lit("\x03"))
+    # a slice reaches order characters into the next, where the last substrings that start in it end
+    starts = F.sequence(F.lit(1), F.length(framed), F.lit(SLICE))
+    sliced = df.withColumn("_slice", F.explode(F.transform(starts, lambda i: framed.substr(i, F.lit(SLICE + order)))))
+    n = F.length("_slice")
     spans = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.length(framed)),
-            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(order + 1), F.length(framed) - i + 1)), lambda n: framed.substr(i, n)),
+            F.sequence(F.lit(1), F.least(n, F.lit(SLICE))),
+            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(order + 1), n - i + 1)), lambda k: F.col("_slice").substr(i, k)),
         )
     )
-    return df.withColumn("gram", F.explode(spans))
+    return sliced.withColumn("gram", F.explode(spans)).drop("_slice")
 
 
 def fit(labelled: DataFrame, order: int = ORDER) -> DataFrame:
@@ -88,8 +95,6 @@ def fit(labelled: DataFrame, order: int = ORDER) -> DataFrame:
         grams(labelled, "text", order)
         .groupBy("gram")
         .agg(F.count_if(label).alias("a"), F.count_if(~label).alias("r"))
-        # a kept gram's shorter forms are kept too, since they are seen as often
-        .filter(F.col("a") + F.col("r") >= LEAST_SEEN)
     )
     # the start mark is a context, never predicted
     predicted = counted.filter("gram <> '\x02'").withColumn("context", F.substring("gram", F.lit(1), F.length("gram") - 1))
@@ -131,20 +136,19 @@ def scored(df: DataFrame, keys: list[str], text: str, terms: DataFrame, order: i
     constant = terms.filter("gram = ''").select("term").first()
     each = constant[0] if constant else 0.0
     terms = terms.filter("gram <> ''")
-    mean = (F.coalesce(F.sum("term"), F.lit(0.0)) / F.max("_n") + each).alias("score")
-    if terms.count() <= HEAD:
-        pieces = grams(df, text, order).select(*keys, "gram", (F.length(text) + 1).alias("_n"))
-        return pieces.join(F.broadcast(terms.select("gram", "term")), "gram", "left").groupBy(*keys).agg(mean)
-    ordered = terms.orderBy(F.col("seen").desc(), F.length("gram"), "gram")
-    head = cut(ordered.limit(HEAD).select("gram", "term"))
-    tail = terms.join(F.broadcast(head.select("gram")), "gram", "left_anti").select("gram", F.col("term").alias("rare"))
     # a digest stands for the text while its substrings travel
     digest = F.unhex(F.sha2(F.col(text), 256))
     pieces = grams(df.select(digest.alias("_text"), text), text, order).select("_text", "gram")
-    found = pieces.join(F.broadcast(head), "gram", "left")
-    common = found.filter("term is not null").groupBy("_text").agg(F.sum("term").alias("term"))
-    rest = found.filter("term is null").select("_text", "gram").join(tail.hint("shuffle_merge"), "gram").groupBy("_text").agg(F.sum("rare").alias("term"))
-    sums = common.unionAll(rest).groupBy("_text").agg(F.sum("term").alias("term"))
+    if terms.count() <= HEAD:
+        sums = pieces.join(F.broadcast(terms.select("gram", "term")), "gram").groupBy("_text").agg(F.sum("term").alias("term"))
+    else:
+        ordered = terms.orderBy(F.col("seen").desc(), F.length("gram"), "gram")
+        head = cut(ordered.limit(HEAD).select("gram", "term"))
+        tail = terms.join(F.broadcast(head.select("gram")), "gram", "left_anti").select("gram", F.col("term").alias("rare"))
+        found = pieces.join(F.broadcast(head), "gram", "left")
+        common = found.filter("term is not null").groupBy("_text").agg(F.sum("term").alias("term"))
+        rest = found.filter("term is null").select("_text", "gram").join(tail.hint("shuffle_merge"), "gram").groupBy("_text").agg(F.sum("rare").alias("term"))
+        sums = common.unionAll(rest).groupBy("_text").agg(F.sum("term").alias("term"))
     joined = df.withColumns({"_text": digest, "_n": F.length(text) + 1}).join(sums, "_text", "left")
     return joined.select(*keys, (F.coalesce("term", F.lit(0.0)) / F.col("_n") + each).alias("score"))
 
@@ -159,22 +163,39 @@ def threshold(labelled_scores: DataFrame) -> float:
     return (a["m"] * r["s"] + r["m"] * a["s"]) / spread if spread else (a["m"] + r["m"]) / 2
 
 
-def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seed_words=SEED_WORDS, order: int = ORDER) -> DataFrame:
-    """One row per input row: page_id, host, path, rule, verdict, score."""
+def labelled(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seed_words=SEED_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(all rows with host, path, rule and text; the distinct texts with `accepted` and `unseen`, the fold kept from the models)."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "ruled": rule_verdict(F.col("host"), F.col("path"), rules)})
     rows = rows.withColumn("text", F.concat("host", "path"))
-    seeded = F.lit(False)
-    for w in seed_words:
-        seeded = seeded | F.col("host").contains(w)
+    words = F.split("host", "[^a-z]+")
+    seeded = F.arrays_overlap(words, F.array(*map(F.lit, seed_words)))
     # a blocking rule is a policy on a section, not an example of a rejected URL
     accepted = F.when(seeded, False).when(F.coalesce("ruled", F.lit("allow")) == "allow", True)
-    texts = rows.filter("text <> ''").select("text", accepted.alias("accepted")).distinct()
-    fold = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5))
-    terms = fit(texts.filter((fold != 0) & F.col("accepted").isNotNull()), order)
-    scores = cut(scored(texts, ["text", "accepted"], "text", terms, order))
-    limit = threshold(scores.filter((fold == 0) & F.col("accepted").isNotNull()))
-    judged = rows.join(scores.drop("accepted"), "text", "left")
+    unseen = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5)) == 0
+    return rows, rows.filter("text <> ''").select("text", accepted.alias("accepted")).distinct().withColumn("unseen", unseen)
+
+
+def judged_texts(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
+    """(the texts with their scores, the threshold)."""
+    terms = fit(texts.filter("not unseen and accepted is not null"), order)
+    scores = cut(scored(texts, ["text", "accepted", "unseen"], "text", terms, order))
+    return scores, threshold(scores.filter("unseen and accepted is not null"))
+
+
+def held_out_errors(pages: DataFrame, **options) -> DataFrame:
+    """(accepted, texts, errors) over the labelled texts of the unseen fold, by the label alone, whatever rules say."""
+    scores, limit = judged_texts(labelled(pages, **options)[1])
+    wrong = (F.col("score") >= F.lit(limit)) != F.col("accepted")
+    return scores.filter("unseen and accepted is not null").groupBy("accepted").agg(F.count(F.lit(1)).alias("texts"), F.count_if(wrong).alias("errors"))
+
+
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seed_words=SEED_WORDS, order: int = ORDER) -> DataFrame:
+    """One row per input row: page_id, host, path, rule, verdict, score."""
+    rows, texts = labelled(pages, id_col, url_col, rules, seed_words)
+    scores, limit = judged_texts(texts, order)
+    # rows without a text need no score, and do not meet at one key
+    judged = rows.filter("text <> ''").join(scores.select("text", "score"), "text", "left").unionByName(rows.filter("text = ''").withColumn("score", F.lit(None).cast("double")))
     by_model = F.when(F.col("score") >= F.lit(limit), "allow").otherwise("block")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")
