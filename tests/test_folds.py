@@ -187,3 +187,20 @@ def test_states_end(spark, tmp_path):
     at = pd.Timestamp("2024-01-01").to_pydatetime()
     out = play("pad_end", lambda s: state.scratchpad_stream(s, idle_ms=500), [(1, at, 5), (1, at, 7)], "session_id long, ts timestamp, size long", "update")
     assert [(r["entries"], r["bytes"], r["evictions"]) for r in out] == [(1, 5, 0), (0, 0, 1), (1, 7, 0)]
+
+
+def test_list_entries_are_trimmed_of_blanks_alone(spark):
+    from trajet.functions import grading as G
+
+    cases = [("DE,1328.0,src13!", "de, 1328; src13", True), (" a ,1, 22", "a,1,22", True), ("a,2,22", "a,1,22", False), ("1 apple", "1", True), ("1d", "1", True), ("x", "1", False)]
+    df = spark.createDataFrame([(i, a, t) for i, (a, t, _) in enumerate(cases)], "i int, a string, t string")
+    assert {r["i"]: r["ok"] for r in df.select("i", G.grade(F.col("a"), F.col("t")).alias("ok")).collect()} == {i: ok for i, (_, _, ok) in enumerate(cases)}
+
+
+def test_pages_drop_all_boilerplate_and_take_a_heading_for_a_title():
+    from trajet.operators import pages
+
+    html = "<body><aside><p>side</p></aside><svg><title>icon</title></svg><iframe><p>in</p></iframe><h1>Main</h1><table><tr><th>Head</th><td>cell</td></tr></table></body>"
+    assert pages.extract(html) == ("Main", "Main\n\nHead\n\ncell")
+    assert pages.extract("<title>First</title><title>Second</title><p>x</p>") == ("First", "x")
+    assert pages.extract("<p>Only text.</p>") == ("", "Only text.")

@@ -23,7 +23,8 @@ def bare_text(s):
 
 
 def entries(s):
-    return F.filter(F.transform(F.split(s, "[,;]"), F.trim), lambda x: x != "")
+    # a lambda of one argument: trim itself would take the index for the characters to trim
+    return F.filter(F.transform(F.split(s, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _agrees(answer, truth):
