@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Chunks that a worker remembers (about 200 bytes each); beyond, the table starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: Characters, about, whose chunks are numbered at once.
-TOGETHER = 8_000_000
+TOGETHER = 2_000_000
 
 #: Outside plain Latin text (decomposed accents, letters with odd case rules, separators on which the split and
 #: the tokenizer disagree), a text goes to the tokenizer whole.
