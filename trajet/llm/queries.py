@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, packing, secret_scan, sharding, simhash, token_counts, toxicity, url_filter
+from . import alignment, exact_dedup, fingerprints, mixing, packing, secret_scan, sharding, simhash, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op10_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -54,7 +58,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_url_filter, op3_secret_scan, op4_sharding, op5_token_counts, op6_exact_dedup,
-    op7_toxicity, op8_fingerprints, op9_mixing, op10_simhash, pipeline,
+    op7_toxicity, op8_fingerprints, op9_mixing, op10_simhash, op11_alignment, pipeline,
 )}
 
 ORACLES = {
