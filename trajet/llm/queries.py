@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, clustering, exact_dedup, fingerprints, mixing, packing, secret_scan, sharding, simhash, token_counts, toxicity, url_filter
+from . import alignment, clustering, exact_dedup, fingerprints, html_extraction, mixing, packing, secret_scan, sharding, simhash, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op11_alignment(spark, sf_dir):
     return alignment.alignment(table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark, sf_dir):
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_clustering(spark, sf_dir):
     return clustering.centroid_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -62,7 +66,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_url_filter, op3_secret_scan, op4_sharding, op5_token_counts, op6_exact_dedup,
-    op7_toxicity, op8_fingerprints, op9_mixing, op10_simhash, op11_alignment, op13_clustering, pipeline,
+    op7_toxicity, op8_fingerprints, op9_mixing, op10_simhash, op11_alignment, op12_html_extraction, op13_clustering, pipeline,
 )}
 
 def _clustering_sql(k: int = clustering.CENTROIDS, rounds: int = clustering.ROUNDS, size: int = clustering.SIZE) -> str:
