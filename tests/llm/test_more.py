@@ -342,3 +342,46 @@ def test_short_texts_inside_long_ones(spark):
         both = np.concatenate([fingerprints.shingle_hashes(a), fingerprints.shingle_hashes(b)])
         got = fingerprints.merge(fingerprints.sketch(a), fingerprints.sketch(b))
         assert got.tolist() == fingerprints.kept(both).tolist()
+
+
+def test_all_maximal_stretches_against_their_definition():
+    from random import Random
+
+    from trajet.llm.secret_scan import maximal
+
+    def best_first(scores, a, b):
+        sums = [(sum(scores[i:j]), i - j, i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+        top = max(sums, default=(0,))[0]
+        if top <= 0:
+            return []
+        # of equal sums the shortest, then the first
+        _, n, i, j = max((s for s in sums if s[0] == top), key=lambda s: (s[1], -s[2]))
+        return [*best_first(scores, a, i), (i, j), *best_first(scores, j, b)]
+
+    r = Random(3)
+    for _ in range(400):
+        scores = [r.choice((-1.9, -0.9, 0.1, 1.1)) + r.random() / 1000 for _ in range(r.randint(0, 24))]
+        assert maximal(scores) == best_first(scores, 0, len(scores))
+    assert len(maximal([1.0, -3.0] * 200_000)) == 200_000
+
+
+def test_later_keys_of_a_run_are_found_as_often_as_alone():
+    import string
+    from random import Random
+
+    from trajet.llm.secret_scan import random_spans
+
+    r = Random(8)
+    key = lambda n: "".join(r.choices(string.ascii_letters + string.digits, k=n))
+    alone = missed = 0
+    words = ["/production/database/connection/settings/", "/var/lib/application/current/configuration/secondary/region/", "=database_connection_settings="]
+    for i in range(200):
+        first, second, third = key(64), key(32), key(40)
+        for k in (second, third):
+            alone += not random_spans(k, [])
+        text = first + words[i % 3] + second + words[(i + 1) % 3] + third
+        spans = random_spans(text, [])
+        for k in (second, third):
+            at = text.index(k)
+            missed += not any(a < at + len(k) and b > at for a, _, b in spans)
+    assert missed <= alone + 4, (alone, missed)

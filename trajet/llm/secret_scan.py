@@ -2,9 +2,9 @@
 
 Random strings give few characters per token, prose and identifiers many. Runs of key characters are encoded with a
 tiktoken vocabulary. Known digests (hexadecimal of a digest's length), UUIDs, dates and plain numbers in a run are
-identifiers, and what a pattern reports is reported already: both are taken out first. In each part that is left, every longest stretch
-of tokens whose characters stay under the ratio is reported as kind `random` if it is long enough, so a key is found
-alone, with or without digits, and behind or between readable words. Stretches that are joined plain words (names of
+identifiers, and what a pattern reports is reported already: both are taken out first. In each part that is left, every maximal stretch
+of tokens whose characters stay under the ratio is reported as kind `random` if it is long enough, so keys are found
+alone, with or without digits, behind or between readable words, and several in one run. Stretches that are joined plain words (names of
 constants, versions) are identifiers too.
 
 Offsets count code points; ends are exclusive. Defined cases: null and empty texts have no spans (the digest of the empty
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,32 +74,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def stretches(part: str, ratio: float = RATIO, least: int = LEAST_LENGTH, name: str = VOCABULARY_FILE) -> list[tuple[int, int]]:
-    """(start, end) of the longest stretches of tokens with less than `ratio` characters per token.
+def maximal(scores: list[float]) -> list[tuple[int, int]]:
+    """(start, end) of all maximal stretches with a positive sum, ascending and disjoint: the best one, then the best ones
+    of what lies on its sides, and so on. One pass; a stretch remembers the last one whose sum began lower."""
+    held: list[tuple[float, float, int, int, int]] = []  # (sum before, sum at the end, start, end, place of the one that began lower)
+    total = 0.0
+    for at, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        start = at
+        lower = len(held) - 1
+        while True:
+            while lower >= 0 and held[lower][0] >= before:
+                lower = held[lower][4]
+            if lower < 0 or held[lower][1] >= total:
+                held.append((before, total, start, at + 1, lower))
+                break
+            before, start, following = held[lower][0], held[lower][2], held[lower][4]
+            del held[lower:]
+            lower = following
+    return [x[2:4] for x in held]
+
 
-    A token counts ratio less its length; the stretches are the disjoint ones with the largest sums: each is cut
-    where its sum was highest, once the sum has fallen back to zero.
-    """
+def stretches(part: str, ratio: float = RATIO, least: int = LEAST_LENGTH, name: str = VOCABULARY_FILE) -> list[tuple[int, int]]:
+    """(start, end) of the maximal stretches of tokens with less than `ratio` characters per token: a token counts ratio
+    less its length."""
     lengths = [len(t) for t in encoding(name).decode_tokens_bytes(encoding(name).encode_ordinary(part))]
+    ends = list(accumulate(lengths, initial=0))
     found = []
-    total = top = 0.0
-    start = at = end = 0
-    for n in [*lengths, ratio * (len(lengths) + 2)]:  # the last one ends any sum
-        if total <= 0:
-            start, total, top = at, 0.0, 0.0
-        at += n
-        total += ratio - n
-        if total > top:
-            top, end = total, at
-        elif total <= 0 and top > 0:
-            # separators at its edges are no part of it
-            a, b = start, int(end)
-            while a < b and not part[a].isalnum():
-                a += 1
-            while a < b and not part[b - 1].isalnum():
-                b -= 1
-            if b - a >= least and not _NAME.fullmatch(part, a, b):
-                found.append((a, b))
+    for i, j in maximal([ratio - n for n in lengths]):
+        a, b = ends[i], ends[j]
+        # separators at its edges are no part of it
+        while a < b and not part[a].isalnum():
+            a += 1
+        while a < b and not part[b - 1].isalnum():
+            b -= 1
+        if b - a >= least and not _NAME.fullmatch(part, a, b):
+            found.append((a, b))
     return found
 
 
