@@ -451,6 +451,37 @@ def test_fit_swaps_texts_and_scores_by_brute_force(spark):
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-logit(model, r["text"] or ""))), abs=1e-9)
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_one_id_with_unlike_texts(spark, turned):
+    """Code points decide among rows of one id; names of columns do not matter."""
+    rows = [(7, "a b c", "x"), (7, "abc", "y"), (None, "d e", "z"), (None, "de", "v"), (8, "q r", "u"), (8, "q\tr", "t"), (9, "alone", "s"), (9, "alone", "s"), (5, None, "n"), (6, " ", "m")]
+    names = ["row", "rank", "id", "sha", "chars", "_trajet_keep", "_trajet_row_sha", "kept_id", "a.b", "c`d"]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string, lang string").coalesce(1)
+    from pyspark.sql import functions as F
+
+    clash = df.withColumns({n: F.lit(n) for n in names}).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    kept = exact_dedup.keep_distinct(clash)
+    assert kept.columns == clash.columns and {r["a.b"] for r in kept.collect()} == {"a.b"}
+    want = Counter([(7, "a b c"), (None, "d e"), (8, min(("q r", "q\tr"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())), (9, "alone"), (6, " ")])
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    marked = Counter((r["doc_id"], r["kept"]) for r in exact_dedup.exact_dedup(df).collect())
+    assert marked == Counter({(7, True): 1, (7, False): 1, (None, True): 1, (None, False): 1, (8, True): 2, (9, True): 2, (5, False): 1, (6, True): 1})
+    one = simhash.keep_one(clash)
+    assert one.columns == clash.columns and one.count() <= len(rows)
+    assert exact_dedup.keep_distinct(clash.limit(0)).count() == 0 and simhash.keep_one(clash.limit(0)).count() == 0
+
+
+def test_pipeline_of_no_rows_and_of_one(spark, tmp_path):
+    import corpus_pipeline
+
+    for n, rows in enumerate(([], [(None, None, None, None, None)])):
+        at = tmp_path / str(n)
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+        assert corpus_pipeline.run(spark, str(at)).columns[:3] == ["doc_id", "start", "length"]
+        assert corpus_pipeline.run(spark, str(at)).count() == 0
+
+
 def test_pipeline_equals_its_steps(spark, odd, tmp_path):
     import corpus_pipeline
 

@@ -261,6 +261,38 @@ def test_token_counts(spark, odd, empty):  # noqa: F811
     assert token_counts.suffix_sums(token_counts.histogram(empty)).count() == 0
 
 
+def contained(a, b):
+    """Of two fingerprint strings or sketches, by sets."""
+    a, b = (fingerprints.from_string(x) if isinstance(x, str) else x for x in (a, b))
+    least = min(a.fraction, b.fraction)
+    x, y = ({h for h in s.hashes.tolist() if h < least * 2**32} for s in (a, b))
+    return len(x & y) / min(len(x), len(y)) if x and y else float(least == 1 and len(x) == len(y))
+
+
+def test_likenesses_come_from_the_fingerprints_alone(spark):
+    from random import Random
+
+    r = Random(2)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(3000)]
+    texts = [" ".join(r.choices(words, k=r.choice((0, 1, 4, 9, 30, 68, 69, 400, 2000)))) for _ in range(200)]
+    for i in range(0, 200, 4):  # short texts inside the long ones that follow
+        texts[i + 1] = texts[i + 1] + " " + texts[i]
+    rows = sorted(fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect(), key=lambda x: x["doc_id"])
+    for a, b in zip(rows, rows[1:] + rows[:1]):
+        assert a["near_edited"] == contained(a["fingerprint"], a["edited_fingerprint"]) and a["near_next"] == contained(a["fingerprint"], b["fingerprint"])
+    inside = [(a["near_next"], len(texts[a["doc_id"]].split())) for a in rows[::4]]
+    assert all(near == 1 for near, n in inside if n >= 400) and len({near for near, _ in inside} - {0.0, 1.0}) <= 3
+
+
+def test_merged_sketches_are_those_of_the_whole():
+    for n in (3, 30, 64, 65, 66, 300):
+        words = [f"w{i}" for i in range(n)]
+        left, right = (fingerprints.shingle_hashes(" ".join(x)) for x in (words, words[: n // 2] + ["other"] * 40))
+        whole = fingerprints.kept(np.concatenate((left, right)))
+        merged = fingerprints.merge(fingerprints.kept(left), fingerprints.kept(right))
+        assert merged.fraction == whole.fraction and (merged.hashes == whole.hashes).all()
+
+
 def test_fingerprints(spark, odd, empty, monkeypatch):  # noqa: F811
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
     rows = sorted(((r[0], r[1] or "") for r in odd_rows()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
@@ -272,7 +304,7 @@ def test_fingerprints(spark, odd, empty, monkeypatch):  # noqa: F811
         new = t[: len(t) - half] + following[:half]
         assert fingerprints.edited(t, following) == new
         a, b, c = sk(t), sk(new), sk(following)
-        contain = lambda x, y: len(set(x.tolist()) & set(y.tolist())) / min(len(x), len(y)) if len(x) and len(y) else float(len(x) == len(y))
+        contain = contained
         want[doc_id, len(t), hashlib.sha256(new.encode()).hexdigest(), fingerprints.as_string(a), fingerprints.as_string(b), contain(a, b), contain(a, c)] += 1
     got = Counter(tuple(r.asDict()[c] for c in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")) for r in fingerprints.fingerprints(odd).collect())
     assert got == want

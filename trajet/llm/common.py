@@ -49,6 +49,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_of_keys(docs: DataFrame, keys: dict, kept: DataFrame, order: list | None = None) -> DataFrame:
+    """The rows whose keys are in kept (columns of the same names; null equals null), one of each key, with all their
+    columns whatever they are called: the least by `order`, then by a hash of the other columns."""
+    plain = [f"`{c.replace('`', '``')}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind and kind != "void"]
+    ranks = F.struct(*(order or []), F.xxhash64(*plain))
+    rows = docs.select(F.expr("struct(*)").alias("row"), ranks.alias("rank"), *(e.alias(k) for k, e in keys.items()))
+    wanted = kept.select(*(F.col(k).alias(f"kept_{k}") for k in keys))
+    same = [rows[k].eqNullSafe(wanted[f"kept_{k}"]) for k in keys]
+    return rows.join(wanted, same, "left_semi").groupBy(*keys).agg(F.min_by("row", "rank").alias("row")).select("row.*")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -1,17 +1,17 @@
 """Threshold-scaled sketches: every shingle hash below a fixed fraction of the hash range is kept.
 
-A sketch is a set, so sketches of parts merge by union, and the overlap of two estimates containment whatever the
-sizes of their documents. A text with no hash below the threshold keeps its least one, so no text with a word has an empty
-sketch; a merge drops such a hash once another lies below. That hash says nothing of the other text's sketch, which left it
-out, so such a text is compared by all hashes of both.
+A sketch is a set and the fraction it was cut at, so sketches of parts merge by union, and the overlap of two estimates
+containment whatever the sizes of their documents. A text of at most WHOLE distinct shingles keeps them all: its fraction
+is 1. Two sketches are compared below the lesser of their fractions, from what they hold alone; where the one with fewer
+hashes there has none, nothing speaks for a likeness and it is 0. The string of a sketch begins with its fraction.
 
 Edited texts need the next document by id. Ids are cut into buckets at approximate quantiles; the bucket's first
 document is also sent to the bucket before, and each task streams its buckets in order with two documents in memory.
 Texts are shuffled once. An id (or null) with more rows than a bucket should hold has buckets of its own, by text hash,
 and a row repeated as often is spread over buckets at random, where each is followed by its own text.
 
-Defined cases: null text equals the empty one, whose sketch is empty; two empty sketches have likeness 1, an empty and
-another one 0; null ids come last; rows with equal ids stand in the order of a text hash, those repeated over HEAVY times
+Defined cases: null text equals the empty one, whose sketch is empty; two texts without a word have likeness 1, one and
+another text 0; null ids come last; rows with equal ids stand in the order of a text hash, those repeated over HEAVY times
 last; a single row is its own next; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .common import arrow_rows, text_or_empty
 SHINGLE_WORDS = 5
 #: The fraction of the hash range that is kept.
 FRACTION = 0.25
+#: A text of so many distinct shingles at most keeps all.
+WHOLE = 64
 #: Rows of a bucket, about. Beyond MOST_BUCKETS of them buckets grow instead; a task sorts on disk and streams.
 BUCKET_ROWS, MOST_BUCKETS = 1_000, 16_384
 #: Rows of one id that get buckets of their own (or a MOST_BUCKETS-th of all rows, if that is more).
@@ -69,48 +72,53 @@ def shingle_hashes(text: str, width: int = SHINGLE_WORDS) -> np.ndarray:
     return out ^ out >> np.uint64(32)
 
 
-def kept(h: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
-    """The hashes below the fraction, or the least one where none is; sorted, distinct, cut to their upper 32 bits."""
-    if not len(h):
-        return h.astype(np.uint32)
-    low = h[h < np.uint64(int(fraction * 2**64))]
-    return np.unique(((low if len(low) else h.min(keepdims=True)) >> np.uint64(32)).astype(np.uint32))
+class Sketch(NamedTuple):
+    hashes: np.ndarray  #: upper 32 bits of the kept hashes, ascending and distinct
+    fraction: float
 
+    def below(self, fraction: float) -> np.ndarray:
+        return self.hashes if fraction >= self.fraction else self.hashes[: np.searchsorted(self.hashes, int(fraction * 2**32))]
 
-def sketch(text: str, fraction: float = FRACTION, width: int = SHINGLE_WORDS) -> np.ndarray:
-    return kept(shingle_hashes(text, width), fraction)
 
+def _sketch(hashes: np.ndarray, fraction: float) -> Sketch:
+    """hashes: ascending and distinct, all of a text's (fraction 1) or those below the fraction."""
+    if fraction < 1 and len(hashes) > WHOLE:
+        return Sketch(hashes[: np.searchsorted(hashes, int(fraction * 2**32))], fraction)
+    return Sketch(hashes, 1.0)
 
-def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
-    """The sketch of both parts' shingles."""
-    both = np.union1d(a, b)
-    low = both[both < int(fraction * 2**32)]
-    return low if len(low) else both[:1]
+
+def kept(h: np.ndarray, fraction: float = FRACTION) -> Sketch:
+    return _sketch(np.unique((h >> np.uint64(32)).astype(np.uint32)), fraction)
 
 
-def likeness_of(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
-    """Containment from all shingle hashes: exact where a text has none below the fraction, else that of the sketches."""
-    top = np.uint64(int(fraction * 2**64))
-    if len(a) and len(b) and (a.min() >= top or b.min() >= top):
-        a, b = np.unique(a), np.unique(b)
-        return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
-    return likeness(kept(a, fraction), kept(b, fraction))
+def sketch(text: str, fraction: float = FRACTION, width: int = SHINGLE_WORDS) -> Sketch:
+    return kept(shingle_hashes(text, width), fraction)
+
+
+def merge(a: Sketch, b: Sketch, fraction: float = FRACTION) -> Sketch:
+    """The sketch of both parts' shingles."""
+    least = min(a.fraction, b.fraction)
+    both = np.union1d(a.below(least), b.below(least))
+    return _sketch(both, fraction) if least == 1 else Sketch(both, least)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: Sketch, b: Sketch) -> float:
     """Estimated containment of the smaller text's shingles in the larger one's."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+    least = min(a.fraction, b.fraction)
+    x, y = a.below(least), b.below(least)
+    if not len(x) or not len(y):
+        return float(least == 1 and len(x) == len(y))
+    return len(np.intersect1d(x, y, assume_unique=True)) / min(len(x), len(y))
 
 
-def as_string(s: np.ndarray) -> str:
-    """Eight hexadecimal digits for each kept hash, ascending."""
-    return s.astype(">u4").tobytes().hex()
+def as_string(s: Sketch) -> str:
+    """The fraction, a colon, and eight hexadecimal digits for each kept hash, ascending."""
+    return f"{s.fraction:g}:{s.hashes.astype('>u4').tobytes().hex()}"
 
 
-def from_string(s: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(s), ">u4").astype(np.uint32)
+def from_string(s: str) -> Sketch:
+    fraction, digits = s.split(":")
+    return Sketch(np.frombuffer(bytes.fromhex(digits), ">u4").astype(np.uint32), float(fraction))
 
 
 def edited(text: str, following: str) -> str:
@@ -133,9 +141,8 @@ def _stream(fraction: float, width: int):
     def row(doc: tuple, following: tuple) -> tuple:
         (doc_id, text, own), (_, next_text, next_own) = doc, following
         new = edited(text, next_text)
-        changed = shingle_hashes(new, width)
-        prints = as_string(kept(own, fraction)), as_string(kept(changed, fraction))
-        return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), *prints, likeness_of(own, changed, fraction), likeness_of(own, next_own, fraction))
+        changed = sketch(new, fraction, width)
+        return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), as_string(own), as_string(changed), likeness(own, changed), likeness(own, next_own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, in_bucket = None, None
@@ -148,7 +155,7 @@ def _stream(fraction: float, width: int):
                     held, in_bucket = None, bucket
                 if tail and held is None:
                     continue  # rows that repeat the one used
-                doc = (doc_id, text, shingle_hashes(text, width))
+                doc = (doc_id, text, sketch(text, fraction, width))
                 if held is not None:
                     out.append(row(held, doc))
                 held = None if tail else doc

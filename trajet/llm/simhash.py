@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, rows_of_keys, text_or_empty
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -309,7 +309,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, tau: int = MAX_BITS, seed: int = SEED) -> DataFrame:
     """One document of each component, with all its columns: the least by id (null last), then by text digest. A row is
-    known by id and digest, so unlike texts that share an id, or have none, stay apart."""
+    known by id and digest, so unlike texts that share an id, or have none, stay apart; of rows equal in both one stays."""
     digest = F.sha2(text_or_empty(text_col), 256)
     keyed = docs.select(F.col(id_col).alias("_id"), digest.alias("_sha"), F.col(text_col).alias("_text"))
     members = cut(fingerprints(keyed.withColumn("_key", F.struct("_id", "_sha")), "_key", "_text", words, seed))
@@ -318,8 +318,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     order = F.struct(F.col("_key._id").isNull().alias("none"), F.col("_key._id").alias("id"), F.col("_key._sha").alias("sha"))
     by_fp = members.groupBy("fp").agg(F.min(order).alias("least"))
     named = by_fp.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp")).agg(F.min("least").alias("least"))
-    kept = named.select(F.col("least.id").alias("_trajet_keep"), F.col("least.sha").alias("_trajet_keep_sha"))
-    joined = docs.withColumn("_trajet_row_sha", digest).join(
-        kept, F.col(id_col).eqNullSafe(F.col("_trajet_keep")) & (F.col("_trajet_row_sha") == F.col("_trajet_keep_sha")), "left_semi"
-    )
-    return joined.dropDuplicates([id_col, "_trajet_row_sha"]).select(*docs.columns)
+    kept = named.select(F.col("least.id").alias("id"), F.col("least.sha").alias("sha"))
+    return rows_of_keys(docs, {"id": F.col(id_col), "sha": digest}, kept)
