@@ -515,3 +515,28 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
     copies, _ = brute_mix([next((r[0], r[1], r[3]) for r in rows if r[0] == i and (r[1] or "") == t) for i, t in kept])
     assert pieces and {i for i, _ in kept} >= {r["doc_id"] for r in pieces}
     check_packing(pieces, [(i, t) for (i, t, _), n in copies.items() for _ in range(n)])
+
+
+def test_shards_of_short_texts_take_linear_time():
+    import time
+
+    r = np.random.default_rng(0)
+    took = []
+    for n in (20_000, 80_000):
+        items = [(i, 0, np.array([w, 2], "<u2"), 2) for i, w in enumerate(r.integers(3, 40_000, n))]
+        packer = packing.Packer(0, 4096, np.dtype("<u2"), np.ones(49_409), 2.0)
+        began = time.perf_counter()
+        packer.shard(items)
+        took.append(time.perf_counter() - began)
+        packer.end()
+        assert sorted(x[0] for x in packer.rows) == list(range(n))
+    assert took[1] < 12 * took[0], took
+
+
+def test_batches_are_encoded_in_slices():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, "", "b" * 50, "c" * 4, "d" * 4, ""])], ["doc_id", "text"])
+    parts = list(packing._slices(batch, 12))
+    assert [p.num_rows for p in parts] == [2, 1, 3] and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert list(packing._slices(batch.slice(0, 0))) == []

@@ -354,8 +354,9 @@ def test_containment_and_merging():
     half = " ".join([*words[3_000:3_500], *other.split()[:500]])
     assert fingerprints.likeness(fingerprints.sketch(part), fingerprints.sketch(half)) == pytest.approx(0.5, abs=0.08)
     both = fingerprints.merge(fingerprints.sketch(part), fingerprints.sketch(other))
-    assert set(both.tolist()) >= set(fingerprints.sketch(part).tolist())
-    assert (fingerprints.from_string(fingerprints.as_string(both)) == both).all()
+    assert set(both.hashes.tolist()) >= set(fingerprints.sketch(part).hashes.tolist())
+    again = fingerprints.from_string(fingerprints.as_string(both))
+    assert (again.hashes == both.hashes).all() and again.fraction == both.fraction
 
 
 def test_short_texts_inside_long_ones(spark):
@@ -365,15 +366,15 @@ def test_short_texts_inside_long_ones(spark):
     top = np.uint64(int(fingerprints.FRACTION * 2**64))
     bare_ones = [p for p in parts if fingerprints.shingle_hashes(p).min() >= top]
     assert len(bare_ones) > 50
-    # rows alternate, so each short text is next to the long one
-    rows = [(2 * i + k, t) for i, p in enumerate(bare_ones[:40]) for k, t in enumerate((p, whole))]
+    # rows alternate, so each short text is next to the long one; without a hash below the fraction nothing speaks for it
+    rows = [(2 * i + k, t) for i, p in enumerate(parts) for k, t in enumerate((p, whole))]
     out = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["near_next"] for r in out} == {1.0}
+    assert all(r["near_next"] == (parts[r["doc_id"] // 2] not in bare_ones) for r in out if r["doc_id"] % 2 == 0)
     # merged sketches are those of the shingles of both
     for a, b in zip(bare_ones, parts[::-1]):
         both = np.concatenate([fingerprints.shingle_hashes(a), fingerprints.shingle_hashes(b)])
         got = fingerprints.merge(fingerprints.sketch(a), fingerprints.sketch(b))
-        assert got.tolist() == fingerprints.kept(both).tolist()
+        assert got.hashes.tolist() == fingerprints.kept(both).hashes.tolist()
 
 
 def test_all_maximal_stretches_against_their_definition():

@@ -155,15 +155,29 @@ def _sums(centroids: np.ndarray, centres: np.ndarray):
     return run
 
 
+def _first(source: DataFrame, k: int, seed: str) -> list[list[int]]:
+    """The k vectors of least digests. Only digests below a bound, about four times k, leave their tasks, once each; the
+    bound widens if too few lie below."""
+    digest = F.coalesce(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256), F.lit("none"))  # behind all hexadecimal digits
+    named = source.select(digest.alias("digest"), "whole")
+    n = source.count()
+    share = 4 * k / max(1, n)
+    while True:
+        below = named.filter(F.col("digest") < f"{int(2**52 * share):013x}") if share < 1 else named
+        found = below.groupBy("digest", "whole").count().orderBy("digest", "whole").limit(k).collect()
+        vectors = [r["whole"] for r in found for _ in range(min(k, r["count"]))]
+        if share >= 1 or len(vectors) >= k:
+            return vectors[:k]
+        share *= 16
+
+
 def centroid_clusters(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", size: int = SIZE, k: int = CENTROIDS, rounds: int = ROUNDS, scale: int = SCALE, seed: str = SEED, pivots: int = PIVOTS
 ) -> DataFrame:
     """One row per kept vector: vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256."""
     spark = vectors.sparkSession
     source = quantised(vectors, id_col, vector_col, size, scale)
-    # k rows
-    first = source.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256).asc_nulls_last(), "whole").limit(k)
-    centroids = np.array([r["whole"] for r in first.collect()], np.int64).reshape(-1, size)
+    centroids = np.array(_first(source, k, seed), np.int64).reshape(-1, size)
     simplex = Simplex(centroids, pivots)
     kept = stored(source.mapInArrow(_project(simplex), _KEPT), "clustering-vectors")
     centres_of = lambda c: simplex.apexes(simplex.distances(c))

@@ -268,9 +268,13 @@ def examples(pages: list[str], layouts: int = LAYOUTS, seed: int = SEED) -> list
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS, seed: int = SEED) -> Labeller:
-    """A labeller for these pages, from the sample of least digests among pages up to SAMPLE_CHARS characters."""
-    fair = pages.select(F.col(html_col).alias("html"), F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256).alias("place")).filter(F.length("html").between(1, SAMPLE_CHARS))
-    chosen = [r["html"] for r in fair.orderBy(F.col("place").asc_nulls_last(), "html").limit(sample).collect()]
+    """A labeller for these pages, from the sample of least hashes among the different pages up to SAMPLE_CHARS characters."""
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(html_col)), F.lit(2**53))
+    fair = pages.filter(F.length(html_col).between(1, SAMPLE_CHARS)).select(F.col(html_col).alias("html"), place.alias("place"))
+    share = 4 * sample / max(1, fair.count())
+    # about four times the sample leave their tasks
+    few = fair.filter(F.col("place") < int(2**53 * min(1, share))).dropDuplicates(["place"])
+    chosen = [r["html"] for r in few.orderBy("place").limit(sample).collect()]
     return Labeller(PATH_DIMS + WORD_DIMS + FIGURES, seed=seed).fit([(vectors(b), np.array(y, np.float32)) for b, y in examples(chosen, layouts, seed) if b], seed=seed)
 
 

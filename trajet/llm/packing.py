@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, stored, text_or_empty
-from .tokens import TOKENIZER_FILE, encoder
+from .tokens import TOGETHER, TOKENIZER_FILE, encoder
 
 WINDOW = 4096
 END_ID = 2
@@ -35,7 +36,9 @@ SHARD_TOKENS = 1_500_000
 MOST_INDEXED = 6_000_000
 K1, B = 1.2, 0.75
 #: A term of more than one in DENSE items has a whole row of weights.
-DENSE = 8
+DENSE = 4
+#: Ranked items that are looked at together.
+STRETCH = 256
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ITEMS = "doc_id long, doc_tokens long, full array<long>, rest binary, rest_tokens long, k1 long, k2 long, k3 long"
@@ -70,17 +73,28 @@ def _lexical_keys(items: list[np.ndarray]) -> list[list[int]]:
     return keys.view(np.int64).T.tolist()
 
 
+def _slices(batch: pa.RecordBatch, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Rows in turn, about `most` bytes of text together, or one longer text: a batch may hold far more text than a worker
+    should have as strings and ids."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def _tokenise(name: str, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name)
         end = np.array([end_id], enc.dtype)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             out, rests = [], []
             for ids in enc.encode_all(batch.column("text").to_pylist()):
                 ids = np.concatenate((ids, end))
                 n = len(ids) // window * window
                 full = [crc32(ids[i : i + window]) for i in range(0, n, window)]
-                rests.append(ids[n:])
+                rests.append(ids[n:].copy())  # a view would keep the ids of all texts
                 out.append((len(ids), full, rests[-1].tobytes(), len(ids) - n))
             out = [(*row, *keys) for row, keys in zip(out, _lexical_keys(rests))]
             yield arrow_rows(out, _ITEMS, doc_id=batch.column("doc_id"))
@@ -112,26 +126,37 @@ class Index:
     def __init__(self, items: list[np.ndarray], idf: np.ndarray, mean_length: float, end_id: int = END_ID):
         n = len(items)
         lengths = np.fromiter(map(len, items), np.int64, n)
-        pairs = np.repeat(np.arange(n, dtype=np.int64), lengths) << np.int64(32) | np.concatenate(items).astype(np.int64)
-        keys, tf = np.unique(pairs, return_counts=True)
-        doc, term = keys >> np.int64(32), keys & np.int64(0xFFFFFFFF)
-        doc, term, tf = (x[term != end_id] for x in (doc, term, tf))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
+        keys = np.repeat(np.arange(n, dtype=np.int64), lengths) << np.int64(32)
+        keys |= np.concatenate(items)
+        keys.sort()
+        firsts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        tf = np.diff(np.r_[firsts, len(keys)])
+        keys = keys[firsts]
+        del firsts
+        term = (keys & np.int64(0xFFFFFFFF)).astype(np.int32)
+        doc = (keys >> np.int64(32)).astype(np.int32)
+        del keys
+        term_kept = term != end_id
+        doc, term, tf = doc[term_kept], term[term_kept], tf[term_kept]
+        weight = (idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / mean_length))[doc]))
+        del tf
         # per document, for queries
         self.doc_starts = np.searchsorted(doc, np.arange(n + 1))
         self.doc_terms = term
+        self.n = n
         # per term, the postings
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.post_starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.n = n
+        del order, doc, weight
         # the weights of frequent terms in whole rows, which add up faster than postings; at most DENSE times as many
         frequent = np.flatnonzero(np.diff(self.post_starts) * DENSE > n)
         self.row = np.full(len(idf), -1)
         self.row[frequent] = np.arange(len(frequent))
         self.rows = np.zeros((len(frequent), n))
-        held = self.row[term] >= 0
-        self.rows[self.row[term[held]], doc[held]] = weight[held]
+        for r, t in enumerate(frequent.tolist()):
+            span = slice(self.post_starts[t], self.post_starts[t + 1])
+            self.rows[r, self.post_doc[span]] = self.post_weight[span]
 
     def scores(self, seed: int) -> np.ndarray:
         terms = self.doc_terms[self.doc_starts[seed] : self.doc_starts[seed + 1]]
@@ -215,15 +240,20 @@ class Packer:
                 continue
             ranked = index.neighbours(seed, used)
             sizes = lengths[ranked]
-            while self.next_id == sequence:
-                fitting = np.flatnonzero(sizes <= self.room)
-                if not len(fitting):
-                    break
-                take(ranked[fitting[0]])
-                sizes[fitting[0]] = self.window
-            left = np.flatnonzero(sizes < self.window)
-            if self.next_id == sequence and len(left):
-                cut = ranked[left[0]]
+            # the room only shrinks, so what did not fit never will: one walk, a stretch at a time
+            at, first_left = 0, -1
+            while self.next_id == sequence and at < len(ranked):
+                fits = sizes[at : at + STRETCH] <= self.room
+                step = int(fits.argmax())
+                if first_left < 0 and (step or not fits[0]):
+                    first_left = at
+                if not fits[step]:
+                    at += len(fits)
+                    continue
+                take(ranked[at + step])
+                at += step + 1
+            if self.next_id == sequence and first_left >= 0:
+                cut = ranked[first_left]
                 take(cut)
 
     def end(self) -> None:
