@@ -1,2 +1,2 @@
-from . import content, evaluation, retail, stateful, trajectory  # noqa: F401
+from . import content, evaluation, retail, samples, stateful, trajectory  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
