@@ -163,6 +163,65 @@ def permutation_test(diffs: DataFrame, n_perm: int = 10_000, seed: int = 42) ->
     return extreme.select("n", "delta", (F.col("c") / n_perm).alias("p_value"), ((F.col("c") + 1) / (n_perm + 1)).alias("p_pooled"))
 
 
+#: Units that differences are tried as multiples of; else the largest difference is cut into as many steps as LATTICE allows.
+UNITS = (1.0, 1 / 2, 1 / 4, 1 / 5, 1 / 8, 1 / 10, 1 / 16, 1 / 20, 1 / 25, 1 / 50, 1 / 100, 1 / 1000)
+#: Points of the lattice that sums are held on, and standard deviations beyond which nothing is left of them.
+LATTICE, REACH = 2**17, 8
+
+
+def lattice_unit(n: int, largest: float, squares: float, fits: list[bool]) -> float:
+    """The unit of a lattice for n differences: one that holds them all exactly, if the sums then fit it, else a step fine
+    enough that rounding moves the sums' spread by a part in a few hundred at most."""
+    steps = max(1, int(LATTICE * largest / (4 * REACH * squares**0.5)))
+    exact = next((u for u, ok in zip(UNITS, fits) if ok), None)
+    return exact if exact and largest / exact <= steps else largest / steps
+
+
+def sign_flip_test(diffs: DataFrame, n_perm: int = 10_000) -> DataFrame:
+    """(diff) -> n, delta, p_value, p_pooled of the two-sided sign-flip test over all 2**n flips, instead of a sample.
+
+    The flipped sums' distribution is a convolution; its characteristic function is a product of cosines, one for each
+    distinct difference to the power of its count, and the tail comes from it by one sum over frequencies. Differences are
+    multiples of a lattice's unit, exactly if a usual unit fits them, else rounded; their number does not matter beyond one
+    grouping of them, since a lattice has at most LATTICE sums and few steps. p_pooled is what a sample of n_perm would
+    give on average, its own order counted. Null differences are left out; without any, both p are 1.
+    """
+    d, size = F.col("diff").cast("double"), F.abs(F.col("diff").cast("double"))
+    fits = [F.coalesce(F.bool_and(F.abs(d / u - F.round(d / u)) < 1e-9), F.lit(False)).alias(f"u{i}") for i, u in enumerate(UNITS)]
+    # one row
+    f = diffs.agg(F.count("diff").alias("n"), F.coalesce(F.avg(d), F.lit(0.0)).alias("delta"), F.coalesce(F.max(size), F.lit(0.0)).alias("largest"), F.coalesce(F.sum(d * d), F.lit(0.0)).alias("squares"), F.abs(F.coalesce(F.sum(d), F.lit(0.0))).alias("sum"), *fits).first()
+    spark = diffs.sparkSession
+    result = lambda p: spark.createDataFrame([(f["n"], f["delta"], p, (p * n_perm + 1) / (n_perm + 1))], "n long, delta double, p_value double, p_pooled double")
+    if not f["largest"]:
+        return result(1.0)
+    unit = lattice_unit(f["n"], f["largest"], f["squares"], [f[f"u{i}"] for i in range(len(UNITS))])
+    # at most LATTICE / REACH steps, of which each has been seen
+    counts = diffs.filter("diff is not null").groupBy(F.round(size / unit).cast("long").alias("q")).agg(F.count(F.lit(1)).alias("k")).filter("q > 0")
+    h = counts.agg(F.sum(F.col("q") * F.col("k")), F.sqrt(F.sum(F.col("q") * F.col("q") * F.col("k")).cast("double")), F.collect_list(F.struct(F.col("q").cast("double").alias("q"), F.col("k").cast("double").alias("k")))).first()
+    total, spread, steps = h
+    # the sum seen, in spreads, as rounding moves it and the spread alike; on an exact lattice these are whole numbers
+    seen = round(f["sum"] / f["squares"] ** 0.5 * spread) if total else 0
+    if seen == 0:
+        return result(1.0)
+    if seen > 2 * REACH * spread:
+        return result(0.0)
+    points = 2 * min(total, int(min(seen, REACH * spread) + REACH * spread) + 1) + 1
+    row = spark.createDataFrame([(steps,)], "steps array<struct<q:double,k:double>>")
+    theta = F.col("id") * F.lit(2 * 3.141592653589793 / points)
+    c = lambda x: F.cos(x["q"] * F.col("theta"))
+    grown = F.aggregate(
+        "steps", F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("turns")),
+        lambda a, x: F.struct((a["log"] + x["k"] * F.ln(F.greatest(F.abs(c(x)), F.lit(1e-300)))).alias("log"), (a["turns"] + F.when(c(x) < 0, x["k"]).otherwise(0.0)).alias("turns")),
+    )
+    waves = spark.range(1, points // 2 + 1).withColumn("theta", theta).join(F.broadcast(row)).withColumn("g", grown)
+    wave = F.when(F.col("g.turns") % 2 == 1, -1.0).otherwise(1.0) * F.exp("g.log")
+    inner = F.sum(wave * F.sin((seen - 0.5) * F.col("theta")) / F.sin(F.col("theta") / 2))
+    # all sums nearer to zero than the one seen
+    nearer = (2 * seen - 1 + 2 * F.coalesce(inner, F.lit(0.0))) / points
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - nearer))
+    return waves.agg(p.alias("p_value")).select(F.lit(f["n"]).cast("long").alias("n"), F.lit(f["delta"]).alias("delta"), "p_value", ((F.col("p_value") * n_perm + 1) / (n_perm + 1)).alias("p_pooled"))
+
+
 def bootstrap(scores: DataFrame, reps: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """(score) 0/1 rows -> accuracy, lo, hi by the percentile method; zeros without rows. Only the number of ones matters,
     so a draw is a hit when its index falls among them; no row is joined, and a digest gives eight draws."""

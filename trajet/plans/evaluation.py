@@ -139,6 +139,21 @@ def q_paired_permutation(spark, d):
     return p.withColumns({c: R6(F.col(c)) for c in ("delta", "p_value", "p_pooled")})
 
 
+@query(f"""WITH {R}, df AS (SELECT round(8 * (score - score_b) + task_id % 5 - 2)::BIGINT AS x FROM r),
+    hi AS (SELECT abs(x) AS q, count(*) AS k FROM df WHERE x <> 0 GROUP BY 1),
+    ft AS (SELECT sum(q * k)::BIGINT AS total, sqrt(sum(q * q * k)::DOUBLE) AS sd, (SELECT abs(sum(x))::BIGINT FROM df) AS s FROM hi),
+    np AS (SELECT *, 2 * least(total, floor(least(s, 8 * sd) + 8 * sd)::BIGINT + 1) + 1 AS points FROM ft),
+    wv AS (SELECT j, 2 * pi() * j / points AS th, s, points FROM np, generate_series(1, (SELECT points // 2 FROM np)) AS g(j)),
+    ph AS (SELECT j, any_value(th) AS th, any_value(s) AS s, any_value(points) AS points, exp(sum(k * ln(greatest(abs(cos(q * th)), 1e-300)))) * CASE WHEN sum(CASE WHEN cos(q * th) < 0 THEN k ELSE 0 END) % 2 = 1 THEN -1 ELSE 1 END AS f FROM wv, hi GROUP BY 1),
+    pv AS (SELECT greatest(0, least(1, 1 - (2 * any_value(s) - 1 + 2 * sum(f * sin((s - 0.5) * th) / sin(th / 2))) / any_value(points))) AS p FROM ph)
+    SELECT (SELECT count(*) FROM df) AS n, round((SELECT avg(x / 8.0::DOUBLE) FROM df), 6) AS delta, round(p, 6) AS p_value, round((p * {N_PERM} + 1) / {N_PERM + 1}.0::DOUBLE, 6) AS p_pooled FROM pv""")
+def q_sign_flip(spark, d):
+    """Differences in eighths."""
+    diffs = run_records(spark, d).select((F.col("score") - F.col("score_b") + (F.col("task_id") % 5 - 2) / 8).alias("diff"))
+    p = E.sign_flip_test(diffs, N_PERM)
+    return p.withColumns({c: R6(F.col(c)) for c in ("delta", "p_value", "p_pooled")})
+
+
 HITS = " + ".join(f"CASE WHEN block * 8 + {j} < n AND ('0x' || substr(h, {1 + 8 * j}, 8))::BIGINT % n < k THEN 1 ELSE 0 END" for j in range(8))
 
 
