@@ -36,7 +36,7 @@ SHARD_TOKENS = 1_500_000
 MOST_INDEXED = 6_000_000
 K1, B = 1.2, 0.75
 #: A term of more than one in DENSE items has a whole row of weights.
-DENSE = 4
+DENSE = 8
 #: Ranked items that are looked at together.
 STRETCH = 256
 
