@@ -58,3 +58,45 @@ def test_a_million_distinct_differences_cost_little_more_than_a_thousand(spark):
 
         assert row["p_value"] == pytest.approx(erfc(abs(s) / sqrt(2 * squares)), rel=0.05)
     assert took[1] < 6 * took[0] + 6, took
+
+
+def interval(spark, scores, **more):
+    r = E.resampled_interval(spark.createDataFrame([(None if x is None else float(x),) for x in scores], "score double"), **more).first()
+    return r["accuracy"], r["lo"], r["hi"]
+
+
+def test_resampled_interval_of_hits_is_binomial(spark):
+    from math import comb
+
+    n, k = 40, 13
+    cdf = np.cumsum([comb(n, i) * (k / n) ** i * (1 - k / n) ** (n - i) for i in range(n + 1)])
+    want = [int(np.argmax(cdf >= level - 1e-12)) / n for level in (251 / 10_000, 9751 / 10_000)]
+    assert interval(spark, [1] * k + [0] * (n - k)) == pytest.approx((k / n, *want))
+
+
+@pytest.mark.parametrize("kind", ["quarters", "any", "skewed"])
+def test_resampled_interval_is_the_limit_of_resampling(spark, kind):
+    r = np.random.default_rng(6)
+    scores = {"quarters": r.integers(0, 5, 60) / 4, "any": r.random(80), "skewed": np.r_[r.random(30) / 10, 5.0]}[kind]
+    means = np.sort(r.choice(scores, (200_000, len(scores))).mean(1))
+    acc, lo, hi = interval(spark, scores.tolist())
+    sd = scores.std() / len(scores) ** 0.5
+    assert acc == pytest.approx(scores.mean()) and abs(lo - means[5_000]) < 0.05 * sd and abs(hi - means[195_000]) < 0.05 * sd
+
+
+def test_resampled_interval_edges(spark):
+    assert interval(spark, []) == interval(spark, [None]) == (0, 0, 0)
+    assert interval(spark, [0.3] * 5 + [None]) == pytest.approx((0.3, 0.3, 0.3)) and interval(spark, [0.7]) == pytest.approx((0.7, 0.7, 0.7))
+
+
+def test_resampled_interval_takes_the_same_time_for_more_rows(spark):
+    took = []
+    for n in (1_000, 1_000_000):
+        df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(9)) / 8).alias("score")).cache()
+        df.count()
+        began = time.perf_counter()
+        r = E.resampled_interval(df).first()
+        took.append(time.perf_counter() - began)
+        sd = df.agg(F.stddev_pop("score")).first()[0] / n**0.5
+        assert r["lo"] == pytest.approx(r["accuracy"] - 1.96 * sd, abs=0.1 * sd) and r["hi"] == pytest.approx(r["accuracy"] + 1.96 * sd, abs=0.1 * sd)
+    assert took[1] < 5 * took[0] + 6, took

@@ -167,6 +167,8 @@ def permutation_test(diffs: DataFrame, n_perm: int = 10_000, seed: int = 42) ->
 UNITS = (1.0, 1 / 2, 1 / 4, 1 / 5, 1 / 8, 1 / 10, 1 / 16, 1 / 20, 1 / 25, 1 / 50, 1 / 100, 1 / 1000)
 #: Points of the lattice that sums are held on, and standard deviations beyond which nothing is left of them.
 LATTICE, REACH = 2**17, 8
+#: Points of the lattice of resampled sums: each is summed over the frequencies that are left, at most half as many.
+RESAMPLED = 2**14
 
 
 def lattice_unit(n: int, largest: float, squares: float, fits: list[bool]) -> float:
@@ -222,6 +224,52 @@ def sign_flip_test(diffs: DataFrame, n_perm: int = 10_000) -> DataFrame:
     return waves.agg(p.alias("p_value")).select(F.lit(f["n"]).cast("long").alias("n"), F.lit(f["delta"]).alias("delta"), "p_value", ((F.col("p_value") * n_perm + 1) / (n_perm + 1)).alias("p_pooled"))
 
 
+def resampled_interval(scores: DataFrame, reps: int = 10_000, alpha: float = 0.05) -> DataFrame:
+    """(score) -> accuracy, lo, hi: the interval that the percentile method gives over resamples of all n rows with
+    replacement, from the resampled mean's own distribution instead of a sample of it. reps fixes which order statistics
+    bound the interval, as they would among so many resamples. Any scores, fractional too.
+
+    The sum of n draws is an n-fold convolution of the scores' distribution on a lattice; its characteristic function is
+    that of one draw to the power n, and few frequencies are left of it. Scores are multiples of a usual unit, else rounded
+    to a step and the result scaled back to their mean and spread. Rows are grouped once; nothing after that depends on
+    their number but the power. Null scores are left out; without any, all three are 0.
+    """
+    spark = scores.sparkSession
+    v = F.col("score").cast("double")
+    fits = [F.coalesce(F.bool_and(F.abs(v / u - F.round(v / u)) < 1e-9), F.lit(False)).alias(f"u{i}") for i, u in enumerate(UNITS)]
+    # one row
+    f = scores.agg(F.count("score").alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("sd"), *fits).first()
+    n, result = f["n"], lambda *x: spark.createDataFrame([tuple(map(float, x))], "accuracy double, lo double, hi double")
+    if not n or f["least"] == f["most"]:
+        return result(*[f["mean"] or 0.0] * 3)
+    width = f["most"] - f["least"]
+    steps = max(1, int(RESAMPLED * width / (2 * REACH * f["sd"] * n**0.5)))
+    exact = next((u for i, u in enumerate(UNITS) if f[f"u{i}"]), None)
+    unit = exact if exact and width / exact <= steps else width / steps
+    # at most n values, and RESAMPLED / REACH steps
+    shares = scores.filter("score is not null").groupBy(F.round((v - f["least"]) / unit).cast("double").alias("q")).agg((F.count(F.lit(1)) / n).alias("p"))
+    h = shares.agg(F.sum(F.col("q") * F.col("p")), F.sqrt(F.sum(F.col("q") * F.col("q") * F.col("p")) - F.pow(F.sum(F.col("q") * F.col("p")), F.lit(2))), F.max("q"), F.collect_list(F.struct("q", "p"))).first()
+    mean, sd, top, values = h
+    reach = REACH * sd * n**0.5 + 1
+    first, last = max(0, int(n * mean - reach)), min(int(n * top), int(n * mean + reach) + 1)
+    points = (last - first + 1) | 1
+    one = spark.createDataFrame([(values,)], "vs array<struct<q:double,p:double>>")
+    theta = F.col("id") * F.lit(2 * 3.141592653589793 / points)
+    add = lambda wave: F.aggregate("vs", F.lit(0.0), lambda a, x: a + x["p"] * wave(x["q"] * F.col("theta")))
+    waves = spark.range(1, points // 2 + 1).withColumn("theta", theta).join(F.broadcast(one)).select("theta", add(F.cos).alias("re"), add(F.sin).alias("im"))
+    size = F.exp(n * F.ln(F.greatest(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), F.lit(1e-300))))
+    waves = waves.select("theta", size.alias("size"), (n * F.atan2("im", "re")).alias("turn")).filter("size > 1e-18")
+    # what is left: some dozens, or half the lattice's points if n is small
+    few = waves.agg(F.collect_list(F.struct("theta", "size", "turn")).alias("ws"))
+    m = (F.col("id") + 1).cast("double")  # sums from `first` on
+    turned = lambda a, w: a + w["size"] * F.cos(w["turn"] - w["theta"] * (F.lit(float(first)) + F.col("id") / 2)) * F.sin(m * w["theta"] / 2) / F.sin(w["theta"] / 2)
+    below = (m + 2 * F.aggregate("ws", F.lit(0.0), turned)) / points
+    sums = spark.range(points).join(F.broadcast(few)).select((F.col("id") + first).alias("x"), below.alias("below"))
+    at = lambda share: F.min(F.when(F.col("below") >= (int(share * reps) + 1) / reps - 1e-12, F.col("x")))
+    value = lambda x: F.lit(f["mean"]) + (x / n - mean) * (f["sd"] / sd)
+    return sums.agg(F.lit(f["mean"]).alias("accuracy"), value(at(alpha / 2)).alias("lo"), value(at(1 - alpha / 2)).alias("hi"))
+
+
 def bootstrap(scores: DataFrame, reps: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """(score) 0/1 rows -> accuracy, lo, hi by the percentile method; zeros without rows. Only the number of ones matters,
     so a draw is a hit when its index falls among them; no row is joined, and a digest gives eight draws."""

@@ -154,6 +154,22 @@ def q_sign_flip(spark, d):
     return p.withColumns({c: R6(F.col(c)) for c in ("delta", "p_value", "p_pooled")})
 
 
+@query(f"""WITH {R}, v AS (SELECT (8 * (0.5 * score + task_id % 5 * 0.125))::BIGINT AS e FROM r), b AS (SELECT count(*) AS n, min(e) AS least, avg(e / 8.0::DOUBLE) AS acc FROM v),
+    h AS (SELECT (e - least)::DOUBLE AS q, count(*) / any_value(n)::DOUBLE AS p FROM v, b GROUP BY 1),
+    m AS (SELECT sum(q * p) AS mu, sqrt(sum(q * q * p) - sum(q * p) ** 2) AS sd, max(q) AS top FROM h),
+    w AS (SELECT *, greatest(0, trunc(n * mu - (8 * sd * sqrt(n) + 1)))::BIGINT AS first, least(n * top, trunc(n * mu + 8 * sd * sqrt(n) + 1) + 1)::BIGINT AS last FROM m, b),
+    k AS (SELECT *, CASE WHEN (last - first + 1) % 2 = 1 THEN last - first + 1 ELSE last - first + 2 END AS points FROM w),
+    fr AS (SELECT 2 * pi() * j / points AS th FROM k, generate_series(1, (SELECT points // 2 FROM k)) AS g(j)),
+    cf AS (SELECT th, sum(p * cos(q * th)) AS re, sum(p * sin(q * th)) AS im FROM fr, h GROUP BY 1),
+    wa AS (SELECT th, exp((SELECT n FROM b) * ln(greatest(sqrt(re * re + im * im), 1e-300))) AS size, (SELECT n FROM b) * atan2(im, re) AS turn FROM cf),
+    cd AS (SELECT first + x AS x, (x + 1 + 2 * coalesce(sum(size * cos(turn - th * (first + x / 2.0::DOUBLE)) * sin((x + 1) * th / 2) / sin(th / 2)), 0)) / any_value(points) AS below FROM k, generate_series(0, (SELECT points - 1 FROM k)) AS g(x), wa WHERE size > 1e-18 GROUP BY first, x)
+    SELECT round(any_value(acc), 6) AS accuracy, round((min(x) FILTER (below >= {int(0.025 * REPS) + 1} / {REPS}.0::DOUBLE - 1e-12) / any_value(n)::DOUBLE + any_value(least)) / 8, 6) AS lo, round((min(x) FILTER (below >= {int(0.975 * REPS) + 1} / {REPS}.0::DOUBLE - 1e-12) / any_value(n)::DOUBLE + any_value(least)) / 8, 6) AS hi FROM cd, b""")
+def q_resampled_interval(spark, d):
+    """Fractional scores, in eighths."""
+    b = E.resampled_interval(run_records(spark, d).select((0.5 * F.col("score") + F.col("task_id") % 5 * 0.125).alias("score")), REPS)
+    return b.select(*(R6(F.col(c)).alias(c) for c in b.columns))
+
+
 HITS = " + ".join(f"CASE WHEN block * 8 + {j} < n AND ('0x' || substr(h, {1 + 8 * j}, 8))::BIGINT % n < k THEN 1 ELSE 0 END" for j in range(8))
 
 
