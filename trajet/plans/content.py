@@ -106,14 +106,13 @@ def q_answer_score(spark, d):
 
 
 @query("""SELECT doc_id, word = 'yes' AS starts_yes, CASE word WHEN 'yes' THEN true WHEN 'no' THEN false END AS yes_no, contains(lower(reply), 'yes') AS loose_yes, CASE WHEN doc_id % 4 = 2 THEN (n_chars % 3) / 2.0 WHEN doc_id % 4 = 3 THEN NULL END::DOUBLE AS level
-    FROM (SELECT *, regexp_extract(lower(trim(reply)), '^[a-z0-9_]*') AS word FROM (SELECT doc_id, n_chars, text, CASE doc_id % 4 WHEN 0 THEN ' Yes, ' || text WHEN 1 THEN 'No: ' || text WHEN 2 THEN 'verdict {"score": ' || (n_chars % 3) / 2.0 || '} of ' || n_chars ELSE text END AS reply FROM documents))
-    WHERE doc_id % 4 <> 3 OR NOT contains(text, '{')""")
+    FROM (SELECT *, regexp_extract(lower(trim(reply)), '^[a-z0-9_]*') AS word FROM (SELECT doc_id, n_chars, text, CASE doc_id % 4 WHEN 0 THEN ' Yes, ' || text WHEN 1 THEN 'No: ' || text WHEN 2 THEN 'verdict {"score": ' || (n_chars % 3) / 2.0 || '} of ' || n_chars ELSE replace(text, '{', '(') END AS reply FROM documents))""")
 def q_judge_parse(spark, d):
-    """Replies made from the documents' whole texts, those without a JSON object of their own."""
+    """Replies made from the documents' whole texts; the last kind has no JSON object."""
     kind, text = F.col("doc_id") % 4, F.col("text")
     verdict = F.format_string('verdict {"score": %.1f} of %d', (F.col("n_chars") % 3) / 2.0, "n_chars")
-    reply = F.when(kind == 0, F.concat(F.lit(" Yes, "), text)).when(kind == 1, F.concat(F.lit("No: "), text)).when(kind == 2, verdict).otherwise(text)
-    r = table(spark, d, "documents").filter((kind != 3) | ~F.contains("text", F.lit("{"))).select("doc_id", reply.alias("reply"))
+    reply = F.when(kind == 0, F.concat(F.lit(" Yes, "), text)).when(kind == 1, F.concat(F.lit("No: "), text)).when(kind == 2, verdict).otherwise(F.replace(text, F.lit("{"), F.lit("(")))
+    r = table(spark, d, "documents").select("doc_id", reply.alias("reply"))
     yes = G.yes_no(F.col("reply"))
     return r.select("doc_id", F.coalesce(yes, F.lit(False)).alias("starts_yes"), yes.alias("yes_no"), F.contains(F.lower("reply"), F.lit("yes")).alias("loose_yes"), G.three_level(F.col("reply")).alias("level"))
 
