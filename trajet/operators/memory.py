@@ -1,64 +1,72 @@
-"""Exact nearest neighbours: blocks of queries meet all vectors in the tasks that read them."""
+"""Exact nearest neighbours: blocks of queries meet blocks of vectors in the tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that a task holds at once, about. Each block is one pass over the vectors.
-BLOCK = 10_000
+from .shuffles import _kept
+
+#: Rows of a block at most, of queries and of vectors.
+QUERY_BLOCK, VECTOR_BLOCK = 1_000, 10_000
+_PACKED = "ids binary, units binary"
 _OUT = "query_id long, vec_id long, near double"
 
 
-def _best_of(ids: np.ndarray, unit: np.ndarray, k: int, digits: int):
-    """For each batch of vectors its k best for every query of the block, ties by id."""
+def _packed(block: int):
+    """Vectors of length one, so many to a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                ids = part.column("vec_id").to_numpy(zero_copy_only=False).astype("<i8")
+                matrix = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(len(ids), -1)
+                norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+                unit = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], ["ids", "units"])
+
+    return run
+
+
+def _best_of(k: int, digits: int):
+    """For each pair of blocks the k best vectors of every query, ties by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            vec = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            rows = batch.column("embedding")
-            matrix = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
-            norm = np.linalg.norm(matrix, axis=1)
-            near = np.round(unit @ np.divide(matrix, norm[:, None], out=np.zeros_like(matrix), where=norm[:, None] > 0).T, digits)
-            near[ids[:, None] == vec[None, :]] = -np.inf
-            least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(ids), -2.0)
-            q, v = np.nonzero(near >= np.maximum(least, -2.0)[:, None])
-            order = np.lexsort((vec[v], -near[q, v], q))
-            q, v = q[order], v[order]
-            first = np.searchsorted(q, np.arange(len(ids)))
-            best = np.arange(len(q)) - first[q] < k
-            q, v = q[best], v[best]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(vec[v]), pa.array(near[q, v])], ["query_id", "vec_id", "near"])
+            for asked, asked_units, known, known_units in zip(*(batch.column(c) for c in ("asked", "asked_units", "ids", "units"))):
+                ids, vec = (np.frombuffer(x.as_py(), "<i8") for x in (asked, known))
+                a, b = (np.frombuffer(u.as_py(), "<f8").reshape(len(i), -1) for u, i in ((asked_units, ids), (known_units, vec)))
+                near = np.round(a @ b.T, digits)
+                near[ids[:, None] == vec[None, :]] = -np.inf
+                least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(ids), -2.0)
+                q, v = np.nonzero(near >= np.maximum(least, -2.0)[:, None])
+                order = np.lexsort((vec[v], -near[q, v], q))
+                q, v = q[order], v[order]
+                best = np.arange(len(q)) - np.searchsorted(q, np.arange(len(ids)))[q] < k
+                q, v = q[best], v[best]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(vec[v]), pa.array(near[q, v])], ["query_id", "vec_id", "near"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
     """(vec_id, embedding) of both -> query_id, vec_id, rank: the k vectors of largest cosine, rounded, ties by id; a
     query is no neighbour of itself. Vectors without an id or an embedding are left out.
 
-    A block of queries (about `block` rows, by a hash of the id) rides to the tasks that scan the vectors; what they send on is k rows
-    for each query and batch, whatever the number of vectors.
+    Both sides are rows of whole blocks, and every block of queries meets every block of vectors in some task: Spark sends
+    the query blocks along where they are below its broadcast limit, and pairs partitions beyond it. Nothing passes the
+    driver; a pair of blocks leaves k rows a query.
     """
     known = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").dropna()
-    asked = known(queries)
-    blocks = max(1, -(-asked.count() // block))
-    ranges = asked.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    found = []
-    for b in range(blocks):
-        rows = ranges.filter(F.col("_block") == b).select("vec_id", "embedding").toArrow()
-        ids = rows.column("vec_id").to_numpy()
-        matrix = np.array(rows.column("embedding").to_pylist(), float).reshape(len(ids), -1 if len(ids) else 0)
-        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        unit = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-        found.append(known(vectors).mapInArrow(_best_of(ids, unit, k, digits), _OUT))
+    # read again for every partition of vectors
+    asked = _kept(known(queries).mapInArrow(_packed(block), _PACKED)).select(F.col("ids").alias("asked"), F.col("units").alias("asked_units"))
+    pairs = known(vectors).mapInArrow(_packed(VECTOR_BLOCK), _PACKED).crossJoin(asked)
+    found = pairs.mapInArrow(_best_of(k, digits), _OUT)
     order = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id")
-    best = reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(order).cast("long"))
+    best = found.withColumn("rank", F.row_number().over(order).cast("long"))
     return best.filter(F.col("rank") <= k).select("query_id", "vec_id", "rank")
