@@ -418,3 +418,25 @@ def test_later_keys_of_a_run_are_found_as_often_as_alone():
             at = text.index(k)
             missed += not any(a < at + len(k) and b > at for a, _, b in spans)
     assert missed <= alone + 4, (alone, missed)
+
+
+def test_urls_learn_from_a_table_of_labels(spark):
+    """Labels by what no word list says: rejected hosts are made of other syllables. Errors are on URLs without a label."""
+    from random import Random
+
+    r = Random(5)
+    host = lambda bad: "".join(r.choices(["zu", "xo", "qi", "vex"] if bad else ["mer", "lan", "tis", "or"], k=5)) + ".net"
+    urls = [(i, f"http://{host(i % 3 == 0)}/{r.choice(['a', 'b', 'news'])}/{i}", i % 3 != 0) for i in range(900)]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in urls] + [(None, None), (1000, "http://casino.example.net/x")], "page_id long, url string")
+    told = [(u, ok) for _, u, ok in urls[:450]] + [(None, True), (urls[800][1], True), (urls[800][1], False), (urls[0][1], None), ("http://elsewhere.net/", True)]
+    labels = spark.createDataFrame(told, "url string, accepted boolean")
+    got = {x["page_id"]: x["verdict"] for x in rows_of(url_filter.url_filter(pages, labels=labels))}
+    assert len(got) == 902 and got[None] == "block"
+    wrong = sum(got[i] != ("allow" if ok else "block") for i, _, ok in urls[450:])
+    assert wrong <= 9, wrong
+    errors = {x["accepted"]: (x["texts"], x["errors"]) for x in rows_of(url_filter.held_out_errors(pages, labels=labels))}
+    assert errors[True][1] + errors[False][1] <= 0.03 * (errors[True][0] + errors[False][0])
+    # the seed words say otherwise
+    seeded = {x["page_id"]: x["verdict"] for x in rows_of(url_filter.url_filter(pages))}
+    assert sum(seeded[i] == "block" for i, _, _ in urls) == 0
+    assert url_filter.url_filter(pages.limit(0), labels=labels).count() == 0

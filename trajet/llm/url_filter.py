@@ -9,7 +9,8 @@ none is left out. The HEAD terms seen most are broadcast; substrings that are no
 shuffle join, so the model's size is not bounded. The threshold lies between the classes' mean scores, at equal
 distance in standard deviations, on the whole fold that the models have not seen.
 
-Labels for the fit: a URL whose host has a word of SEED_WORDS as one of its runs of letters is rejected (so
+Labels for the fit are a table of URLs, if one is given. Else they come from the hosts, since the pages' html tells nothing
+about their URLs here (see the README): a URL whose host has a word of SEED_WORDS as one of its runs of letters is rejected (so
 roads.example is not, for all its "ads"); others are accepted, but for those that a blocking rule fits, which teach nothing.
 held_out_errors tells how the filter does on the fold that neither models nor threshold's models have seen.
 
@@ -163,17 +164,23 @@ def threshold(labelled_scores: DataFrame) -> float:
     return (a["m"] * r["s"] + r["m"] * a["s"]) / spread if spread else (a["m"] + r["m"]) / 2
 
 
-def labelled(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seed_words=SEED_WORDS) -> tuple[DataFrame, DataFrame]:
+def labelled(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seed_words=SEED_WORDS, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(all rows with host, path, rule and text; the distinct texts with `accepted` and `unseen`, the fold kept from the models)."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "ruled": rule_verdict(F.col("host"), F.col("path"), rules)})
     rows = rows.withColumn("text", F.concat("host", "path"))
+    unseen = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5)) == 0
+    if labels is not None:
+        # URLs that are labelled both ways teach nothing; what is judged and has no label teaches nothing either
+        told = labels.select(F.concat(host_of(F.col("url")), path_of(F.col("url"))).alias("text"), F.col("accepted").cast("boolean").alias("accepted")).filter("text <> '' and accepted is not null")
+        told = told.groupBy("text").agg(F.bool_and("accepted").alias("all"), F.bool_or("accepted").alias("any")).filter(F.col("all") == F.col("any"))
+        judged = rows.filter("text <> ''").select("text").distinct()
+        return rows, judged.join(told.select("text", F.col("all").alias("accepted")), "text", "full").withColumn("unseen", unseen)
     words = F.split("host", "[^a-z]+")
     seeded = F.arrays_overlap(words, F.array(*map(F.lit, seed_words)))
     # a blocking rule is a policy on a section, not an example of a rejected URL
     accepted = F.when(seeded, False).when(F.coalesce("ruled", F.lit("allow")) == "allow", True)
-    unseen = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5)) == 0
     return rows, rows.filter("text <> ''").select("text", accepted.alias("accepted")).distinct().withColumn("unseen", unseen)
 
 
@@ -191,9 +198,10 @@ def held_out_errors(pages: DataFrame, **options) -> DataFrame:
     return scores.filter("unseen and accepted is not null").groupBy("accepted").agg(F.count(F.lit(1)).alias("texts"), F.count_if(wrong).alias("errors"))
 
 
-def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seed_words=SEED_WORDS, order: int = ORDER) -> DataFrame:
-    """One row per input row: page_id, host, path, rule, verdict, score."""
-    rows, texts = labelled(pages, id_col, url_col, rules, seed_words)
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seed_words=SEED_WORDS, order: int = ORDER, labels: DataFrame | None = None) -> DataFrame:
+    """One row per input row: page_id, host, path, rule, verdict, score. labels: (url, accepted) to learn from instead of
+    the seed words."""
+    rows, texts = labelled(pages, id_col, url_col, rules, seed_words, labels)
     scores, limit = judged_texts(texts, order)
     # rows without a text need no score, and do not meet at one key
     judged = rows.filter("text <> ''").join(scores.select("text", "score"), "text", "left").unionByName(rows.filter("text = ''").withColumn("score", F.lit(None).cast("double")))
