@@ -154,7 +154,7 @@ def data_url(path, content):
     """Bytes as a data URL, the MIME type by extension."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     known = F.create_map(*[x for k, v in MIME.items() for x in (F.lit(k), F.lit(v))])
-    return F.concat(F.lit("data:"), F.coalesce(F.try_element_at(known, ext), F.lit("application/octet-stream")), F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), F.coalesce(F.try_element_at(known, ext), F.lit("application/octet-stream")), F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def pick_by_index(wanted: DataFrame, listed, name: str = "task") -> DataFrame:

@@ -1,2 +1,2 @@
-from . import content, evaluation, retail, rules, samples, stateful, trajectory  # noqa: F401
+from . import content, corpora, evaluation, retail, rules, samples, stateful, trajectory  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
