@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grading as G
 from ..functions import text as T
-from ..operators import fixtures, memory, observations, retail
+from ..operators import contracts, fixtures, memory, observations, retail
 from ..sources.derive import MESSAGES, TOOL_MESSAGES, messages, table, tool_messages
 from .registry import query
 from .trajectory import observation_lines
@@ -345,7 +345,34 @@ def q_turn_record(spark, d):
     )
 
 
-@query("SELECT item_id, text AS response, 1.0::DOUBLE AS score FROM benchmark")
+WORDS = "len(regexp_extract_all(text, '[^ ]+'))"
+
+
+def words(text):
+    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit("[^ ]+"), F.lit(0))), F.lit(0)).cast("long")
+
+
+@query(f"SELECT conv_id AS session_id, sum({WORDS})::BIGINT AS tokens, max({WORDS})::BIGINT AS most FROM conversations GROUP BY 1")
+def q_counted_by_words(spark, d):
+    """Messages under another token counter."""
+    return messages(spark, d, words).groupBy("session_id").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("most"))
+
+
+@query(f"""WITH t AS (SELECT conv_id AS task_id, turn, text, conv_id % 4 AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS is_last, min(CASE WHEN conv_id % 3 = 0 AND turn > 0 THEN turn END) OVER (PARTITION BY conv_id) AS failed_at FROM conversations),
+    c AS (SELECT * FROM t WHERE failed_at IS NULL OR turn <= failed_at)
+    SELECT task_id, 7 AS seed, CASE WHEN any_value(failed_at) IS NULL THEN arg_max(text, turn) END AS response, CASE WHEN any_value(failed_at) IS NULL AND any_value(kind) < 2 THEN 1 ELSE 0 END::DOUBLE AS score, count(*) AS n_turns, count(*) FILTER (turn = failed_at) AS n_errors,
+        sum({WORDS})::BIGINT AS input_tokens, coalesce(sum({WORDS}) FILTER (failed_at IS NULL OR turn < failed_at), 0)::BIGINT AS output_tokens, round((2.0::DOUBLE * sum({WORDS}) + 8.0::DOUBLE * coalesce(sum({WORDS}) FILTER (failed_at IS NULL OR turn < failed_at), 0)) / 1e6, 9) AS cost_usd FROM c GROUP BY 1""")
 def q_echo_baseline(spark, d):
-    b = table(spark, d, "benchmark")
-    return b.select("item_id", F.col("text").alias("response"), (F.col("text") == F.col("text")).cast("double").alias("score"))
+    """The stub runner and grader over conversations: it fails in every third one behind its first turn; what is expected of
+    the last turn is its text, the same in capitals, another one, or nothing."""
+
+    def tasks(seed):
+        c = table(spark, d, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("turn_index"), F.col("text").alias("prompt"))
+        last = F.col("turn_index") == F.max("turn_index").over(Window.partitionBy("task_id"))
+        kind = F.col("task_id") % 4
+        wanted = F.when(kind == 0, F.col("prompt")).when(kind == 1, F.concat(F.lit(" "), F.upper("prompt"))).when(kind == 2, F.concat("prompt", F.lit(" and more")))
+        return c.withColumn("expected", F.when(last, wanted))
+
+    fails = lambda turns: turns.withColumn("response", F.when(~((F.col("task_id") % 3 == 0) & (F.col("turn_index") > 0)), F.col("prompt")))
+    done = contracts.Bench(tasks, fails, counter=words, rate_in=2.0, rate_out=8.0).run(7)
+    return done.withColumn("cost_usd", F.round("cost_usd", 9))

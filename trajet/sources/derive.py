@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session_id, msg_idx, role, text, tokens)"""
+def messages(spark: SparkSession, sf_dir: str, counter=char_tokens) -> DataFrame:
+    """(session_id, msg_idx, role, text, tokens); counter: a text column's tokens."""
     return table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("session_id"), F.col("turn").alias("msg_idx"), "role", "text", char_tokens(F.col("text")).alias("tokens")
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("msg_idx"), "role", "text", counter(F.col("text")).alias("tokens")
     )
 
 
