@@ -370,7 +370,7 @@ def q_echo_baseline(spark, d):
         c = table(spark, d, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("turn_index"), F.col("text").alias("prompt"))
         last = F.col("turn_index") == F.max("turn_index").over(Window.partitionBy("task_id"))
         kind = F.col("task_id") % 4
-        wanted = F.when(kind == 0, F.col("prompt")).when(kind == 1, F.concat(F.lit(" "), F.upper("prompt"))).when(kind == 2, F.concat("prompt", F.lit(" and more")))
+        wanted = F.when(kind == 0, F.col("prompt")).when(kind == 1, F.concat(F.lit(" "), F.translate("prompt", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).when(kind == 2, F.concat("prompt", F.lit(" and more")))
         return c.withColumn("expected", F.when(last, wanted))
 
     fails = lambda turns: turns.withColumn("response", F.when(~((F.col("task_id") % 3 == 0) & (F.col("turn_index") > 0)), F.col("prompt")))
