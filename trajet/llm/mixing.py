@@ -8,7 +8,8 @@ behind it are not, so neither rows nor texts need a shuffle. Rows that share the
 by the task that holds them and share the rest of the budget.
 
 Defined cases: null or blank text has size 0 and takes 0; a null source is a source of its own, after all others;
-rows that repeat an id and text share a key and count each; ids may repeat or be null; other columns pass through
+rows that repeat an id and text share a key and count each; ids may repeat or be null; a very long text is one size, and is
+cut if the budget ends in it; other columns pass through
 apply_mix and are not read, whatever their names; an empty table gives an empty result.
 """
 

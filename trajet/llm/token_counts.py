@@ -3,7 +3,9 @@
 Workers send lengths only; the histogram has at most sqrt(2 * tokens) rows, since distinct lengths add up to no more than
 all tokens. Suffix sums run in blocks of lengths: block totals first, then a window inside each block.
 
-Defined cases: null and empty texts have length 0; repeated rows count each; an empty table gives an empty histogram.
+Defined cases: null and empty texts have length 0; repeated rows count each, and texts of equal length share a row; very
+long texts are encoded whole and are one length; ids may be null or repeat, since no column but the text is read, whatever
+the others' names; an empty table gives an empty histogram.
 """
 
 from __future__ import annotations
