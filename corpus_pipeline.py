@@ -1,4 +1,10 @@
-"""A training-data pipeline of the operators in trajet.llm: each stage's output is written and read as the next one's input."""
+"""A training-data pipeline of the operators in trajet.llm: each stage's output is written and read as the next one's input.
+
+Defined cases: null and empty texts are one text, of which a row stays until mixing, where it takes nothing and goes; null ids
+are an id of their own, and rows that share an id stay apart where their texts differ; equal texts leave the row with the most
+code points, then the least id; very long texts are judged and packed whole; without toxic labels every document is clean;
+other columns pass through to packing, whatever their names; an empty table gives no pieces.
+"""
 
 from __future__ import annotations
 
