@@ -71,6 +71,35 @@ def rule_digest(serialized):
     return head_tail(serialized, HEAD_CHARS, TAIL_CHARS)
 
 
+#: How many entries of an array a projection shows, and what stands for the rest.
+SHOWN_ENTRIES, REST = 5, "…"
+
+
+def schema_digest(output, fields: list[str]):
+    """The important fields of a JSON object as JSON, in the order of the list; what the object lacks is left out, nulls stay,
+    and a longer array keeps its first entries and a mark. An array has no fields; anything else, also text that is no
+    JSON, has the rule-based digest. Null stays null. Objects keep the order of their keys."""
+    value = F.try_parse_json(output)
+    kind = F.schema_of_variant(value)
+
+    def shown(at, raw):
+        """A variant as JSON: strings quoted, nulls named, the rest as it stands."""
+        text = F.schema_of_variant(at) == "STRING"
+        return F.when(F.is_variant_null(at), "null").when(text, F.to_json(at)).otherwise(raw)
+
+    parts = []
+    for field in fields:
+        path = f"$['{field}']"
+        at, raw = F.try_variant_get(value, path, "variant"), F.get_json_object(output, path)
+        entries, texts = at.cast("array<variant>"), F.from_json(raw, "array<string>")
+        first = F.array(*(shown(F.get(entries, F.lit(i)), F.get(texts, F.lit(i))) for i in range(SHOWN_ENTRIES)))
+        cut = F.concat(F.lit("["), F.array_join(first, ","), F.lit(f',"{REST}"]'))
+        is_long = F.startswith(F.schema_of_variant(at), F.lit("ARRAY")) & (F.size(texts) > SHOWN_ENTRIES)
+        parts.append(F.when(at.isNotNull(), F.concat(F.to_json(F.lit(field).cast("variant")), F.lit(":"), F.when(is_long, cut).otherwise(shown(at, raw)))))
+    projected = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return F.when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), projected).otherwise(rule_digest(output))
+
+
 def page_digest(title, text):
     return F.to_json(F.struct(title.alias("title"), head_tail(text, PAGE_HEAD, PAGE_TAIL).alias("text_excerpt"), F.length(text).alias("full_length_chars")))
 

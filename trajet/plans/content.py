@@ -251,10 +251,20 @@ def q_url_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract(u, "^(https?)://", 1).alias("scheme"), F.regexp_extract(u, "://([^/?#]+)", 1).alias("host"), leaf.alias("leaf"))
 
 
-@query("""SELECT event_id, to_json({'k': (props->>'k')::BIGINT})::VARCHAR AS projected, props->>'missing' AS missing FROM events""")
+FIELDS = ["tags", "kind", "nothing", "gone", "deep"]
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{' || '"tags":' || CASE WHEN n > 5 THEN '[0,"t1",{"z":2,"a":[2]},0,"t4","…"]' ELSE '[' || array_to_string(list_transform(generate_series(0, n - 1), lambda i: CASE i % 3 WHEN 0 THEN '0' WHEN 1 THEN '"t' || i || '"' ELSE '{"z":' || i || ',"a":[' || i || ']}' END), ',') || ']' END
+        || ',"kind":"' || event_type || '","gone":null,"deep":{"b":' || n || ',"a":"x"}}' WHEN 1 THEN '{"kind":' || n || '}' WHEN 2 THEN '{}' ELSE event_type END AS digest FROM (SELECT event_id, event_type, event_id % 7 + 1 AS n FROM events)""")
 def q_schema_digest(spark, d):
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, d, "events").select("event_id", F.to_json(F.struct(k.alias("k"))).alias("projected"), F.get_json_object("props", "$.missing").alias("missing"))
+    """Objects with short and long arrays, with one field, arrays, and text that is no JSON."""
+    n = (F.col("event_id") % 7 + 1).cast("int")
+    entry = lambda i: F.when(i % 3 == 0, "0").when(i % 3 == 1, F.concat(F.lit('"t'), i.cast("string"), F.lit('"'))).otherwise(F.concat(F.lit('{"z":'), i.cast("string"), F.lit(',"a":['), i.cast("string"), F.lit("]}")))
+    tags = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), entry), ","), F.lit("]"))
+    full = F.concat(F.lit('{"other":1,"gone":null,"kind":"'), F.col("event_type"), F.lit('","tags":'), tags, F.lit(',"deep":{"b":'), n.cast("string"), F.lit(',"a":"x"}}'))
+    kind = F.col("event_id") % 4
+    output = F.when(kind == 0, full).when(kind == 1, F.concat(F.lit('{"kind":'), n.cast("string"), F.lit("}"))).when(kind == 2, tags).otherwise(F.col("event_type"))
+    return table(spark, d, "events").select("event_id", T.schema_digest(output, FIELDS).alias("digest"))
 
 
 @query("""SELECT l_orderkey AS order_id, array_to_string(list(l_partkey ORDER BY l_extendedprice DESC, l_linenumber)[1:5], ',') || CASE WHEN count(*) > 5 THEN ',…' ELSE '' END AS top FROM lineitem GROUP BY 1""")
