@@ -338,6 +338,17 @@ def test_packing(odd, empty, monkeypatch):
     assert packing.pack(empty).count() == 0
 
 
+def test_texts_that_fill_their_windows_leave_no_remainder(spark):
+    # as last of a slice, first of it, and in between
+    docs = [(0, "apple " * 2), (1, "apple " * (packing.WINDOW - 1)), (2, "pear fig"), (3, "apple " * (2 * packing.WINDOW - 1))]
+    for rows in (docs, docs[::-1], docs[1:2] + docs[:1] + docs[3:]):
+        check_packing(rows_of(packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))), rows)
+    some, none = np.arange(3, 9, dtype="<u2"), np.zeros(0, "<u2")
+    alone = packing._lexical_keys([some])[0]
+    for items in ([some, none], [none, some], [none, none, some, none, some, none, none]):
+        assert all(key == (alone if len(x) else [0, 0, 0]) for x, key in zip(items, packing._lexical_keys(items)))
+
+
 def test_neighbours_are_all_items_by_bm25():
     rng = np.random.default_rng(4)
     items = [np.append(rng.zipf(1.5, rng.integers(1, 60)) % 50 + 3, 2).astype("<u2") for _ in range(80)]

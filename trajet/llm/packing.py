@@ -67,7 +67,7 @@ def _lexical_keys(items: list[np.ndarray]) -> list[list[int]]:
         pairs = _mixed(flat[:-1] << np.uint64(32) | flat[1:])
         for k in range(3):
             pairs = _mixed(pairs) if k else pairs
-            pairs[ends[:-1] - 1] = np.iinfo(np.uint64).max  # across two items
+            pairs[ends[lengths > 0][:-1] - 1] = np.iinfo(np.uint64).max  # across two items; those without tokens have no pair
             # an item's pairs end before its last token; what lies between items is never least
             keys[k, long] = _mixed(np.minimum.reduceat(pairs, (ends - lengths)[long]))
     return keys.view(np.int64).T.tolist()
