@@ -70,3 +70,28 @@ def test_other_tools_nulls_and_empty(spark, world):
     assert json.loads(got[0, 2]["answer"]) == {"noted": "x" * 200} and json.loads(got[0, 3]["answer"]) == {"noted": ""}
     assert got[0, 4]["error"] == "unknown tool: fly" and got[0, 5]["error"] and got[0, 6]["error"].startswith("order not found") and got[0, 7]["error"] == "item_id null not in order"
     assert run(spark, world, []) == {}
+
+
+def test_sessions_with_an_environment_of_their_own(spark):
+    people = [(s, (u, "Ada", "Low", None, HOME)) for s, u in ((0, "u2"), (1, "u1"), (2, None))]
+    orders = [(s, (o, None, "pending", None, [("payment", paid, "card")], None)) for s, o, paid in ((0, "o1", 1.0), (1, "o1", 2.0), (1, None, 3.0), (5, "o9", 4.0))]
+    world = spark.createDataFrame(people, f"session_id int, user {RC.USER}"), spark.createDataFrame(orders, f"session_id int, order {RC.ORDER}")
+    calls = [call("find_user_id_by_name_zip", first_name="Ada", last_name="Low", zip="02101"), call("cancel_pending_order", order_id="o1"), call("get_order_details"), call("get_user_details")]
+    got = run(spark, world, calls, calls, calls)
+    assert [got[s, 0]["answer"] for s in range(3)] == ["u2", "u1", "user_id_not_found"]
+    assert [got[s, 1]["refund"] for s in range(3)] == [1.0, 2.0, None] and len(got) == 12
+    assert all(got[s, i]["error"].endswith("not found: None") for s in range(3) for i in (2, 3)) and got[2, 1]["error"] == "order not found: o1"
+
+
+def test_customers_of_one_name_are_found_in_their_own_sessions(spark, tmp_path):
+    """Copies of the tables under shifted keys, as SQL answers them, without work that grows with copies of a name."""
+    import oracle
+    from trajet.plans import ORACLES, QUERIES
+
+    for name, keys in (("customer", ["c_custkey"]), ("orders", ["o_orderkey", "o_custkey"]), ("lineitem", ["l_orderkey"])):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        rows.unionAll(rows.withColumns({k: rows[k] + 1_000_000 for k in keys})).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    con = oracle.duckdb.connect()
+    for name in ("customer", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    oracle.compare(spark, QUERIES["q_tool_calls"], ORACLES["q_tool_calls"], str(tmp_path), con)

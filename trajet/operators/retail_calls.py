@@ -1,4 +1,4 @@
-"""The retail tools as a table function: calls of a session in their order, on an environment that each call may change.
+"""The retail tools: calls of a session in their order, on an environment that each call may change.
 
 A call sees what the calls before it left behind. It touches one order, or the session's users, so a session is dealt by
 (session, order) and (session, users): a long session is many small folds, and each holds only the rows its calls name.
@@ -7,8 +7,10 @@ A call sees what the calls before it left behind. It touches one order, or the s
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ADDRESS = "struct<address1:string,address2:string,city:string,country:string,state:string,zip:string>"
@@ -21,6 +23,10 @@ CALL = (
     f"address:{ADDRESS},thought:string>"
 )
 ANSWER = "session_id long, step long, tool string, answer string, error string, status string, refund double, refunded double"
+_ANSWER_NAMES = [field.split()[0] for field in ANSWER.split(", ")]
+_ANSWER = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[field.split()[1]] for field in ANSWER.split(", ")]
+_KINDS = {"user": USER, "order": ORDER, "product": PRODUCT}
+_CALL_FIELDS = ("tool", "email", "first_name", "last_name", "zip", "user_id", "order_id", "product_id", "item_ids", "payment_method_id", "address", "thought")
 _ORDER_TOOLS = ("get_order_details", "cancel_pending_order", "modify_pending_order_address", "return_delivered_order_items")
 _USER_TOOLS = ("find_user_id_by_email", "find_user_id_by_name_zip", "get_user_details", "modify_user_address")
 #: Fixed value: characters of a thought that are noted.
@@ -111,32 +117,40 @@ def _told(value):
     return {k: v for k, v in value.items() if v is not None} if isinstance(value, dict) else value
 
 
-class RetailCalls:
-    """The table function's body: rows of one partition, the environment's first, then the calls in order."""
-
-    def __init__(self):
-        self.state = Environment()
-
-    def eval(self, row: Row):
-        for kind, key in (("user", "user_id"), ("order", "order_id"), ("product", "product_id")):
-            if row[kind] is not None:
-                have = row[kind].asDict(recursive=True)
-                getattr(self.state, f"{kind}s").setdefault(have[key], have)
-        if row["call"] is None:
-            return
-        call = row["call"].asDict(recursive=True)
-        answer = error = None
-        try:
-            answer = self.state.call(call)
-        except Refused as e:
-            error = str(e)
-        order = self.state.orders.get(call["order_id"]) if call["tool"] in _ORDER_TOOLS else None
-        refund = answer.get("refund") if isinstance(answer, dict) else None
-        if call["tool"] == "cancel_pending_order" and error is None:
-            refund = sum(p["amount"] or 0 for p in order["payments"] if p["transaction_type"] == "payment")
-        refunded = sum(p["amount"] or 0 for p in order["payments"] or [] if p["transaction_type"] == "refund") if order else None
-        shown = answer if isinstance(answer, str) or answer is None else json.dumps(answer, separators=(",", ":"), ensure_ascii=False)
-        yield row["session_id"], row["step"], call["tool"], shown, error, order["status"] if order else None, None if refund is None else float(refund), None if refunded is None else float(refunded)
+def _answered(state: Environment, call: dict) -> tuple:
+    """tool, answer, error, status, refund, refunded of a call."""
+    answer = error = None
+    try:
+        answer = state.call(call)
+    except Refused as e:
+        error = str(e)
+    order = state.orders.get(call["order_id"]) if call["tool"] in _ORDER_TOOLS else None
+    refund = answer.get("refund") if isinstance(answer, dict) else None
+    if call["tool"] == "cancel_pending_order" and error is None:
+        refund = sum(p["amount"] or 0 for p in order["payments"] if p["transaction_type"] == "payment")
+    refunded = sum(p["amount"] or 0 for p in order["payments"] or [] if p["transaction_type"] == "refund") if order else None
+    shown = answer if isinstance(answer, str) or answer is None else json.dumps(answer, separators=(",", ":"), ensure_ascii=False)
+    return call["tool"], shown, error, order["status"] if order else None, None if refund is None else float(refund), None if refunded is None else float(refunded)
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by (session, place), the environment's first, then the calls in order; each place has a state of its own."""
+    at = state = None
+    for batch in batches:
+        column = {c: batch.column(c).to_pylist() for c in ("session_id", "place", "phase", "step")}
+        calls = zip(*(batch.column(c).to_pylist() for c in _CALL_FIELDS))
+        have = {k: batch.column(k).to_pylist() for k in _KINDS} if 0 in column["phase"] else None
+        out = []
+        for i, (session, place, phase, step, call) in enumerate(zip(*column.values(), calls)):
+            if at != (session, place):
+                at, state = (session, place), Environment()
+            if phase:
+                out.append((session, step, *_answered(state, dict(zip(_CALL_FIELDS, call)))))
+                continue
+            for kind in _KINDS:
+                if (row := have[kind][i]) is not None:
+                    getattr(state, f"{kind}s").setdefault(row[f"{kind}_id"], row)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(_ANSWER), _ANSWER)], _ANSWER_NAMES)
 
 
 def retail_calls(calls: DataFrame, users: DataFrame, orders: DataFrame, products: DataFrame | None = None) -> DataFrame:
@@ -144,47 +158,49 @@ def retail_calls(calls: DataFrame, users: DataFrame, orders: DataFrame, products
     refund, refunded.
 
     users, orders, products: one column each (`user`, `order`, `product`) of the structs above; every session begins with
-    them as they are. A call that a tool refuses has an error and changes nothing. Calls of equal steps follow in the order
-    of their tools and arguments; of users with equal data the least id is found; several rows of an id count as the first
-    by their other fields; null ids find nothing.
+    them as they are, or with those of its own where a `session_id` stands beside. A call that a tool refuses has an error
+    and changes nothing. Calls of equal steps follow in the order of their tools and arguments; of users with equal data the
+    least id is found; several rows of an id count as the first by their other fields; null ids find nothing.
     """
-    spark = calls.sparkSession
     call = F.col("call").cast(CALL)
     c = calls.select(F.col("session_id").cast("long").alias("session_id"), F.col("step").cast("long").alias("step"), call.alias("call"))
+    of_order, of_product = (F.concat(F.lit(f"{kind} "), F.coalesce(f"call.{kind}_id", F.lit(""))) for kind in ("order", "product"))
     place = (
-        F.when(F.col("call.tool").isin(*_ORDER_TOOLS), F.concat(F.lit("order "), F.coalesce("call.order_id", F.lit(""))))
+        F.when(F.col("call.tool").isin(*_ORDER_TOOLS), of_order)
         .when(F.col("call.tool").isin(*_USER_TOOLS), "users")
-        .when(F.col("call.tool") == "get_product_details", F.concat(F.lit("product "), F.coalesce("call.product_id", F.lit(""))))
+        .when(F.col("call.tool") == "get_product_details", of_product)
         .otherwise(F.concat(F.lit("step "), F.col("step").cast("string")))
     )
-    c = c.withColumn("place", place)
 
-    def named(tools: tuple, have: DataFrame, kind: str, **keys) -> DataFrame:
-        """The rows of the environment that a session's calls name by these fields."""
-        asked = c.filter(F.col("call.tool").isin(*tools)).select("session_id", "place", *(F.col(f"call.{k}").alias(k) for k in keys)).dropna().distinct()
-        known = have.select(F.col(kind), *(v.alias(f"_{k}") for k, v in keys.items()))
+    def named(tools: tuple, place, have: DataFrame, kind: str, **keys) -> DataFrame:
+        """The rows of the environment that a session's calls name by these fields. No step is read, so none is computed."""
+        asked = c.filter(F.col("call.tool").isin(*tools)).select("session_id", place.alias("place"), *(F.col(f"call.{k}").alias(k) for k in keys)).dropna(subset=list(keys)).distinct()
+        known = have.select(F.col(kind).cast(_KINDS[kind]).alias(kind)).select(kind, *(v.alias(f"_{k}") for k, v in keys.items()))
         return asked.join(known, [asked[k] == known[f"_{k}"] for k in keys]).select("session_id", "place", kind)
 
-    user = users.select(F.col("user").cast(USER).alias("user"))
-    order = orders.select(F.col("order").cast(ORDER).alias("order"))
+    def own(have: DataFrame, kind: str, place) -> list[DataFrame]:
+        """A session's own rows stand where its calls look for them: nothing is joined, and what no call names is left aside."""
+        known = have.select(F.col("session_id").cast("long").alias("session_id"), F.col(kind).cast(_KINDS[kind]).alias(kind))
+        return [known.filter(F.col(f"{kind}.{kind}_id").isNotNull()).select("session_id", place.alias("place"), kind)]
+
     u = lambda f: F.col(f"user.{f}")
+    in_users = F.lit("users")
+    at = lambda kind: F.concat(F.lit(f"{kind} "), F.col(f"{kind}.{kind}_id"))
     parts = {
-        "user": [
-            named(("get_user_details", "modify_user_address"), user, "user", user_id=u("user_id")),
-            named(("find_user_id_by_email",), user, "user", email=u("email")),
-            named(("find_user_id_by_name_zip",), user, "user", first_name=u("first_name"), last_name=u("last_name"), zip=u("address.zip")),
+        "user": own(users, "user", in_users) if "session_id" in users.columns else [
+            named(("get_user_details", "modify_user_address"), in_users, users, "user", user_id=u("user_id")),
+            named(("find_user_id_by_email",), in_users, users, "user", email=u("email")),
+            named(("find_user_id_by_name_zip",), in_users, users, "user", first_name=u("first_name"), last_name=u("last_name"), zip=u("address.zip")),
         ],
-        "order": [named(_ORDER_TOOLS, order, "order", order_id=F.col("order.order_id"))],
+        "order": own(orders, "order", at("order")) if "session_id" in orders.columns else [named(_ORDER_TOOLS, of_order, orders, "order", order_id=F.col("order.order_id"))],
     }
     if products is not None:
-        parts["product"] = [named(("get_product_details",), products.select(F.col("product").cast(PRODUCT).alias("product")), "product", product_id=F.col("product.product_id"))]
-    kinds = {"user": USER, "order": ORDER, "product": PRODUCT}
-    rows = c.select("session_id", "place", F.lit(1).alias("phase"), "step", *(F.lit(None).cast(t).alias(k) for k, t in kinds.items()), "call")
+        parts["product"] = own(products, "product", at("product")) if "session_id" in products.columns else [named(("get_product_details",), of_product, products, "product", product_id=F.col("product.product_id"))]
+    rows = c.select("session_id", place.alias("place"), F.lit(1).alias("phase"), "step", *(F.lit(None).cast(t).alias(k) for k, t in _KINDS.items()), "call")
     for kind, found in parts.items():
         for df in found:
-            columns = [F.col(k) if k == kind else F.lit(None).cast(t).alias(k) for k, t in kinds.items()]
+            columns = [F.col(k) if k == kind else F.lit(None).cast(t).alias(k) for k, t in _KINDS.items()]
             rows = rows.unionAll(df.select("session_id", "place", F.lit(0).alias("phase"), F.lit(None).cast("long").alias("step"), *columns, F.lit(None).cast(CALL).alias("call")))
-    rows = rows.withColumn("tie", F.to_json(F.struct("user", "order", "product", "call")))
-    function = F.udtf(RetailCalls, returnType=ANSWER)
-    spark.udtf.register("trajet_retail_calls", function)
-    return function(rows.asTable().partitionBy("session_id", "place").orderBy("phase", "step", "tie"))
+    tie = F.to_json(F.struct("user", "order", "product", "call"))
+    dealt = rows.repartition("session_id", "place").sortWithinPartitions("session_id", "place", "phase", "step", tie)
+    return dealt.select("session_id", "place", "phase", "step", *_KINDS, *(F.col(f"call.{f}").alias(f) for f in _CALL_FIELDS)).mapInArrow(_folded, ANSWER)

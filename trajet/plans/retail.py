@@ -46,10 +46,11 @@ def q_tool_calls(spark, d):
     text = lambda c: F.col(c).cast("string")
     paid = F.array(F.struct(F.lit("payment").alias("transaction_type"), F.col("paid").alias("amount"), F.lit("card").alias("payment_method_id")))
     none = F.lit(None).cast(RC.ADDRESS)
-    orders = o.select(F.struct(text("order_id").alias("order_id"), text("session_id").alias("user_id"), "status", "items", paid.alias("payments"), none.alias("address")).alias("order"))
+    # a session's environment has its own customer and orders
+    orders = o.select("session_id", F.struct(text("order_id").alias("order_id"), text("session_id").alias("user_id"), "status", "items", paid.alias("payments"), none.alias("address")).alias("order"))
     address = lambda zip_code: F.struct(F.lit("1 Main St").alias("address1"), F.lit(None).cast("string").alias("address2"), F.lit("X").alias("city"), F.lit("US").alias("country"), F.lit(None).cast("string").alias("state"), zip_code.alias("zip"))
     u = users(spark, d)
-    people = u.select(F.struct(text("user_id").alias("user_id"), "first_name", "last_name", "email", address(F.col("zip")).alias("address")).alias("user"))
+    people = u.select(F.col("user_id").alias("session_id"), F.struct(text("user_id").alias("user_id"), "first_name", "last_name", "email", address(F.col("zip")).alias("address")).alias("user"))
     c = o.select("order_id", "session_id", "first_item", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("round"))
     c = c.withColumn("step", F.row_number().over(Window.partitionBy("session_id").orderBy("round", "order_id")))
     at = (F.col("order_id") + F.col("round")).cast("long")
