@@ -96,6 +96,21 @@ def test_nearest_by_brute_force(spark, block):
     assert memory.nearest(df, df.limit(0), 10).count() == 0
 
 
+def test_blocks_of_vectors_are_compared_by_tiles():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    ids, units = np.arange(10_000), rng.normal(size=(10_000, 4))
+    row = [ids[:1_000].tobytes(), units[:1_000].tobytes(), ids.tobytes(), units.tobytes()]
+    batch = pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["asked", "asked_units", "ids", "units"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in memory._best_of(5, 5)([batch])) == 5_000
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_statistics_of_nothing_and_of_one_value(spark):
     none = spark.createDataFrame([], "task_id long, diff double")
     p = evaluation.permutation_test(none, 50).first()

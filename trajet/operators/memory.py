@@ -13,6 +13,8 @@ from .shuffles import _kept
 
 #: Rows of a block at most, of queries and of vectors.
 QUERY_BLOCK, VECTOR_BLOCK = 1_000, 10_000
+#: Likenesses that a task holds at once, whatever the blocks: 8 MB, and as much again for each step on them.
+TILE = 1_000_000
 _PACKED = "ids binary, units binary"
 _OUT = "query_id long, vec_id long, near double"
 
@@ -36,20 +38,26 @@ def _packed(block: int):
 def _best_of(k: int, digits: int):
     """For each pair of blocks the k best vectors of every query, ties by id."""
 
+    def best_of(ids: np.ndarray, a: np.ndarray, vec: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        near = a @ b.T
+        np.round(near, digits, out=near)
+        near[ids[:, None] == vec[None, :]] = -np.inf
+        least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(ids), -2.0)
+        q, v = np.nonzero(near >= np.maximum(least, -2.0)[:, None])
+        near = near[q, v]
+        order = np.lexsort((vec[v], -near, q))
+        q, v, near = q[order], v[order], near[order]
+        best = np.arange(len(q)) - np.searchsorted(q, np.arange(len(ids)))[q] < k
+        return pa.RecordBatch.from_arrays([pa.array(ids[q[best]]), pa.array(vec[v[best]]), pa.array(near[best])], ["query_id", "vec_id", "near"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for asked, asked_units, known, known_units in zip(*(batch.column(c) for c in ("asked", "asked_units", "ids", "units"))):
-                ids, vec = (np.frombuffer(x.as_py(), "<i8") for x in (asked, known))
-                a, b = (np.frombuffer(u.as_py(), "<f8").reshape(len(i), -1) for u, i in ((asked_units, ids), (known_units, vec)))
-                near = np.round(a @ b.T, digits)
-                near[ids[:, None] == vec[None, :]] = -np.inf
-                least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(ids), -2.0)
-                q, v = np.nonzero(near >= np.maximum(least, -2.0)[:, None])
-                order = np.lexsort((vec[v], -near[q, v], q))
-                q, v = q[order], v[order]
-                best = np.arange(len(q)) - np.searchsorted(q, np.arange(len(ids)))[q] < k
-                q, v = q[best], v[best]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(vec[v]), pa.array(near[q, v])], ["query_id", "vec_id", "near"])
+                ids, vec = (np.frombuffer(x.as_buffer(), "<i8") for x in (asked, known))
+                a, b = (np.frombuffer(u.as_buffer(), "<f8").reshape(len(i), -1) for u, i in ((asked_units, ids), (known_units, vec)))
+                step = max(1, TILE // len(vec))
+                for at in range(0, len(ids), step):
+                    yield best_of(ids[at : at + step], a[at : at + step], vec, b)
 
     return run
 
