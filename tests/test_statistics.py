@@ -100,3 +100,14 @@ def test_resampled_interval_takes_the_same_time_for_more_rows(spark):
         sd = df.agg(F.stddev_pop("score")).first()[0] / n**0.5
         assert r["lo"] == pytest.approx(r["accuracy"] - 1.96 * sd, abs=0.1 * sd) and r["hi"] == pytest.approx(r["accuracy"] + 1.96 * sd, abs=0.1 * sd)
     assert took[1] < 5 * took[0] + 6, took
+
+
+def test_draws_of_a_resample_are_counted_by_ranges(spark, monkeypatch):
+    from hashlib import sha256
+
+    monkeypatch.setattr(E, "DRAWN_BLOCKS", 3)
+    for n, k in ((1, 1), (24, 5), (77, 30)):
+        got = E.bootstrap(spark.createDataFrame([(float(i < k),) for i in range(n)], "score double").coalesce(1), 40).first()
+        digests = lambda rep: b"".join(sha256(f"{rep}:{b}:0".encode()).digest() for b in range((n + 7) // 8))
+        means = sorted((np.frombuffer(digests(rep), ">u4")[:n] % n < k).mean() for rep in range(40))
+        assert tuple(got) == pytest.approx((k / n, means[1], means[39]))

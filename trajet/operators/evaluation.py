@@ -3,6 +3,11 @@ unless a turn is the unit of the answer; every report is one aggregation over on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ MIN_FOR_SPREAD = 3
 HALT_AFTER, HALT_FACTOR = 20, 1.5
 #: Ranges of a halting sweep that tasks sum on their own.
 RANGES = 64
+#: Blocks of eight draws that a resample's row stands for.
+DRAWN_BLOCKS = 4_096
 
 
 def fires(kind: str):
@@ -270,16 +277,36 @@ def resampled_interval(scores: DataFrame, reps: int = 10_000, alpha: float = 0.0
     return sums.agg(F.lit(f["mean"]).alias("accuracy"), value(at(alpha / 2)).alias("lo"), value(at(1 - alpha / 2)).alias("hi"))
 
 
+def _hits(seed: int, most: int):
+    """(rep, n, k, block) -> rep, n, k, hits: the draws below k of so many blocks from this one on, eight a digest."""
+    tail = f":{seed}".encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for rep, n, k, block in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "k", "block"))):
+                head, end = sha256(b"%d:" % rep), min(block + most, (n + 7) // 8)
+                digests = []
+                for b in range(block, end):
+                    h = head.copy()
+                    h.update(b"%d%b" % (b, tail))
+                    digests.append(h.digest())
+                draws = np.frombuffer(b"".join(digests), ">u4")[: max(0, n - 8 * block)].astype("u4")
+                hits.append(int(np.count_nonzero(draws % np.uint32(n) < k)) if n else 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "n", "k")), pa.array(hits, pa.int64())], ["rep", "n", "k", "hits"])
+
+    return run
+
+
 def bootstrap(scores: DataFrame, reps: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """(score) 0/1 rows -> accuracy, lo, hi by the percentile method; zeros without rows. Only the number of ones matters,
     so a draw is a hit when its index falls among them; no row is joined, and a digest gives eight draws."""
     spark = scores.sparkSession
     totals = scores.agg(F.count("score").alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).cast("long").alias("k"))
-    drawn = spark.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(totals))
-    drawn = drawn.withColumn("block", F.explode(F.expr("sequence(0L, greatest(n - 1, 0L) div 8)")))
-    drawn = drawn.withColumn("h", F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in ("rep", "block")), F.lit(str(seed))), 256))
-    hit = lambda j: F.when((F.col("block") * 8 + j < F.col("n")) & (F.conv(F.substring("h", 1 + 8 * j, 8), 16, 10).cast("long") % F.nullif("n", F.lit(0)) < F.col("k")), 1).otherwise(0)
-    means = drawn.groupBy("rep", "n", "k").agg(F.sum(sum((hit(j) for j in range(1, 8)), hit(0))).alias("hits"))
+    # ranges of blocks, so that few rows travel however many draws they stand for
+    ranges = F.expr(f"explode(sequence(0L, greatest(n - 1, 0L) div 8, {DRAWN_BLOCKS}L))")
+    drawn = spark.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(totals)).select("rep", "n", "k", ranges.alias("block"))
+    means = drawn.mapInArrow(_hits(seed, DRAWN_BLOCKS), "rep long, n long, k long, hits long").groupBy("rep", "n", "k").agg(F.sum("hits").alias("hits"))
     means = means.select(F.coalesce(F.try_divide("hits", "n"), F.lit(0.0)).alias("m"), F.coalesce(F.try_divide("k", "n"), F.lit(0.0)).alias("a"))
     # reps rows
     ranked = means.withColumn("_rn", F.row_number().over(Window.orderBy("m")) - 1)
