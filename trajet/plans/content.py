@@ -269,7 +269,10 @@ def q_schema_digest(spark, d):
 
 @query("""SELECT l_orderkey AS order_id, array_to_string(list(l_partkey ORDER BY l_extendedprice DESC, l_linenumber)[1:5], ',') || CASE WHEN count(*) > 5 THEN ',…' ELSE '' END AS top FROM lineitem GROUP BY 1""")
 def q_top_results(spark, d):
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("l_extendedprice")).alias("p"), "l_linenumber", "l_partkey")))
+    """Prices without a number first, none last; lines that are equal by price and number stand as the table's files have them."""
+    price, number = F.col("l_extendedprice"), F.col("l_linenumber")
+    order = [price.isNull(), ~F.isnan(price), -price, number.isNull(), number, F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    ranked = F.array_sort(F.collect_list(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), "l_partkey")))
     top = F.array_join(F.transform(F.slice(ranked, 1, 5), lambda x: x["l_partkey"].cast("string")), ",")
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.concat(top, F.when(F.count(F.lit(1)) > 5, ",…").otherwise("")).alias("top"))
 
