@@ -111,3 +111,28 @@ def test_draws_of_a_resample_are_counted_by_ranges(spark, monkeypatch):
         digests = lambda rep: b"".join(sha256(f"{rep}:{b}:0".encode()).digest() for b in range((n + 7) // 8))
         means = sorted((np.frombuffer(digests(rep), ">u4")[:n] % n < k).mean() for rep in range(40))
         assert tuple(got) == pytest.approx((k / n, means[1], means[39]))
+
+
+def test_breaker_and_top_results_as_sql_has_them_on_odd_rows(spark, tmp_path):
+    """Costs whose mean meets the limit but for rounding, equal rows, nulls and values that are no numbers."""
+    import oracle
+    from trajet.plans import ORACLES, QUERIES
+
+    con = oracle.duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    r = np.random.default_rng(5)
+    events = []
+    for user in range(300):
+        cents = r.integers(0, 9_000, 40)
+        cents[19] = max(0, 20 * 4_500 - int(cents[:19].sum()))  # a mean of 45 exactly after 20 rows
+        events += [(user, user * 100 + i, i, c / 100) for i, c in enumerate(cents.tolist())]
+    events += [(1_000 + u, i, None if (u + i) % 7 == 0 else i // 2, [None, float("nan"), 90.0, 1.0, 45.0][(i * u) % (5 if u % 2 else 4)] if i % 9 == 0 else 45.0) for u in range(20) for i in range(40)]
+    events += [(2_000, 1, 5, 50.0)] * 40
+    df = spark.createDataFrame(events, "user_id long, event_id long, at long, value double").selectExpr("user_id", "event_id", "timestamp_seconds(at) AS ts", "value")
+    df.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    lines = [(k, p, n, x) for k in range(60) for p, n, x in ((5, 1, 9.5), (3, 1, 9.5), (4, 1, 9.5), (7, 2, None), (8, None, 9.5), (None, 3, 1.0), (6, 4, float("nan")), (k, 5, -0.0), (2, 4, 0.0))[: 3 + k % 7]]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("events", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("q_cost_breaker", "q_top_results"):
+        oracle.compare(spark, QUERIES[name], ORACLES[name], str(tmp_path), con)

@@ -105,8 +105,9 @@ def cost_with_cache(inputs, cached, outputs, rate_in, rate_out, factor):
 
 def breaker(df: DataFrame, order: list, cost: str, total: int, budget: float, by: tuple = ()) -> DataFrame:
     """+ halted: true from the first row of a sweep (columns `by`) on at which its projected total leaves the budget behind.
-    A sweep is cut into ranges of order's first column (a number or a time), and a range starts from the totals of those
-    before it, so no sweep has to stand in one task."""
+    Rows of equal order count together; nulls come last in it. A sweep is cut into ranges of order's first column (a number
+    or a time), and a range starts from the totals of those before it, so no sweep has to stand in one task. Only where a
+    projection is so near the limit that the order of additions decides it are costs added one by one, over that sweep."""
     first = F.col(order[0])
     if df.schema[order[0]].dataType.typeName() == "timestamp_ntz":  # has no cast to a number
         first = F.unix_date(first.cast("date")) * 86_400 + F.hour(first) * 3_600 + F.minute(first) * 60 + F.second(first)
@@ -114,10 +115,11 @@ def breaker(df: DataFrame, order: list, cost: str, total: int, budget: float, by
     quantiles = F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10_000)
     # at most RANGES numbers
     bounds = F.array(*[F.lit(b) for b in sorted(set(df.agg(quantiles).first()[0] or []))]).cast("array<double>")
-    rows = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b < key)))
+    rows = df.withColumn("_range", F.when(key.isNull(), RANGES).otherwise(F.size(F.filter(bounds, lambda b: b < key))))
     parts = [*by, "_range"]
+    in_order = [F.col(c).asc_nulls_last() for c in order]
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*parts).orderBy(*in_order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
     def carried(rows: DataFrame, **sums) -> DataFrame:
         """+ for each name the aggregate over the sweep's earlier ranges."""
@@ -126,14 +128,27 @@ def breaker(df: DataFrame, order: list, cost: str, total: int, budget: float, by
         same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in parts]
         return rows.join(before, same).drop(*[f"_of_{c}" for c in parts])
 
-    rows = carried(rows, _rows=F.count(F.lit(1)), _costs=F.count(cost), _spent=F.coalesce(F.sum(cost), F.lit(0.0)))
+    limit = HALT_FACTOR * budget
+    sizes = F.abs(F.col(cost))
+    rows = carried(rows, _rows=F.count(F.lit(1)), _costs=F.count(cost), _spent=F.coalesce(F.sum(cost), F.lit(0.0)), _size=F.coalesce(F.sum(sizes), F.lit(0.0)))
     n, costs = F.col("_rows") + F.count(F.lit(1)).over(w), F.col("_costs") + F.count(cost).over(w)
     spent = F.col("_spent") + F.coalesce(F.sum(cost).over(w), F.lit(0.0))
     mean = F.when(costs > 0, spent / costs)
-    trips = (n >= HALT_AFTER) & (mean * total > HALT_FACTOR * budget)
-    rows = carried(rows.withColumn("_trips", trips), _tripped=F.count_if("_trips"))
+    trips = (n >= HALT_AFTER) & (mean * total > limit)
+    # what additions in any order can be off by, twice
+    slack = (costs + 4) * 4.5e-16 * (F.col("_size") + F.coalesce(F.sum(sizes).over(w), F.lit(0.0))) / costs * abs(total)
+    near = (n >= HALT_AFTER) & (costs > 0) & (F.abs(mean * total - limit) <= slack)
+    rows = carried(rows.withColumns({"_trips": trips, "_near": near}), _tripped=F.count_if("_trips"))
     halted = F.when(F.col("_tripped") > 0, True).otherwise(F.bool_or("_trips").over(w))
-    return rows.withColumn("halted", halted).select(*df.columns, "halted")
+    rows = rows.withColumn("halted", halted).select(*df.columns, "halted", "_near")
+
+    # few sweeps
+    close = rows.filter("_near").select(*[F.col(c).alias(f"_of_{c}") for c in by]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] or [F.lit(True)]
+    one_by_one = Window.partitionBy(*by).orderBy(*in_order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    trips = (F.count(F.lit(1)).over(one_by_one) >= HALT_AFTER) & (F.avg(cost).over(one_by_one) * total > limit)
+    again = df.join(close, same, "left_semi").withColumn("_trips", trips).withColumn("halted", F.bool_or("_trips").over(one_by_one))
+    return rows.join(close, same, "left_anti").select(*df.columns, "halted").unionByName(again.select(*df.columns, "halted"))
 
 
 def draw(*parts):
