@@ -95,3 +95,27 @@ def test_customers_of_one_name_are_found_in_their_own_sessions(spark, tmp_path):
     for name in ("customer", "orders", "lineitem"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     oracle.compare(spark, QUERIES["q_tool_calls"], ORACLES["q_tool_calls"], str(tmp_path), con)
+
+
+def test_calls_on_orders_do_not_pass_through_python(spark, world, monkeypatch):
+    """Most calls are on orders; as rows of Python they made the query's time. A price that is not given adds nothing."""
+    fold = RC._folded
+
+    def watched(batches):
+        def seen():
+            for batch in batches:
+                assert not set(batch.column("tool").to_pylist()) & {"get_order_details", "cancel_pending_order", "modify_pending_order_address", "return_delivered_order_items"}
+                yield batch
+
+        yield from fold(seen())
+
+    monkeypatch.setattr(RC, "_folded", watched)
+    people, _, products = world
+    orders = spark.createDataFrame([(("o4", "u1", "delivered", [("i1", None), ("i1", 2.5), ("i2", 4.0)], [("refund", 1.0, "gift")], HOME),)], f"order {RC.ORDER}")
+    back = lambda *items: call("return_delivered_order_items", order_id="o4", item_ids=list(items), payment_method_id="card")
+    got = run(spark, (people, orders, products), [back("i3"), back("i1"), back("i2"), call("get_order_details", order_id="o4"), call("get_user_details", user_id="u1")])
+    assert [got[0, i]["error"] for i in range(5)] == ["item_id i3 not in order", None, "order o4 not delivered (status=returned)", None, None]
+    assert [got[0, i]["refund"] for i in range(3)] == [None, 2.5, None] and [got[0, i]["refunded"] for i in range(4)] == [1.0, 3.5, 3.5, 3.5]
+    details = json.loads(got[0, 3]["answer"])
+    assert details["status"] == "returned" and details["payments"][-1] == {"transaction_type": "refund", "amount": 2.5, "payment_method_id": "card"} and details["items"][0]["price"] is None
+    assert json.loads(got[0, 4]["answer"])["address"]["zip"] == "02101"

@@ -51,11 +51,13 @@ def q_tool_calls(spark, d):
     address = lambda zip_code: F.struct(F.lit("1 Main St").alias("address1"), F.lit(None).cast("string").alias("address2"), F.lit("X").alias("city"), F.lit("US").alias("country"), F.lit(None).cast("string").alias("state"), zip_code.alias("zip"))
     u = users(spark, d)
     people = u.select(F.col("user_id").alias("session_id"), F.struct(text("user_id").alias("user_id"), "first_name", "last_name", "email", address(F.col("zip")).alias("address")).alias("user"))
-    c = o.select("order_id", "session_id", "first_item", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("round"))
-    c = c.withColumn("step", F.row_number().over(Window.partitionBy("session_id").orderBy("round", "order_id")))
+    # each round calls on every order once, so steps are counted before rows are made for the rounds
+    session = Window.partitionBy("session_id")
+    c = o.select("order_id", "session_id", "first_item", F.row_number().over(session.orderBy("order_id")).alias("rank"), F.count(F.lit(1)).over(session).alias("n"))
+    c = c.join(u.select(F.col("user_id").alias("session_id"), "first_name", "last_name", "zip"), "session_id")
+    c = c.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("step", F.col("round") * F.col("n") + F.col("rank"))
     at = (F.col("order_id") + F.col("round")).cast("long")
     tool = F.when(F.col("round") < 5, F.element_at(F.array(*map(F.lit, ROUNDS)), (at % 5 + 1).cast("int"))).when(F.col("order_id") % 3 == 0, "modify_user_address").otherwise("find_user_id_by_name_zip")
-    c = c.join(u.select(F.col("user_id").alias("session_id"), "first_name", "last_name", "zip"), "session_id")
     named = F.when((F.col("round") < 5) & (at % 11 == 0), -1 - F.col("order_id")).otherwise(F.col("order_id")).cast("string")
     item = F.when((at % 6 == 0) | F.col("first_item").isNull(), F.lit("-1")).otherwise(text("first_item"))
     call = F.struct(
